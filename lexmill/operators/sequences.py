@@ -57,7 +57,7 @@ def pack_blocks(
         *within,
         "__at",
         "input_ids",
-        (F.col("__at") / batch_rows).cast("bigint").alias("batch_no"),
+        F.expr(f"__at div {int(batch_rows)}").alias("batch_no"),
         F.size("input_ids").cast("bigint").alias("__n"),
     )
     batch = [*within, "batch_no"]
@@ -81,9 +81,7 @@ def pack_blocks(
         )
         return F.struct(block.alias("block_no"), low.alias("at"), ids.alias("ids"))
 
-    blocks = F.sequence(
-        F.floor(F.col("__start") / size), F.floor((F.col("__end") - 1) / size)
-    )
+    blocks = F.expr(f"sequence(__start div {int(size)}, (__end - 1) div {int(size)})")
     slices = placed.select(*batch, F.explode(F.transform(blocks, cut)).alias("s"))
     glued = slices.groupBy(*batch, F.col("s.block_no").alias("block_no")).agg(
         F.array_sort(F.collect_list(F.struct("s.at", "s.ids"))).alias("__parts")
@@ -113,7 +111,7 @@ def pad_batches(
     ``pad_to_multiple_of`` rounds it up.
     """
     ranked = global_rank(df, order_by, position="__at").withColumn(
-        "batch_id", (F.col("__at") / batch_rows).cast("bigint")
+        "batch_id", F.expr(f"__at div {int(batch_rows)}")
     )
     width = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
     if max_length is not None:

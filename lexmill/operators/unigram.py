@@ -67,9 +67,8 @@ class Model:
 def word_counts(df: DataFrame) -> DataFrame:
     """Distinct words of ``text`` with counts, cut at spaces and script changes."""
     text = compatibility_text(F.col("text"))
-    marked = F.translate(
-        F.replace(text, F.lit(NEWLINE_PIECE), F.lit("\n")), " ", SPACE_MARK
-    )
+    lines = F.replace(text, F.lit(NEWLINE_PIECE), F.lit("\n"))
+    marked = F.replace(lines, F.lit(" "), F.lit(SPACE_MARK))
     words = F.regexp_extract_all(marked, F.lit(_WORD), F.lit(0))
     return (
         df.select(F.explode(words).alias("word"))
@@ -111,7 +110,12 @@ def train_unigram(
     if not vocab_size < seed_size <= MAX_BROADCAST_PIECES:
         raise ValueError("need vocab_size < seed_size <= MAX_BROADCAST_PIECES")
     spark = df.sparkSession
-    counted = materialize(word_counts(df), "words")
+    # a fixed number of partitions: the rounds are heavy on the processor, so
+    # the small table must not be coalesced into a few tasks
+    tasks = max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+    counted = materialize(word_counts(df).repartition(tasks), "words")
 
     chars = char_inventory(counted.withColumnRenamed("word", "text"), coverage, weight="n")
     inventory = chars.toArrow().to_pydict()
