@@ -193,16 +193,16 @@ word_heads AS (
   LEFT JOIN known_words k ON k.w = substr(lw.w, 1, p.n)
 ),
 pieces AS (
-  SELECT doc_id, line_no, word_no, 0 AS at, id FROM word_heads WHERE id IS NOT NULL
+  SELECT doc_id, line_no, word_no, 0 AS place, id FROM word_heads WHERE id IS NOT NULL
   UNION ALL
-  SELECT doc_id, line_no, word_no, at, c.id
-  FROM (SELECT doc_id, line_no, word_no, w, unnest(range(n + 1, length(w) + 1)) AS at FROM word_heads) h
-  JOIN known_chars c ON c.ch = substr(h.w, h.at, 1)
+  SELECT doc_id, line_no, word_no, place, c.id
+  FROM (SELECT doc_id, line_no, word_no, w, unnest(range(n + 1, length(w) + 1)) AS place FROM word_heads) h
+  JOIN known_chars c ON c.ch = substr(h.w, h.place, 1)
   UNION ALL
-  SELECT doc_id, line_no, -1 AS word_no, 0 AS at, 7 AS id FROM lines WHERE line_no > 0
+  SELECT doc_id, line_no, -1 AS word_no, 0 AS place, 7 AS id FROM lines WHERE line_no > 0
 ),
 enc AS (
-  SELECT doc_id, list(id ORDER BY line_no, word_no, at) AS ids FROM pieces GROUP BY doc_id
+  SELECT doc_id, list(id ORDER BY line_no, word_no, place) AS ids FROM pieces GROUP BY doc_id
 )"""
 
 BUCKET_SQL = "(('0x' || substr(md5('42:' || {key}), 1, 8))::BIGINT / 4294967296.0)"

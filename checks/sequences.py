@@ -54,10 +54,10 @@ def blocks_sql(source: str, block: int, batch: int, part: str = "") -> str:
     keys = f"{part}batch_no"
     return f"""
 seq AS (SELECT {part}rank // {batch} AS batch_no, id,
-               row_number() OVER (PARTITION BY {part}rank // {batch} ORDER BY rank, pos) - 1 AS at,
+               row_number() OVER (PARTITION BY {part}rank // {batch} ORDER BY rank, pos) - 1 AS place,
                count(*) OVER (PARTITION BY {part}rank // {batch}) AS total FROM {source}),
-blocks AS (SELECT {keys}, at // {block} AS block_no, list(id ORDER BY at) AS ids FROM seq
-           WHERE total < {block} OR at < total - total % {block} GROUP BY ALL)"""
+blocks AS (SELECT {keys}, place // {block} AS block_no, list(id ORDER BY place) AS ids FROM seq
+           WHERE total < {block} OR place < total - total % {block} GROUP BY ALL)"""
 
 
 _RANKED_SQL = """
