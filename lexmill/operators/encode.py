@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -74,12 +75,15 @@ def compatibility_text(text: Column) -> Column:
 
 def special_parts(text: Column, special: Sequence[str] = SPECIAL_PIECES) -> Column:
     """Cut text at special tokens; the texts between are normalised one by one."""
+    firsts = "".join(sorted({re.escape(s[0]) for s in special}))
     names = "|".join(re.escape(s) for s in special)
-    cut = F.split(text, f"(?={names})|(?<={names})")
+    # looking at one character first spares most positions the alternatives
+    found = f"(?=[{firsts}])(?:{names})"
+    cut = F.split(text, f"(?={found})|(?<={names})")
     parts = F.transform(
         cut, lambda p: F.when(p.isin(list(special)), p).otherwise(normalize(p))
     )
-    return F.when(text.rlike(names), F.filter(parts, lambda p: p != "")).otherwise(
+    return F.when(text.rlike(found), F.filter(parts, lambda p: p != "")).otherwise(
         F.array(normalize(text))
     )
 
@@ -156,7 +160,15 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+# One encoder per Python worker, kept across tasks and batches.
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(fingerprint: str, columns: list) -> Encoder:
+    if fingerprint not in _encoders:
+        _encoders.clear()
+        _encoders[fingerprint] = Encoder(*columns)
+    return _encoders[fingerprint]
 
 
 def encode_parts(parts: Column, vocab: DataFrame) -> Column:
@@ -168,15 +180,12 @@ def encode_parts(parts: Column, vocab: DataFrame) -> Column:
     if small is None:
         raise ValueError("the vocabulary has too many pieces to be sent to every task")
     columns = [a.to_pylist() for a in (small.ids, small.pieces, small.scores, small.kinds)]
+    fingerprint = hashlib.md5(repr(columns).encode()).hexdigest()
     shipped = vocab.sparkSession.sparkContext.broadcast(columns)
 
     @F.arrow_udf("array<int>")
     def encode(rows: pa.Array) -> pa.Array:
-        key = id(shipped.value)
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(*shipped.value)
-        ids = _encoders[key].encode(rows.to_pylist())
+        ids = _encoder(fingerprint, shipped.value).encode(rows.to_pylist())
         lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
         flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))
         offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)

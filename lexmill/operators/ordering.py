@@ -7,7 +7,8 @@ the last one.  Nothing here sorts in one task or sends rows to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,15 +31,34 @@ def global_rank(
 ) -> DataFrame:
     """Add the 0-based position of each row, counted separately ``within`` groups.
 
-    The rows are range-partitioned and sorted once; each gets a number inside
-    its partition in the same stage, and the result is written as a table.
-    The number of rows before each partition comes from a scan of that number
-    column alone, and is joined back as a broadcast: it has one row per
+    Only the key columns are ranked, so however ``df`` came about, nothing but
+    its keys is computed for that.  The other columns then meet their position
+    in one join on the keys, which are unique and so spread evenly.
+    """
+    keys = [*within, *order_by]
+    ranked = rank_keys(df.select(*keys), order_by, within, position)
+    if set(df.columns) == set(keys):
+        return ranked.select(*df.columns, position)
+    if not ranked.groupBy(*keys).count().filter("count > 1").isEmpty():
+        raise ValueError(f"order columns {keys} do not identify a row; add a unique id")
+    left, right = df.alias("l"), ranked.alias("r")
+    return left.join(right, _same(keys)).select("l.*", f"r.{position}")
+
+
+def rank_keys(
+    keys: DataFrame, order_by: Sequence[str], within: Sequence[str], position: str
+) -> DataFrame:
+    """Positions of a table of keys.
+
+    The keys are range-partitioned and sorted once; each row gets a number
+    inside its partition in the same stage, and the result is written as a
+    table.  The number of rows before each partition comes from a scan of that
+    number column alone, and is joined back as a broadcast: it has one row per
     partition and group, whatever the data size.  The range shuffle splits a
     large group over many partitions, so a hot group is no hot task.
     """
-    keys = [*within, *order_by]
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    columns = [*within, *order_by]
+    ordered = keys.repartitionByRange(*columns).sortWithinPartitions(*columns)
     table = materialize(ordered.withColumn("__row", F.monotonically_increasing_id()), "ranked")
     table = table.withColumn("__part", F.shiftright("__row", _PARTITION_SHIFT))
 
@@ -52,17 +72,21 @@ def global_rank(
         .select(*within, "__part", (F.col("__before") - F.col("__first")).alias("__shift"))
     )
     left, right = table.alias("l"), F.broadcast(starts).alias("r")
-    same = F.col("l.__part") == F.col("r.__part")
-    for name in within:
-        same = same & F.col(f"l.{name}").eqNullSafe(F.col(f"r.{name}"))
-    return left.join(right, same).select(
-        *[F.col(f"l.{name}") for name in df.columns],
+    return left.join(right, _same([*within, "__part"])).select(
+        *[F.col(f"l.{name}") for name in keys.columns],
         (F.col("l.__row") + F.col("r.__shift")).alias(position),
     )
 
 
+def _same(columns: Sequence[str]) -> Column:
+    """Null-safe equality of the columns of the aliases ``l`` and ``r``."""
+    return reduce(
+        Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+    )
+
+
 class RankedKeys:
-    """Positions of the key columns alone, for finding the keys at given ranks.
+    """Positions of the key columns alone, for finding where given ranks begin.
 
     Cutting a table at known ranks needs only the keys found there: the rows
     themselves are then placed by comparing their keys, with no shuffle and no
@@ -73,9 +97,9 @@ class RankedKeys:
         self.order_by = list(order_by)
         self.within = within
         groups = [within] if within else []
-        self._ranked = global_rank(
-            df.select(*groups, *order_by), order_by, within=groups, position="__position"
-        )
+        keys = df.select(*groups, *order_by)
+        self._types = {name: keys.schema[name].dataType.simpleString() for name in order_by}
+        self._ranked = rank_keys(keys, order_by, groups, "__position")
 
     def counts(self) -> dict:
         """Rows per group; one entry under ``None`` without groups."""
@@ -83,62 +107,80 @@ class RankedKeys:
         rows = self._ranked.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()
         return {row["g"]: row["n"] for row in rows}
 
-    def at(self, ranks: dict[object, Iterable[int]]) -> dict[object, list[tuple]]:
-        """The key at each rank of each group, checked to differ from the one before."""
-        wanted = {g: sorted(set(r)) for g, r in ranks.items()}
+    def at(self, ranks: Mapping[object, Iterable[int]]) -> dict[object, list[str]]:
+        """For each rank of each group, an SQL condition: the row lies there or after.
+
+        It compares the row's keys with those found at the rank, up to the
+        first one that sets that row apart from the row before.
+        """
+        wanted = {group: sorted(set(numbers)) for group, numbers in ranks.items()}
         test = F.lit(False)
         for group, numbers in wanted.items():
-            if not numbers:
-                continue
-            needed = sorted({n for r in numbers for n in (r - 1, r) if n >= 0})
-            hit = F.col("__position").isin(needed)
-            if self.within:
-                hit = hit & F.col(self.within).eqNullSafe(F.lit(group))
-            test = test | hit
+            if numbers:
+                needed = sorted({n for r in numbers for n in (r - 1, r) if n >= 0})
+                hit = F.col("__position").isin(needed)
+                if self.within:
+                    hit = hit & F.col(self.within).eqNullSafe(F.lit(group))
+                test = test | hit
+        rows = self._ranked.filter(test).select(
+            F.col(self.within or "__position").alias("g"),
+            "__position",
+            *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(self.order_by)],
+        )
         found: dict[tuple, tuple] = {}
-        for row in self._ranked.filter(test).collect():
-            group = row[self.within] if self.within else None
-            found[group, row["__position"]] = tuple(row[k] for k in self.order_by)
-        out = {}
-        for group, numbers in wanted.items():
-            for rank in numbers:
-                key = found[group, rank]
-                if None in key or found.get((group, rank - 1)) == key:
-                    raise ValueError(
-                        f"order columns {self.order_by} do not identify rows at rank {rank}; "
-                        "add a unique id as the last one"
-                    )
-            out[group] = [found[group, rank] for rank in numbers]
-        return out
-
-
-def at_or_after(order_by: Sequence[str], key: Sequence) -> Column:
-    """True where the row's key is not below ``key``, compared column by column."""
-    out = None
-    for name, value in reversed(list(zip(order_by, key))):
-        column, value = F.col(name), F.lit(value)
-        if out is None:
-            out = column >= value
-        else:
-            out = (column > value) | ((column == value) & out)
-    return F.coalesce(out, F.lit(False))
-
-
-def bounds_passed(order_by: Sequence[str], bounds: Sequence[Sequence]) -> Column:
-    """How many of the ascending ``bounds`` the row's key has reached.
-
-    A balanced tree of comparisons: log2(len(bounds)) are evaluated per row.
+        for group, position, *key in rows.collect():
+            found[group if self.within else None, position] = tuple(key)
+        return {
+            group: [
+                self._condition(self._cut(found[group, r], found.get((group, r - 1))))
+                for r in numbers
+            ]
+            for group, numbers in wanted.items()
+        }
+
+    def _cut(self, key: tuple, before: tuple | None) -> tuple:
+        if before is None:
+            return key[:1]
+        for width, (new, old) in enumerate(zip(key, before), 1):
+            if new is None:
+                break
+            if new != old:
+                return key[:width]
+        raise ValueError(
+            f"order columns {self.order_by} do not identify rows near {key}; "
+            "add a unique id as the last one"
+        )
+
+    def _condition(self, key: tuple) -> str:
+        out = ""
+        for name, value in reversed(list(zip(self.order_by, key))):
+            column = "`" + name.replace("`", "``") + "`"
+            text = f"decode(unhex('{value.encode().hex()}'), 'UTF-8')"
+            bound = f"cast({text} as {self._types[name]})"
+            out = (
+                f"({column} > {bound} or ({column} = {bound} and {out}))"
+                if out
+                else f"{column} >= {bound}"
+            )
+        return f"coalesce({out}, false)"
+
+
+def choose_range(bounds: Sequence[str], values: Sequence[str]) -> Column:
+    """The value of the range a row lies in; ``bounds`` part the ``values``.
+
+    A balanced tree of the conditions, so a row is compared with log2 of them.
+    It is built as one SQL text: a tree of Column calls would take longer on
+    the driver than the job itself.
     """
 
-    def search(low: int, high: int) -> Column:
+    def search(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return values[low]
         mid = (low + high) // 2
-        return F.when(at_or_after(order_by, bounds[mid]), search(mid + 1, high)).otherwise(
-            search(low, mid)
-        )
+        after, before = search(mid + 1, high), search(low, mid)
+        return f"case when {bounds[mid]} then {after} else {before} end"
 
-    return search(0, len(bounds))
+    return F.expr(search(0, len(bounds)))
 
 
 def take_first(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
@@ -153,4 +195,4 @@ def take_first(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     if ranked.counts().get(None, 0) <= n:
         return df
     (bound,) = ranked.at({None: [n]})[None]
-    return df.filter(~at_or_after(order_by, bound))
+    return df.filter(~F.expr(bound))

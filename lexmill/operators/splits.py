@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.constants import DEFAULT_SEED, DEFAULT_SHARDS
-from lexmill.operators.ordering import RankedKeys, at_or_after, bounds_passed, global_rank
+from lexmill.operators.ordering import RankedKeys, choose_range, global_rank
 
 
 def concat_corpora(corpora: Sequence[DataFrame]) -> DataFrame:
@@ -33,7 +33,7 @@ def shuffle(
     """Seeded permutation inside each split.
 
     ``key`` must identify a row.  Rows come out range-partitioned and sorted in
-    the new order; with ``position`` they also carry their place in it.
+    the new order, or with ``position`` carry their place in it instead.
     """
     keyed = df.withColumn("shuffle_key", shuffle_key(key, seed))
     order = ["shuffle_key", *key]
@@ -49,6 +49,12 @@ def hash_fraction(key: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
     return head / F.lit(2.0**32)
 
 
+def holdout_split(key: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
+    """Split name of a row by its hash: train 90 %, validation 5 %, test 5 %."""
+    share = hash_fraction(key, seed)
+    return F.when(share < 0.9, "train").when(share < 0.95, "validation").otherwise("test")
+
+
 def split_holdout(
     df: DataFrame, key: Sequence[str], seed: int = DEFAULT_SEED, exact: bool = False
 ) -> DataFrame:
@@ -59,9 +65,7 @@ def split_holdout(
     (rounded up) held out, half of that (rounded up) for test.
     """
     if not exact:
-        share = hash_fraction(key, seed)
-        split = F.when(share < 0.9, "train").when(share < 0.95, "validation").otherwise("test")
-        return df.withColumn("split", split)
+        return df.withColumn("split", holdout_split(key, seed))
     keyed = df.withColumn("__key", shuffle_key(key, seed))
     order = ["__key", *key]
     ranked = RankedKeys(keyed, order)
@@ -71,7 +75,7 @@ def split_holdout(
     if total == 0:
         return df.withColumn("split", F.lit("train"))
     starts = [("train", 0), ("validation", total - held), ("test", total - tested)]
-    return keyed.withColumn("split", _named_ranges(ranked, order, starts, total)).drop("__key")
+    return keyed.withColumn("split", _named_ranges(ranked, starts, total)).drop("__key")
 
 
 def head_split(df: DataFrame, order_by: Sequence[str], percent: float = 5) -> DataFrame:
@@ -80,20 +84,17 @@ def head_split(df: DataFrame, order_by: Sequence[str], percent: float = 5) -> Da
     total = ranked.counts().get(None, 0)
     head = round(total * percent / 100)  # half-even
     starts = [("validation", 0), ("train", head)]
-    return df.withColumn("split", _named_ranges(ranked, order_by, starts, total))
+    return df.withColumn("split", _named_ranges(ranked, starts, total))
 
 
-def _named_ranges(ranked: RankedKeys, order_by, starts, total: int) -> Column:
+def _named_ranges(ranked: RankedKeys, starts, total: int) -> Column:
     """Name of the rank range a row lies in; ranges without rows drop out."""
     ends = [start for _, start in starts[1:]] + [total]
     filled = [(name, start) for (name, start), end in zip(starts, ends) if start < end]
     if not filled:
         return F.lit(starts[0][0])
-    keys = ranked.at({None: [start for _, start in filled[1:]]})[None]
-    out = F.lit(filled[0][0])
-    for (name, _), key in zip(filled[1:], keys):
-        out = F.when(at_or_after(order_by, key), name).otherwise(out)
-    return out
+    bounds = ranked.at({None: [start for _, start in filled[1:]]})[None]
+    return choose_range(bounds, [f"'{name}'" for name, _ in filled])
 
 
 def shard_starts(rows: int, shards: int) -> list[int]:
@@ -129,19 +130,18 @@ def assign_shards(
             for part, start in enumerate(shard_starts(high - low, files_per_shard))
             if low + start < high and (part == 0 or start > 0)
         ]
-    keys = ranked.at({group: [p[0] for p in rows[1:]] for group, rows in pieces.items()})
+    bounds = ranked.at({group: [p[0] for p in rows[1:]] for group, rows in pieces.items()})
 
-    def choose(value) -> Column:
+    def choose(field: int) -> Column:
         out = F.lit(None).cast("int")
         for group, rows in pieces.items():
-            names = F.array(*[F.lit(value(p)) for p in rows])
-            column = F.get(names, bounds_passed(order_by, keys[group]))
+            column = choose_range(bounds[group], [str(p[field]) for p in rows])
             if split is None:
                 return column
             out = F.when(F.col(split).eqNullSafe(F.lit(group)), column).otherwise(out)
         return out
 
-    out = df.withColumn("shard", choose(lambda p: p[1]))
+    out = df.withColumn("shard", choose(1))
     if files_per_shard > 1:
-        out = out.withColumn("part", choose(lambda p: p[2]))
+        out = out.withColumn("part", choose(2))
     return out

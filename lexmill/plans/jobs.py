@@ -17,6 +17,7 @@ from lexmill.constants import (
     VOCAB_SIZE,
 )
 from lexmill.functions.text import si_name
+from lexmill.functions.tokens import append_eos
 from lexmill.operators.cleaning import article_text, normalize_text, strip_nonempty
 from lexmill.operators.encode import tokenize
 from lexmill.operators.evaluate import argmax, eval_report
@@ -28,7 +29,13 @@ from lexmill.operators.sequences import (
     pack_blocks,
     pad_batches,
 )
-from lexmill.operators.splits import concat_corpora, head_split, shuffle_key, split_holdout
+from lexmill.operators.splits import (
+    concat_corpora,
+    head_split,
+    holdout_split,
+    shuffle_key,
+    split_holdout,
+)
 from lexmill.operators.unigram import train_unigram
 from lexmill.operators.vocab import save_vocab, training_sample
 from lexmill.session import materialize
@@ -71,15 +78,35 @@ def mixed_corpus(
 ) -> DataFrame:
     """Cleaned documents of all sources with their split and shuffle key.
 
-    With a vocabulary the rows are chunks of ``input_ids``, else ``text``.  The
-    whole chain is row-local: no shuffle happens before the corpus is written.
+    With a vocabulary the rows are chunks of ``input_ids``, else ``text``.  All
+    sources are tokenised in one row-local step; no shuffle happens before the
+    corpus is written, unless ``exact_split`` asks for exact shares.
     """
-    return concat_corpora(
-        [_prepare(s, vocab, chunk_size, seed, drop_empty, exact_split) for s in sources]
-    ).withColumn("shuffle_key", shuffle_key(ROW_KEY, seed))
+    corpus = concat_corpora([_clean(source, drop_empty) for source in sources])
+    crawled = F.col("kind") == "crawl"
+    if vocab is None:
+        corpus = corpus.withColumn("chunk_no", F.lit(0))
+    else:
+        ids = F.col("input_ids")
+        corpus = tokenize(corpus, vocab, add_special_tokens=False).withColumn(
+            "input_ids", F.when(crawled, ids).otherwise(append_eos(ids))
+        )
+        corpus = chunk_tokens(corpus, chunk_size)
+    if exact_split:
+        crawl = split_holdout(corpus.filter(crawled), ROW_KEY, seed, exact=True)
+        corpus = corpus.filter(~crawled).unionByName(crawl)
+    else:
+        hashed = holdout_split(ROW_KEY, seed)
+        corpus = corpus.withColumn("split", F.when(crawled, hashed).otherwise(F.col("split")))
+    return corpus.select(
+        "split",
+        *ROW_KEY,
+        "text" if vocab is None else "input_ids",
+        shuffle_key(ROW_KEY, seed).alias("shuffle_key"),
+    )
 
 
-def _prepare(source, vocab, chunk_size, seed, drop_empty, exact_split) -> DataFrame:
+def _clean(source: Source, drop_empty: bool) -> DataFrame:
     if source.kind not in ("markup", "plain", "crawl"):
         raise ValueError(f"unknown source kind {source.kind!r}")
     crawl = source.kind == "crawl"
@@ -87,17 +114,10 @@ def _prepare(source, vocab, chunk_size, seed, drop_empty, exact_split) -> DataFr
     if source.kind == "markup":
         df = article_text(df)
     elif crawl:
-        df = strip_nonempty(df)
+        df = strip_nonempty(df).withColumn("split", F.lit(None).cast("string"))
     if drop_empty:
         df = df.filter(F.col("text") != "")
-    if vocab is None:
-        df = df.withColumn("chunk_no", F.lit(0))
-    else:
-        df = chunk_tokens(tokenize(df, vocab, add_special_tokens=not crawl), chunk_size)
-    df = df.withColumn("source", F.lit(source.name))
-    if crawl:
-        df = split_holdout(df, ROW_KEY, seed, exact=exact_split)
-    return df.select("split", *ROW_KEY, "text" if vocab is None else "input_ids")
+    return df.withColumns({"source": F.lit(source.name), "kind": F.lit(source.kind)})
 
 
 def write_mixed_corpus(
