@@ -34,7 +34,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table; a file of one row group is spread over the cores."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, df.columns[0])
+    return df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -140,12 +140,13 @@ def train_unigram(
     model = Model(pieces, np.log(worths) - np.log(worths.sum()))
 
     target = int(vocab_size * OVERSIZE)
+    occurrences = int(words.agg(F.sum("n")).first()[0] or 0)
     while True:
         for _ in range(ROUNDS_PER_PRUNE):
             model = em_round(words, model)
         if len(model.pieces) <= target:
             break
-        smaller = prune(words, model, max(target, int(shrink * len(model.pieces))))
+        smaller = prune(words, model, max(target, int(shrink * len(model.pieces))), occurrences)
         if len(smaller.pieces) == len(model.pieces):
             break
         model = smaller
@@ -162,7 +163,7 @@ def em_round(words: DataFrame, model: Model) -> Model:
     return Model([model.pieces[i] for i in kept], scores)
 
 
-def prune(words: DataFrame, model: Model, size: int) -> Model:
+def prune(words: DataFrame, model: Model, size: int, occurrences: int) -> Model:
     """Keep the ``size`` pieces whose loss would hurt the likelihood most.
 
     Removing a piece moves its uses to its next-best segmentation.  One pass
@@ -171,15 +172,14 @@ def prune(words: DataFrame, model: Model, size: int) -> Model:
     """
     spark = words.sparkSession
     used = _sum_per_piece(words, model, _best_counts)
-    total = int(words.agg(F.sum("n")).first()[0])
-    shipped = spark.sparkContext.broadcast((model.pieces, model.scores, used["a"], used["b"], total))
+    shipped = spark.sparkContext.broadcast((model.pieces, model.scores, used["a"], used["b"]))
 
     def losses(batches):
-        pieces, scores, uses, seen, words_total = shipped.value
+        pieces, scores, uses, seen = shipped.value
         index = PieceIndex(pieces)
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            loss = _losses(index, pieces, scores, uses, seen, words_total, ids)
+            loss = _losses(index, pieces, scores, uses, seen / occurrences, ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), pa.array(loss)], names=["id", "loss"]
             )
@@ -194,11 +194,12 @@ def prune(words: DataFrame, model: Model, size: int) -> Model:
         .toArrow()["id"]
         .to_pylist()
     )
+    shipped.destroy()
     kept.sort()
     return Model([model.pieces[i] for i in kept], model.scores[kept])
 
 
-def _losses(index, pieces, scores, uses, seen, words_total, ids) -> list[float | None]:
+def _losses(index, pieces, scores, uses, share, ids) -> list[float | None]:
     """Likelihood lost without each piece; None: free to go; infinite: must stay."""
     own = [pieces[i] for i in ids]
     lattice = Lattice(index, own, skip_whole=True)
@@ -214,7 +215,7 @@ def _losses(index, pieces, scores, uses, seen, words_total, ids) -> list[float |
         log_total = np.log(uses_total + own_uses * (parts - 1))
         moved = np.log(uses[part].astype(float) + own_uses[word]) - log_total[word]
         after = np.bincount(word, weights=moved, minlength=len(ids))
-        loss = seen[ids] / words_total * (before - after)
+        loss = share[ids] * (before - after)
     out = []
     for i in range(len(ids)):
         if stuck[i]:
@@ -279,6 +280,7 @@ def _sum_per_piece(words: DataFrame, model: Model, count) -> dict[str, np.ndarra
         .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         .toArrow()
     )
+    shipped.destroy()
     out = {}
     for name in ("a", "b"):
         out[name] = np.zeros(len(model.pieces), dtype=np.int64)
