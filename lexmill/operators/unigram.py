@@ -303,8 +303,8 @@ def _finish(spark: SparkSession, model: Model, required: dict[str, int], vocab_s
         chosen.setdefault(piece, score)
     if len(chosen) != room:
         raise ValueError(
-            f"vocabulary size {vocab_size} does not fit this text: "
-            f"it allows {len(required) + FIRST_LEARNED_ID} to {len(scored) + FIRST_LEARNED_ID}"
+            f"vocabulary size {vocab_size} does not fit this text: it allows "
+            f"{len(required) + FIRST_LEARNED_ID} to {len({*required, *scored}) + FIRST_LEARNED_ID}"
         )
     learned = sorted(chosen.items(), key=lambda item: (-item[1], item[0]))
     rows = [(i, p, 0.0, k) for i, p, k in RESERVED]
