@@ -67,6 +67,9 @@ class Lattice:
 
     Node ``i`` of a word lies before its ``i``-th character.  An edge is a piece
     or, where no one-character piece fits, an unknown character (piece -1).
+    Every segmentation passes the nodes that no edge jumps over.  They part a
+    word into spans that are solved on their own, all at the same time, so the
+    number of steps is the length of the longest span and not of the text.
     """
 
     def __init__(self, index: PieceIndex, words: Sequence[str], skip_whole: bool = False):
@@ -83,18 +86,28 @@ class Lattice:
         start = np.concatenate([start, unknown])
         length = np.concatenate([length, np.ones(len(unknown), dtype=np.int64)])
         piece = np.concatenate([piece, np.full(len(unknown), -1)])
+        source = start + word[start]
+        target = source + length
 
         self.words, self.nodes = len(words), len(word) + len(words)
-        self.first = offset + np.arange(len(words))
-        self.last = self.first + lengths
-        self.steps = int(lengths.max(initial=0))
-        local = start - offset[word[start]]
+        jumps = np.zeros(self.nodes + 1, dtype=np.int64)
+        np.add.at(jumps, source + 1, 1)
+        np.add.at(jumps, target, -1)
+        fixed = np.flatnonzero(np.cumsum(jumps[:-1]) == 0)
+        ends_word = np.zeros(self.nodes, dtype=bool)
+        ends_word[offset + lengths + np.arange(len(words))] = True
+        opens = ~ends_word[fixed]
+        self.first = fixed[opens]  # first and last node of each span
+        self.last = fixed[np.flatnonzero(opens) + 1]
+        self.steps = int((self.last - self.first).max(initial=0))
+        self.span_word = np.searchsorted(np.flatnonzero(ends_word), self.first)
+
+        span = np.searchsorted(self.first, source, side="right") - 1
+        local = source - self.first[span]
         # longest piece first among the edges into a node: it wins equal scores
-        order = np.lexsort((-length, start + length + word[start], local + length))
-        self.word = word[start][order]
-        self.source = (start + word[start])[order]
-        self.target = self.source + length[order]
-        self.piece = piece[order]
+        order = np.lexsort((-length, target, local + length))
+        self.span, self.word = span[order], self.span_word[span[order]]
+        self.source, self.target, self.piece = source[order], target[order], piece[order]
         self._local_source, self._local_target = local[order], (local + length)[order]
 
     def weights(self, scores: np.ndarray, unknown: float) -> np.ndarray:
@@ -103,42 +116,50 @@ class Lattice:
     def best(self, weight: np.ndarray):
         """Best segmentation: (word, piece, start node) in text order, and scores."""
         score = np.full(self.nodes, -np.inf)
-        score[self.first] = 0.0
         back = np.zeros(self.nodes, dtype=np.int64)
         for low, high, group, node in _stages(self._local_target, self.target, self.steps):
-            value = score[self.source[low:high]] + weight[low:high]
+            value = weight[low:high] + np.where(
+                self._local_source[low:high] == 0, 0.0, score[self.source[low:high]]
+            )
             top = np.maximum.reduceat(value, group)
             owner = np.repeat(np.arange(len(group)), np.diff(np.append(group, high - low)))
             winner = np.flatnonzero(value == top[owner])
             owner = owner[winner]
             score[node] = top
             back[node] = low + winner[np.append(True, owner[1:] != owner[:-1])]
-        taken, words, node = [], np.arange(self.words), self.last
-        while len(words):
+        taken, spans, node = [], np.arange(len(self.first)), self.last
+        while len(spans):
             edge = back[node]
             taken.append(edge)
             node = self.source[edge]
-            open_ = node != self.first[words]
-            words, node = words[open_], node[open_]
+            open_ = node != self.first[spans]
+            spans, node = spans[open_], node[open_]
         edges = np.concatenate(taken) if taken else np.zeros(0, dtype=np.int64)
         edges = edges[np.argsort(self.source[edges])]
-        return self.word[edges], self.piece[edges], self.source[edges], score[self.last]
+        totals = np.bincount(self.span_word, weights=score[self.last], minlength=self.words)
+        return self.word[edges], self.piece[edges], self.source[edges], totals
 
     def expected(self, weight: np.ndarray) -> np.ndarray:
         """Probability of each edge over all segmentations of its word."""
         forward = np.full(self.nodes, -np.inf)
-        forward[self.first] = 0.0
         for low, high, group, node in _stages(self._local_target, self.target, self.steps):
-            forward[node] = _log_sums(forward[self.source[low:high]] + weight[low:high], group)
-        backward = np.full(self.nodes, -np.inf)
-        backward[self.last] = 0.0
+            before = np.where(
+                self._local_source[low:high] == 0, 0.0, forward[self.source[low:high]]
+            )
+            forward[node] = _log_sums(before + weight[low:high], group)
+        total = forward[self.last][self.span]
+
         order = np.lexsort((self.source, self._local_source))
         source, target, heavy = self.source[order], self.target[order], weight[order]
+        closing = target == self.last[self.span[order]]
+        backward = np.full(self.nodes, -np.inf)
         stages = list(_stages(self._local_source[order], source, self.steps))
         for low, high, group, node in reversed(stages):
-            backward[node] = _log_sums(backward[target[low:high]] + heavy[low:high], group)
-        total = forward[self.last][self.word]
-        return np.exp(forward[self.source] + weight + backward[self.target] - total)
+            after = np.where(closing[low:high], 0.0, backward[target[low:high]])
+            backward[node] = _log_sums(after + heavy[low:high], group)
+        before = np.where(self._local_source == 0, 0.0, forward[self.source])
+        after = np.where(self.target == self.last[self.span], 0.0, backward[self.target])
+        return np.exp(before + weight + after - total)
 
 
 def _stages(local: np.ndarray, node: np.ndarray, steps: int):
