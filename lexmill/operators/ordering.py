@@ -18,6 +18,9 @@ from lexmill.session import materialize
 # monotonically_increasing_id() = partition number << 33 | row in partition
 _PARTITION_SHIFT = 33
 
+# At most this many partition starts are broadcast.
+_BROADCAST_ROWS = 1_000_000
+
 # Up to this many rows a plain top-n is cheaper than finding a boundary key.
 _SMALL_LIMIT = 10_000
 
@@ -53,9 +56,10 @@ def rank_keys(
     The keys are range-partitioned and sorted once; each row gets a number
     inside its partition in the same stage, and the result is written as a
     table.  The number of rows before each partition comes from a scan of that
-    number column alone, and is joined back as a broadcast: it has one row per
-    partition and group, whatever the data size.  The range shuffle splits a
-    large group over many partitions, so a hot group is no hot task.
+    number column alone and is joined back.  It has one row per partition and
+    group, so it is broadcast unless there are very many groups.  The range
+    shuffle splits a large group over many partitions, so a hot group is no hot
+    task.
     """
     columns = [*within, *order_by]
     ordered = keys.repartitionByRange(*columns).sortWithinPartitions(*columns)
@@ -71,7 +75,9 @@ def rank_keys(
         .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .select(*within, "__part", (F.col("__before") - F.col("__first")).alias("__shift"))
     )
-    left, right = table.alias("l"), F.broadcast(starts).alias("r")
+    if not within or starts.limit(_BROADCAST_ROWS + 1).count() <= _BROADCAST_ROWS:
+        starts = F.broadcast(starts)
+    left, right = table.alias("l"), starts.alias("r")
     return left.join(right, _same([*within, "__part"])).select(
         *[F.col(f"l.{name}") for name in keys.columns],
         (F.col("l.__row") + F.col("r.__shift")).alias(position),

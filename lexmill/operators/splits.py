@@ -32,15 +32,18 @@ def shuffle(
 ) -> DataFrame:
     """Seeded permutation inside each split.
 
-    ``key`` must identify a row.  Rows come out range-partitioned and sorted in
-    the new order, or with ``position`` carry their place in it instead.
+    ``key`` must identify a row.  With ``position`` rows carry their place in
+    the new order.  Without, they come out in it, partition after partition:
+    the key is a uniform hash, so its leading bits name the partition and no
+    sampling pass is needed to find even ranges.
     """
     keyed = df.withColumn("shuffle_key", shuffle_key(key, seed))
     order = ["shuffle_key", *key]
     if position is not None:
         return global_rank(keyed, order, within=list(within), position=position)
-    columns = [*within, *order]
-    return keyed.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(hash_fraction(key, seed) * tasks).cast("int")
+    return keyed.repartitionById(tasks, place).sortWithinPartitions(*within, *order)
 
 
 def hash_fraction(key: Sequence[str], seed: int = DEFAULT_SEED) -> Column:

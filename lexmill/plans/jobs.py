@@ -140,7 +140,10 @@ def export_corpus(
 ) -> None:
     """One normalised document per line of a plain-text corpus's split."""
     docs = text_only(read_split(spark, path, split), keep=order_by)
-    export_text(normalize_text(docs), out, order_by)
+    if order_by:
+        # sorted before it is normalised: finding the ranges reads the input twice
+        docs = docs.orderBy(*order_by)
+    export_text(normalize_text(docs), out)
 
 
 def build_vocabulary(

@@ -60,9 +60,12 @@ def test_shuffle_is_one_permutation_per_split(docs):
 
 def test_shuffled_rows_come_out_in_order(docs):
     out = shuffle(docs(4), ["doc_id"])
-    assert [r.doc_id for r in out.collect()] == [
-        r.doc_id for r in out.orderBy("split", "shuffle_key").collect()
-    ]
+    rows_, ordered = out.collect(), out.orderBy("split", "shuffle_key").collect()
+    for split in ("train", "test"):
+        assert [r.doc_id for r in rows_ if r.split == split] == [
+            r.doc_id for r in ordered if r.split == split
+        ]
+    assert out.rdd.getNumPartitions() == 8
 
 
 @pytest.mark.parametrize("total", [0, 1, 9, 100, 101, 1003])
