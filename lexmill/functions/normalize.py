@@ -45,14 +45,13 @@ HALF_PUNCTUATION = {h: w for h, w in _HALF_KANA.items() if h in "｡､･｢｣
 HALF_KANA = {h: w for h, w in _HALF_KANA.items() if h not in HALF_PUNCTUATION}
 
 # Kana that take a voiced mark (the k, s, t, h rows and u) or a semi-voiced one
-# (the h row), each in half and full width.
+# (the h row).
 _VOICED_KANA = "ｳｶｷｸｹｺｻｼｽｾｿﾀﾁﾂﾃﾄﾊﾋﾌﾍﾎ"
 _SEMI_VOICED_KANA = "ﾊﾋﾌﾍﾎ"
 KANA_WITH_MARKS = {
-    form + mark: unicodedata.normalize("NFKC", half + mark)
+    _HALF_KANA[half] + mark: unicodedata.normalize("NFKC", half + mark)
     for mark, kana in ((_VOICED, _VOICED_KANA), (_SEMI_VOICED, _SEMI_VOICED_KANA))
     for half in kana
-    for form in (half, _HALF_KANA[half])
 }
 
 # Blocks next to which a space carries no meaning: ideographs, hiragana,
@@ -85,7 +84,7 @@ def narrow_symbols(text: Column) -> Column:
 
 
 def join_kana_marks(text: Column) -> Column:
-    """Half-width voiced marks joined to the kana before them."""
+    """Half-width voiced marks joined to the full-width kana before them."""
     for pair, kana in KANA_WITH_MARKS.items():
         text = F.replace(text, F.lit(pair), F.lit(kana))
     return _translate(text, _HALF_MARKS)
@@ -93,7 +92,7 @@ def join_kana_marks(text: Column) -> Column:
 
 def widen_kana(text: Column) -> Column:
     """Half-width katakana to full width, voiced marks included."""
-    return _translate(join_kana_marks(text), HALF_KANA)
+    return join_kana_marks(_translate(text, HALF_KANA))
 
 
 def unify_prolonged(text: Column) -> Column:
@@ -117,10 +116,12 @@ def drop_cjk_spaces(text: Column) -> Column:
     """Remove single spaces between wide blocks, and between those and ASCII.
 
     Look-around leaves the neighbours unconsumed, so spaces one character
-    apart are all found in the one pass.
+    apart are all found in the one pass.  The space itself comes first in the
+    pattern, so all other positions are passed over quickly.
     """
+    after_cjk, after_latin = f"(?<=[{_CJK}] )", f"(?<=[{_LATIN}] )"
     return F.regexp_replace(
-        text, f"(?<=[{_CJK}]) (?=[{_CJK}{_LATIN}])|(?<=[{_LATIN}]) (?=[{_CJK}])", ""
+        text, f" (?:{after_cjk}(?=[{_CJK}{_LATIN}])|{after_latin}(?=[{_CJK}]))", ""
     )
 
 
@@ -128,12 +129,29 @@ def unify_spaces(text: Column) -> Column:
     return drop_cjk_spaces(squeeze_spaces(text))
 
 
+# Everything that maps one character to one, in a single pass.  Variants of the
+# long-vowel mark, hyphen and tilde become one of their kind, whose runs are
+# then cheap to find; an ASCII hyphen is no variant and keeps its runs.
+_RUN_HYPHEN = HYPHENS[2]
+_ONE_TO_ONE = (
+    WIDE_ALNUM
+    | WIDE_SYMBOLS
+    | HALF_PUNCTUATION
+    | HALF_KANA
+    | {c: "ー" for c in PROLONGED}
+    | {c: _RUN_HYPHEN for c in HYPHENS}
+    | {c: "〜" for c in TILDES}
+    | {"　": " "}
+)
+
+
 def normalize_wide(text: Column) -> Column:
     """All steps after the newline token, for text that may hold any character."""
     marked = text.rlike(f"[{_VOICED}{_SEMI_VOICED}]")
-    text = F.when(marked, join_kana_marks(text)).otherwise(text)
-    text = _translate(text, WIDE_ALNUM | WIDE_SYMBOLS | HALF_PUNCTUATION | HALF_KANA)
-    return unify_spaces(unify_tildes(unify_hyphens(unify_prolonged(text))))
+    mapped = _translate(text, _ONE_TO_ONE)
+    mapped = F.when(marked, join_kana_marks(mapped)).otherwise(mapped)
+    runs = F.regexp_replace(F.regexp_replace(mapped, "ー{2,}", "ー"), f"{_RUN_HYPHEN}+", "-")
+    return drop_cjk_spaces(F.regexp_replace(runs, " {2,}", " "))
 
 
 def normalize(text: Column, token: str = NEWLINE_PIECE) -> Column:

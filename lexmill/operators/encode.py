@@ -6,6 +6,7 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -75,15 +76,14 @@ def compatibility_text(text: Column) -> Column:
 
 def special_parts(text: Column, special: Sequence[str] = SPECIAL_PIECES) -> Column:
     """Cut text at special tokens; the texts between are normalised one by one."""
-    firsts = "".join(sorted({re.escape(s[0]) for s in special}))
     names = "|".join(re.escape(s) for s in special)
-    # looking at one character first spares most positions the alternatives
-    found = f"(?=[{firsts}])(?:{names})"
-    cut = F.split(text, f"(?={found})|(?<={names})")
+    cut = F.split(text, f"(?={names})|(?<={names})")
     parts = F.transform(
         cut, lambda p: F.when(p.isin(list(special)), p).otherwise(normalize(p))
     )
-    return F.when(text.rlike(found), F.filter(parts, lambda p: p != "")).otherwise(
+    # most texts hold none of the first characters and skip the pattern
+    possible = reduce(Column.__or__, [text.contains(c) for c in sorted({s[0] for s in special})])
+    return F.when(possible & text.rlike(names), F.filter(parts, lambda p: p != "")).otherwise(
         F.array(normalize(text))
     )
 
