@@ -39,24 +39,26 @@ class PieceIndex:
         self.keys = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
         self.piece_at = np.full(states, -1, dtype=np.int64)
         self.piece_at[state] = np.arange(len(pieces))
+        # the first character is looked up directly; the last slot means none
+        roots = keys[0] if keys else self.keys
+        self.root = np.zeros(int(roots.max(initial=0)) + 2, dtype=np.int64)
+        self.root[roots] = np.arange(len(roots)) + 1
 
     def matches(self, chars: np.ndarray, ends: np.ndarray):
         """(start, length, piece) of every piece found; ``ends`` bounds each start."""
-        found = []
-        at = np.arange(len(chars))
-        state = np.zeros(len(chars), dtype=np.int64)
-        depth = 0
-        while len(at) and len(self.keys):
-            wanted = (state << _CHAR_BITS) | chars[at + depth]
-            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-            hit = self.keys[place] == wanted
-            at, state = at[hit], place[hit] + 1
-            depth += 1
+        state = self.root[np.minimum(chars, len(self.root) - 1)]
+        at = np.flatnonzero(state)
+        state, depth, found = state[at], 1, []
+        while len(at):
             piece = self.piece_at[state]
             whole = piece >= 0
             found.append((at[whole], np.full(int(whole.sum()), depth), piece[whole]))
             more = at + depth < ends[at]
             at, state = at[more], state[more]
+            wanted = (state << _CHAR_BITS) | chars[at + depth]
+            place = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            hit = self.keys[place] == wanted
+            at, state, depth = at[hit], place[hit] + 1, depth + 1
         if not found:
             return (np.zeros(0, dtype=np.int64),) * 3
         return tuple(np.concatenate(part) for part in zip(*found))
@@ -90,10 +92,9 @@ class Lattice:
         target = source + length
 
         self.words, self.nodes = len(words), len(word) + len(words)
-        jumps = np.zeros(self.nodes + 1, dtype=np.int64)
-        np.add.at(jumps, source + 1, 1)
-        np.add.at(jumps, target, -1)
-        fixed = np.flatnonzero(np.cumsum(jumps[:-1]) == 0)
+        begun = np.bincount(source + 1, minlength=self.nodes)
+        ended = np.bincount(target, minlength=self.nodes)
+        fixed = np.flatnonzero(np.cumsum(begun - ended) == 0)
         ends_word = np.zeros(self.nodes, dtype=bool)
         ends_word[offset + lengths + np.arange(len(words))] = True
         opens = ~ends_word[fixed]
@@ -105,7 +106,8 @@ class Lattice:
         span = np.searchsorted(self.first, source, side="right") - 1
         local = source - self.first[span]
         # longest piece first among the edges into a node: it wins equal scores
-        order = np.lexsort((-length, target, local + length))
+        widest = int(length.max(initial=0)) + 1
+        order = np.argsort(((local + length) * self.nodes + target) * widest - length)
         self.span, self.word = span[order], self.span_word[span[order]]
         self.source, self.target, self.piece = source[order], target[order], piece[order]
         self._local_source, self._local_target = local[order], (local + length)[order]
@@ -149,7 +151,7 @@ class Lattice:
             forward[node] = _log_sums(before + weight[low:high], group)
         total = forward[self.last][self.span]
 
-        order = np.lexsort((self.source, self._local_source))
+        order = np.argsort(self._local_source * self.nodes + self.source)
         source, target, heavy = self.source[order], self.target[order], weight[order]
         closing = target == self.last[self.span[order]]
         backward = np.full(self.nodes, -np.inf)
