@@ -37,5 +37,8 @@ TRAINING_SENTENCES = 1_000_000
 MAX_SENTENCE_BYTES = 65_536
 CHARACTER_COVERAGE = 0.9995
 
+# A shard of more rows than this is written as several files.
+MAX_FILE_ROWS = 1_000_000
+
 # A vocabulary above this many pieces is never broadcast or collected.
 MAX_BROADCAST_PIECES = 2_000_000

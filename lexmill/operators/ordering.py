@@ -42,6 +42,13 @@ def global_rank(
     ranked = rank_keys(df.select(*keys), order_by, within, position)
     if set(df.columns) == set(keys):
         return ranked.select(*df.columns, position)
+    return join_positions(df, ranked, keys, position)
+
+
+def join_positions(
+    df: DataFrame, ranked: DataFrame, keys: Sequence[str], position: str
+) -> DataFrame:
+    """Bring ranked keys back to their rows, after a check that they are unique."""
     if not ranked.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise ValueError(f"order columns {keys} do not identify a row; add a unique id")
     left, right = df.alias("l"), ranked.alias("r")
@@ -107,6 +114,12 @@ class RankedKeys:
         self._types = {name: keys.schema[name].dataType.simpleString() for name in order_by}
         self._ranked = rank_keys(keys, order_by, groups, "__position")
 
+    def positions(self, df: DataFrame, position: str) -> DataFrame:
+        """``df`` with the position of each row in its group."""
+        keys = [*([self.within] if self.within else []), *self.order_by]
+        ranked = self._ranked.withColumnRenamed("__position", position)
+        return join_positions(df, ranked, keys, position)
+
     def counts(self) -> dict:
         """Rows per group; one entry under ``None`` without groups."""
         group = F.col(self.within) if self.within else F.lit(None)

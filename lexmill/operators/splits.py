@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from lexmill.constants import DEFAULT_SEED, DEFAULT_SHARDS
 from lexmill.operators.ordering import RankedKeys, choose_range, global_rank
 
+# Comparisons with more bounds than this no longer compile to one method.
+MOST_BOUNDS = 512
+
 
 def concat_corpora(corpora: Sequence[DataFrame]) -> DataFrame:
     """Bag union by column name; the ``split`` column keeps splits apart."""
@@ -111,40 +115,95 @@ def assign_shards(
     order_by: Sequence[str],
     shards: int | Mapping[str, int] = DEFAULT_SHARDS,
     split: str | None = "split",
-    files_per_shard: int = 1,
 ) -> DataFrame:
     """Add ``shard``, the contiguous shard of each row in its split's order.
 
     The first ``rows mod n`` shards hold one row more.  Only the keys are
-    ranked; rows are placed by comparing with the shards' first keys.  With
-    ``files_per_shard`` above 1 a column ``part`` cuts each shard again.
+    ranked; rows are placed by comparing with the shards' first keys.
+    """
+    placed, _ = place_rows(df, order_by, shards, split)
+    return placed.drop("file_no")
+
+
+@dataclass(frozen=True)
+class _Layout:
+    """How the rows of one split are cut: shards, and files within each."""
+
+    rows: int
+    shards: int
+    files: int
+    first_file: int
+
+    def pieces(self) -> list[tuple[int, int, int]]:
+        """(first rank, shard, file number) of every file that has rows."""
+        cuts = [*shard_starts(self.rows, self.shards), self.rows]
+        out = []
+        for shard, (low, high) in enumerate(zip(cuts, cuts[1:])):
+            starts = [*shard_starts(high - low, self.files), high - low]
+            for part, (start, end) in enumerate(zip(starts, starts[1:])):
+                if start < end:
+                    out.append((low + start, shard, self.first_file + shard * self.files + part))
+        return out
+
+    def of_position(self, position: Column) -> tuple[Column, Column]:
+        """The same cut, worked out from a row's position."""
+        shard, inside, size = _contiguous(position, F.lit(self.rows), self.shards)
+        part, _, _ = _contiguous(inside, size, self.files)
+        return shard, shard * self.files + part + self.first_file
+
+
+def _contiguous(position: Column, rows: Column, pieces: int) -> tuple[Column, Column, Column]:
+    """Piece of a position, position within the piece, rows of the piece."""
+    base, longer = F.floor(rows / pieces), rows % pieces
+    in_longer = position < longer * (base + 1)
+    size = F.when(in_longer, base + 1).otherwise(base)
+    past = position - F.when(in_longer, F.lit(0)).otherwise(longer * (base + 1))
+    piece = F.floor(past / size) + F.when(in_longer, F.lit(0)).otherwise(longer)
+    return piece.cast("int"), past % size, size
+
+
+def place_rows(
+    df: DataFrame,
+    order_by: Sequence[str],
+    shards: int | Mapping[str, int],
+    split: str | None = "split",
+    max_file_rows: int | None = None,
+) -> tuple[DataFrame, int]:
+    """Add ``shard`` and ``file_no``, and tell how many files there are.
+
+    With ``max_file_rows`` a shard of more rows is cut into equal contiguous
+    files.  Up to ``MOST_BOUNDS`` files a row is placed by comparing its keys;
+    beyond that the comparison would get too large, and the rows are joined
+    with their positions instead.
     """
     ranked = RankedKeys(df, order_by, within=split)
-    counts = ranked.counts()
-    pieces: dict[object, list[tuple[int, int, int]]] = {}  # (start, shard, part)
-    for group, rows in counts.items():
+    layouts: dict[object, _Layout] = {}
+    total = 0
+    for group, rows in sorted(ranked.counts().items(), key=lambda item: str(item[0])):
         number = shards if isinstance(shards, int) else shards.get(group)
         if number is None:
             raise ValueError(f"no shard count given for split {group!r}")
-        cuts = [*shard_starts(rows, number), rows]
-        pieces[group] = [
-            (low + start, shard, part)
-            for shard, (low, high) in enumerate(zip(cuts, cuts[1:]))
-            for part, start in enumerate(shard_starts(high - low, files_per_shard))
-            if low + start < high and (part == 0 or start > 0)
-        ]
-    bounds = ranked.at({group: [p[0] for p in rows[1:]] for group, rows in pieces.items()})
-
-    def choose(field: int) -> Column:
+        longest = -(-rows // number)
+        files = max(1, -(-longest // max_file_rows)) if max_file_rows else 1
+        layouts[group] = _Layout(rows, number, files, total)
+        total += number * files
+
+    if total <= MOST_BOUNDS:
+        pieces = {group: layout.pieces() for group, layout in layouts.items()}
+        bounds = ranked.at({group: [p[0] for p in rows[1:]] for group, rows in pieces.items()})
+        columns = {
+            group: tuple(choose_range(bounds[group], [str(p[i]) for p in rows]) for i in (1, 2))
+            for group, rows in pieces.items()
+        }
+    else:
+        df = ranked.positions(df, "__position")
+        columns = {g: layout.of_position(F.col("__position")) for g, layout in layouts.items()}
+
+    def choose(which: int) -> Column:
         out = F.lit(None).cast("int")
-        for group, rows in pieces.items():
-            column = choose_range(bounds[group], [str(p[field]) for p in rows])
-            if split is None:
-                return column
-            out = F.when(F.col(split).eqNullSafe(F.lit(group)), column).otherwise(out)
-        return out
+        for group, pair in columns.items():
+            same = F.lit(True) if split is None else F.col(split).eqNullSafe(F.lit(group))
+            out = F.when(same, pair[which]).otherwise(out)
+        return out.cast("int")
 
-    out = df.withColumn("shard", choose(1))
-    if files_per_shard > 1:
-        out = out.withColumn("part", choose(2))
-    return out
+    return df.withColumns({"shard": choose(0), "file_no": choose(1)}).drop("__position"), total

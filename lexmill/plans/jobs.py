@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexmill.constants import (
     DEFAULT_SEED,
     DEFAULT_SHARDS,
+    MAX_FILE_ROWS,
     MODEL_MAX_LENGTH,
     PACK_BATCH_ROWS,
     TRAINING_SENTENCES,
@@ -124,7 +125,7 @@ def write_mixed_corpus(
     corpus: DataFrame,
     path: str,
     shards: Mapping[str, int] = DEFAULT_SHARDS,
-    files_per_shard: int = 1,
+    max_file_rows: int | None = MAX_FILE_ROWS,
 ) -> None:
     """Write a mixed corpus in shuffled order as contiguous shards.
 
@@ -132,7 +133,7 @@ def write_mixed_corpus(
     finding the shard bounds then reads only the key columns.
     """
     stored = materialize(corpus, "corpus")
-    write_shards(stored, path, ["shuffle_key", *ROW_KEY], shards, files_per_shard)
+    write_shards(stored, path, ["shuffle_key", *ROW_KEY], shards, max_file_rows)
 
 
 def export_corpus(

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.constants import DEFAULT_SHARDS, SPLITS
-from lexmill.operators.splits import assign_shards
+from lexmill.constants import DEFAULT_SHARDS, MAX_FILE_ROWS, SPLITS
+from lexmill.operators.splits import place_rows
 
 ROW_ORDER = ["source_file", "block_start", "line_no"]
 
@@ -100,27 +100,18 @@ def write_shards(
     path: str,
     order_by: Sequence[str],
     shards: Mapping[str, int] = DEFAULT_SHARDS,
-    files_per_shard: int = 1,
+    max_file_rows: int | None = MAX_FILE_ROWS,
 ) -> None:
     """Write contiguous shards under ``split=…/shard=…``, rows in order.
 
-    One shuffle places every shard, or with ``files_per_shard`` every part of a
-    shard, in a partition of its own; each is one file.  Raise
-    ``files_per_shard`` until a file fits one task.
+    One shuffle gives every shard a partition and a file of its own; a shard of
+    more than ``max_file_rows`` rows gets several, so that none outgrows a task.
     """
-    placed = assign_shards(df, order_by, shards, files_per_shard=files_per_shard)
-    slot, base = F.lit(None).cast("int"), 0
-    for split, number in shards.items():
-        inner = F.col("shard") * files_per_shard
-        if files_per_shard > 1:
-            inner = inner + F.col("part")
-        slot = F.when(F.col("split") == split, inner + base).otherwise(slot)
-        base += number * files_per_shard
+    placed, files = place_rows(df, order_by, shards, max_file_rows=max_file_rows)
     (
-        placed.withColumn("__slot", slot)
-        .repartitionById(base, "__slot")
+        placed.repartitionById(max(files, 1), "file_no")
         .sortWithinPartitions("split", "shard", *order_by)
-        .drop("__slot", "part")
+        .drop("file_no")
         .write.partitionBy("split", "shard")
         .parquet(path)
     )

@@ -3,6 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.operators import splits
 from lexmill.operators.ordering import global_rank
 from lexmill.sources.corpus import (
     ROW_ORDER,
@@ -36,11 +37,24 @@ def test_shards_are_one_file_each_and_read_back(spark, docs, tmp_path):
     assert [r.doc_id for r in first] == [3 * i for i in range(6)]
 
 
-def test_shards_of_several_files(docs, tmp_path):
+@pytest.mark.parametrize("most", [0, 512])
+def test_shards_of_several_files(spark, docs, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(splits, "MOST_BOUNDS", most)
     path = tmp_path / "corpus"
-    counts = {"train": 2, "validation": 2, "test": 1}
-    write_shards(docs, str(path), ["doc_id"], counts, files_per_shard=4)
-    assert {len(list(s.glob("*.parquet"))) for s in path.glob("split=*/shard=*")} == {4}
+    counts = {"train": 2, "validation": 3, "test": 1}
+    write_shards(docs, str(path), ["doc_id"], counts, max_file_rows=10)
+    files = {s.parent.name: len(list(s.glob("*.parquet"))) for s in path.glob("split=*/shard=*")}
+    assert files == {"split=train": 4, "split=validation": 3, "split=test": 7}
+    back = read_corpus(spark, str(path)).withColumn("file", F.col("_metadata.file_name"))
+    for split, number in counts.items():
+        mine = back.filter(F.col("split") == split).orderBy("doc_id").collect()
+        assert [r.doc_id for r in mine] == sorted(r.doc_id for r in docs.collect() if r["split"] == split)
+        cuts = [*splits.shard_starts(len(mine), number), len(mine)]
+        assert [r.shard for r in mine] == [
+            s for s, (a, b) in enumerate(zip(cuts, cuts[1:])) for _ in range(b - a)
+        ]
+        runs = [r.file for r, before in zip(mine, [None, *mine]) if before is None or r.file != before.file]
+        assert len(runs) == len(set(runs))  # each file is one contiguous range
 
 
 def test_split_from_file_names_and_pruning(spark, docs, tmp_path):

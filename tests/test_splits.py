@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import ordering
+from lexmill.operators import ordering, splits
 from lexmill.operators.ordering import global_rank, take_first
 from lexmill.operators.splits import (
     assign_shards,
@@ -102,10 +102,11 @@ def test_shard_sizes():
     assert sorted(sizes(100, 48), reverse=True) == [3] * 4 + [2] * 44
 
 
-@pytest.mark.parametrize("files", [1, 3])
-def test_shards_are_contiguous(docs, files):
+@pytest.mark.parametrize("most", [0, 512])
+def test_shards_are_contiguous(docs, monkeypatch, most):
+    monkeypatch.setattr(splits, "MOST_BOUNDS", most)
     counts = {"train": 48, "test": 5}
-    placed = assign_shards(docs(6), ["doc_id"], counts, files_per_shard=files).collect()
+    placed = assign_shards(docs(6), ["doc_id"], counts).collect()
     for split, n in counts.items():
         ids = sorted(r.doc_id for r in placed if r.split == split)
         cuts = [*shard_starts(len(ids), n), len(ids)]
