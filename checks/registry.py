@@ -57,7 +57,7 @@ def joined(ids: Column) -> Column:
 
 def doc_words(text: Column) -> Column:
     spaced = F.replace(text, F.lit("\n"), F.lit(" <n> "))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def word_docs(spark: SparkSession, folder: str) -> DataFrame:

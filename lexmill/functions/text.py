@@ -67,13 +67,3 @@ def si_format(num: Column, suffix: str = "B") -> Column:
         inside = F.abs(v) < 1000
         out = F.when(inside, name(v, 0, unit)) if out is None else out.when(inside, name(v, 0, unit))
     return out.otherwise(name(scaled[-1], 1, "Y"))
-
-
-def si_name(num: float, suffix: str = "B") -> str:
-    """Driver-side twin of :func:`si_format` for naming output folders."""
-    value = float(num)
-    for unit in ("", "K", "M", "G", "T", "P", "E", "Z"):
-        if abs(value) < 1000:
-            return f"{value:.0f}{unit}{suffix}"
-        value /= 1000
-    return f"{value:.1f}Y{suffix}"

@@ -122,6 +122,8 @@ class Encoder:
         for parts in rows:
             row = []
             for part in parts or ():
+                if part is None:
+                    continue
                 if part in self.special:
                     row.append(part)
                     continue

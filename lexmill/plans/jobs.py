@@ -17,7 +17,7 @@ from lexmill.constants import (
     TRAINING_SENTENCES,
     VOCAB_SIZE,
 )
-from lexmill.functions.text import si_name
+from lexmill.functions.text import si_format
 from lexmill.functions.tokens import append_eos
 from lexmill.operators.cleaning import article_text, normalize_text, strip_nonempty
 from lexmill.operators.encode import tokenize
@@ -172,7 +172,9 @@ def build_vocabulary(
         texts = lines.select("text", *ROW_ORDER)
     sample = training_sample(texts, order_by, sentences)
     vocab = train_unigram(sample, vocab_size, **training)
-    folder = f"{out.rstrip('/')}/{si_name(vocab_size, 'V')}_{si_name(sentences, 'S')}"
+    sizes = [si_format(F.lit(vocab_size), "V"), si_format(F.lit(sentences), "S")]
+    name = spark.range(1).select(F.concat_ws("_", *sizes)).first()[0]
+    folder = f"{out.rstrip('/')}/{name}"
     save_vocab(vocab, folder)
     return folder
 

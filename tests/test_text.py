@@ -82,7 +82,6 @@ def test_strip_nonempty_drops_blank_rows(rows):
 def test_si_names(rows, num, suffix, expected):
     df = rows([(float(num),)], "x double")
     assert df.select(X.si_format(F.col("x"), suffix)).first()[0] == expected
-    assert X.si_name(num, suffix) == expected
 
 
 def test_text_column_is_text_or_the_first(rows):

@@ -131,9 +131,9 @@ def test_special_tokens_in_text(spark, vocab):
 
 def test_unknown_runs_and_newlines(spark):
     vocab = small_vocab(spark, [("▁", -2.0), ("a", -2.0), ("b", -2.0), ("ab", -3.0), ("▁ab", -3.0)])
-    df = spark.createDataFrame([(0, "☃☃ ☃ab ab\nb"), (1, ""), (2, "☃")], "id int, text string")
+    df = spark.createDataFrame([(0, "☃☃ ☃ab ab\nb"), (1, ""), (2, "☃"), (3, None)], "id int, text string")
     ids = {r.id: r.input_ids for r in tokenize(df, vocab, add_special_tokens=False).collect()}
-    assert ids == {0: [3, 8, 3, 11, 12, 7, 10], 1: [], 2: [3]}
+    assert ids == {0: [3, 8, 3, 11, 12, 7, 10], 1: [], 2: [3], 3: []}
 
 
 def test_equal_scores_take_the_longest_piece(spark):
