@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import mixing, sharding, simhash
+from lexmill.llm import decontaminate, mixing, sharding, simhash
 from lexmill.llm.common import table
 
 QUERIES: dict = {}
@@ -106,3 +106,34 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "hilbert",
     )
+
+
+CONTAINED_SQL = """
+WITH items AS (
+  SELECT min(item_id) AS item_id, w, least(len(w), 5) AS l FROM (
+    SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+    FROM benchmark) WHERE len(w) > 0 GROUP BY w
+),
+item_shingles AS (
+  SELECT DISTINCT item_id, l, array_to_string(w[p : p + l - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - l + 2)) AS p FROM items)
+),
+sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id),
+docs AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, l, array_to_string(w[p : p + l - 1], ' ') AS s
+  FROM (SELECT d.doc_id, d.w, k.l, unnest(range(1, len(d.w) - k.l + 2)) AS p
+        FROM docs d, (SELECT DISTINCT l FROM items) k)
+)
+SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_shared, count(*) / n AS containment
+FROM doc_shingles JOIN item_shingles USING (l, s) JOIN sizes USING (item_id)
+GROUP BY doc_id, item_id, n HAVING 1000 * count(*) >= 800 * n
+"""
+
+
+@query("op9_benchmark_containment", CONTAINED_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
