@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, mixing, sharding, simhash
+from lexmill.llm import decontaminate, lines, mixing, sharding, simhash
 from lexmill.llm.common import table
 
 QUERIES: dict = {}
@@ -137,3 +137,9 @@ GROUP BY doc_id, item_id, n HAVING 1000 * count(*) >= 800 * n
 @query("op9_benchmark_containment", CONTAINED_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_fuzzy_line_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rows = lines.dedup_lines(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
