@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, lines, mixing, sharding, simhash
-from lexmill.llm.common import table
+from lexmill.llm import decontaminate, lines, mixing, quality, sharding, simhash
+from lexmill.llm.common import fold, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -143,3 +143,13 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines.dedup_lines(table(spark, folder, "documents"))
     return rows.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+@query("op2_attention_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scores = quality.quality_scores(docs, quality.learn_from(labels))
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    return scores.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
