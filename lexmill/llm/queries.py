@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, lines, mixing, quality, sharding, simhash
+from lexmill.llm import decontaminate, langid, lines, mixing, quality, sharding, simhash
 from lexmill.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -153,3 +153,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op7_kneser_ney_language")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    found = langid.identify_languages(docs, docs.filter(fold("doc_id", 4) != 2))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
