@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, langid, lines, mixing, quality, sharding, simhash
+from lexmill.llm import decontaminate, embeddings, langid, lines, mixing, quality, sharding, simhash
 from lexmill.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -161,3 +161,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     found = langid.identify_languages(docs, docs.filter(fold("doc_id", 4) != 2))
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op5_sorted_projection_duplicates")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.embedding_links(table(spark, folder, "embeddings"))
