@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, embeddings, langid, lines, mixing, quality, sharding, simhash
+from lexmill.llm import decontaminate, embeddings, langid, lines, mixing, passages, quality, sharding, simhash
 from lexmill.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -166,3 +166,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_sorted_projection_duplicates")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.embedding_links(table(spark, folder, "embeddings"))
+
+
+@query("op10_repeated_passages")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    rows = passages.remove_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
