@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, embeddings, langid, lines, mixing, passages, quality, sharding, simhash
+from lexmill.llm import decontaminate, embeddings, langid, lines, mixing, passages, quality, secret_scan, sharding, simhash
 from lexmill.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -172,3 +172,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     rows = passages.remove_repeats(table(spark, folder, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_secret_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Trained on findings in the web pages, applied to the documents."""
+    pages = table(spark, folder, "pages")
+    body = F.replace(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "), F.lit("&quot;"), F.lit('"'))
+    labelled = secret_scan.audited(secret_scan.candidates(pages, id_col="page_id", text=body, path="url"))
+    return secret_scan.scan(table(spark, folder, "documents"), labelled)
