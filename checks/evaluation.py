@@ -102,10 +102,11 @@ def _(spark, folder):
 @check(
     "e3_perplexity",
     f"""WITH {PREDICTIONS_SQL}
-        SELECT lang, avg(nll) AS loss, round(exp(avg(nll)), 6) AS perplexity FROM preds GROUP BY lang""",
+        SELECT lang, avg(nll) AS loss, round(exp(avg(nll)), 6) AS perplexity FROM preds
+        WHERE label <> -100 GROUP BY lang""",
 )
 def _(spark, folder):
-    loss = F.avg("nll")
+    loss = F.avg(F.when(F.col("label") != -100, F.col("nll")))
     return predictions(spark, folder).groupBy("lang").agg(
         loss.alias("loss"), F.round(perplexity(loss), 6).alias("perplexity")
     )
@@ -123,24 +124,63 @@ def _(spark, folder):
     )
 
 
-@check(
-    "e5_eval_report",
-    f"""WITH {PREDICTIONS_SQL},
-        t AS (SELECT *, lead(label) OVER w AS target, row_number() OVER w AS k FROM preds
-              WINDOW w AS (PARTITION BY seq_id ORDER BY pos)),
+def _report_sql(source: str, more: str = "") -> str:
+    return f"""WITH {PREDICTIONS_SQL}, {more}
+        t AS (SELECT *, lead(label) OVER w AS target, row_number() OVER w AS k FROM {source}
+              WINDOW w AS (PARTITION BY lang, seq_id ORDER BY pos)),
         s AS (SELECT *, target IS NOT NULL AND target <> -100 AS scored FROM t)
         SELECT lang, sum((k = 1)::INT)::BIGINT AS eval_samples,
                count(*) FILTER (scored) AS n_scored,
                sum((pred = target)::INT) FILTER (scored)::BIGINT AS n_hits,
                sum((pred = target)::INT) FILTER (scored)::DOUBLE / count(*) FILTER (scored) AS eval_accuracy,
-               avg(nll) AS eval_loss, round(exp(avg(nll)), 6) AS perplexity
-        FROM s GROUP BY lang""",
-)
-def _(spark, folder):
-    report = eval_report(predictions(spark, folder), by=["lang"])
+               avg(nll) FILTER (label <> -100) AS eval_loss,
+               round(exp(avg(nll) FILTER (label <> -100)), 6) AS perplexity
+        FROM s GROUP BY lang"""
+
+
+def _report(rows, **options):
+    report = eval_report(rows, by=["lang"], **options)
     return report.withColumn("perplexity", F.round("perplexity", 6))
 
 
+@check("e5_eval_report", _report_sql("preds"))
+def _(spark, folder):
+    return _report(predictions(spark, folder))
+
+
+# Both groups number their sequences alike.
+_REPEATED = "twice AS (SELECT * FROM preds UNION ALL SELECT seq_id, 'xx', pos, label, 3, nll FROM preds),"
+
+
+@check("e5_eval_report_repeated_ids", _report_sql("twice", _REPEATED))
+def _(spark, folder):
+    rows = predictions(spark, folder)
+    other = rows.withColumns({"lang": F.lit("xx"), "pred": F.lit(3)})
+    return _report(rows.unionByName(other))
+
+
+_FIRST = """kept AS (SELECT lang, seq_id FROM (
+            SELECT DISTINCT lang, seq_id, dense_rank() OVER (PARTITION BY lang ORDER BY seq_id) AS r FROM preds)
+            WHERE r <= 20),
+        cut AS (SELECT p.* FROM preds p JOIN kept USING (lang, seq_id)),"""
+
+
+@check("e5_eval_report_limited", _report_sql("cut", _FIRST))
+def _(spark, folder):
+    return _report(predictions(spark, folder), max_samples=20)
+
+
+@check("e5_eval_report_arrays", _report_sql("preds"))
+def _(spark, folder):
+    rows = predictions(spark, folder).groupBy("seq_id", "lang").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "label", "pred", "nll"))).alias("r")
+    )
+    arrays = rows.select(
+        "seq_id", "lang", F.col("r.label").alias("labels"), F.col("r.pred").alias("preds"), F.col("r.nll").alias("nll")
+    )
+    return _report(arrays)
+
+
 # A user turn is the prompt, the turn after it the model's answer.  Answers of
 # odd conversations have no stop token.
 _TURNS_SQL = """

@@ -49,11 +49,12 @@ def _sources(spark, folder):
         F.lit("\n_START_PARAGRAPH_\n"),
         F.replace("text", F.lit("\n"), F.lit("_NEWLINE_")),
     )
-    padded = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  "), "text")).otherwise("   ")
+    padded = docs.filter(third == 2).withColumn("text", F.concat(F.lit("  "), "text"))
+    blank = docs.withColumn("text", F.lit("   "))
     return [
         Source("wiki", split.filter(third == 0).withColumn("text", wiki), "markup"),
         Source("novels", split.filter(third == 1), "plain"),
-        Source("crawl", docs.filter(third == 2).withColumn("text", padded), "crawl"),
+        Source("crawl", padded.unionByName(blank), "crawl"),
     ]
 
 
@@ -62,8 +63,7 @@ def _sources(spark, folder):
     f"""WITH {PREFIX_VOCAB_SQL},
         src AS (SELECT doc_id, ['wiki', 'novels', 'crawl'][doc_id % 3 + 1] AS source,
                        CASE WHEN doc_id % 3 = 2 THEN coalesce(ids, []) ELSE list_append(coalesce(ids, []), 2) END AS ids
-                FROM documents LEFT JOIN enc USING (doc_id)
-                WHERE doc_id % 3 < 2 OR doc_id % 2 = 0),
+                FROM documents LEFT JOIN enc USING (doc_id)),
         chunks AS (SELECT doc_id, source, start // 128 AS chunk_no, ids[start + 1 : start + 128] AS ids
                    FROM (SELECT *, unnest(range(0, len(ids), 128)) AS start FROM src)
                    WHERE start = 0 OR len(ids) - start >= 10),
@@ -85,7 +85,7 @@ def _(spark, folder):
     f"""WITH parts AS (
           SELECT *, CASE WHEN source = 'crawl' THEN {_CRAWL_SPLIT} ELSE {_SPLIT} END AS split
           FROM (SELECT doc_id, ['wiki', 'novels', 'crawl'][doc_id % 3 + 1] AS source, 0 AS chunk_no, text
-                FROM documents WHERE doc_id % 3 < 2 OR doc_id % 2 = 0)),
+                FROM documents)),
         {_SHARD_SQL}
         SELECT split, shard, source, doc_id, text FROM placed""",
 )
@@ -146,6 +146,46 @@ def _(spark, folder):
     )
 
 
+_GIVEN = "CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN '{other}' ELSE 'train' END"
+
+
+def _given_sql(other: str, tail: str) -> str:
+    """Packed blocks of given splits; the first 5 % of train are cut off without a validation split."""
+    given = _GIVEN.format(other=other)
+    return f"""WITH {PREFIX_VOCAB_SQL},
+        g AS (SELECT doc_id, list_append(coalesce(ids, []), 2) AS ids, {given} AS given
+              FROM documents LEFT JOIN enc USING (doc_id)),
+        h AS (SELECT *, row_number() OVER (PARTITION BY given ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY given) AS n FROM g),
+        named AS (SELECT doc_id, ids, CASE WHEN '{other}' = 'train' AND given = 'train'
+                         AND k <= round_even(n * 5 / 100.0::DOUBLE, 0) THEN 'validation' ELSE given END AS split FROM h),
+        s AS (SELECT split, ids, row_number() OVER (PARTITION BY split ORDER BY doc_id) - 1 AS rank FROM named),
+        tokens AS (SELECT split, rank, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM s),
+        {blocks_sql('tokens', 512, 100, 'split, ')}
+        SELECT split, batch_no, block_no, array_to_string(ids, ' ') AS ids FROM {tail}"""
+
+
+def _given_blocks(spark, folder, other, **limits):
+    docs = table(spark, folder, "documents").withColumn("split", F.expr(_GIVEN.format(other=other)))
+    blocks = packed_training_set(
+        docs, prefix_vocab(spark, folder), ["doc_id"], block=512, batch_rows=100, **limits
+    )
+    return blocks.select("split", "batch_no", "block_no", joined("input_ids").alias("ids"))
+
+
+@check("f5_packed_keeps_test", _given_sql("train", "blocks"))
+def _(spark, folder):
+    return _given_blocks(spark, folder, "train")
+
+
+_CUT = """(SELECT *, row_number() OVER (PARTITION BY split ORDER BY batch_no, block_no) AS b FROM blocks)
+        WHERE NOT (split = 'train' AND b > 40) AND split <> 'validation'"""
+
+
+@check("f5_packed_limited", _given_sql("validation", _CUT))
+def _(spark, folder):
+    return _given_blocks(spark, folder, "validation", max_train_samples=40, max_eval_samples=0)
+
+
 @check(
     "f6_batch_preview",
     f"""WITH {PREFIX_VOCAB_SQL},
@@ -158,10 +198,7 @@ def _(spark, folder):
         FROM w""",
 )
 def _(spark, folder):
-    from lexmill.operators.encode import tokenize
-
-    ids = tokenize(documents(spark, folder), prefix_vocab(spark, folder))
-    return batch_preview(ids, ["doc_id"]).select(
+    return batch_preview(documents(spark, folder), ["doc_id"], vocab=prefix_vocab(spark, folder)).select(
         "doc_id",
         joined("input_ids").alias("ids"),
         joined("attention_mask").alias("mask"),
@@ -181,7 +218,7 @@ def _(spark, folder):
               sum((pred = target)::INT)::BIGINT AS n_hits,
               sum((pred = target)::INT)::DOUBLE / count(target) AS eval_accuracy,
               avg(nll) AS eval_loss, round(exp(avg(nll)), 6) AS perplexity
-       FROM t GROUP BY split""",
+       FROM t GROUP BY split -- no label is ignored here""",
 )
 def _(spark, folder):
     scores = table(spark, folder, "embeddings").select(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.constants import FIRST_LEARNED_ID
+from lexmill.operators.ordering import rank_keys
 from lexmill.operators.vocab import VOCAB_SCHEMA, reserved_pieces
 from lexmill.session import scratch_root
 
@@ -67,22 +67,16 @@ def word_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def word_vocab(docs: DataFrame) -> DataFrame:
-    """Reserved pieces, then the most frequent words in id order."""
-    top = (
-        docs.select(F.explode("tokens").alias("piece"))
-        .filter("piece <> '<n>'")
-        .groupBy("piece")
-        .count()
-        .orderBy(F.desc("count"), "piece")
-        .limit(STAND_IN_SIZE)
-        .collect()
+    """Reserved pieces, then all words in id order, frequent ones first."""
+    counts = docs.select(F.explode("tokens").alias("piece")).filter("piece <> '<n>'").groupBy("piece").count()
+    place = F.col("position")
+    learned = rank_keys(counts, ["-count", "piece"], [], "position").select(
+        (place + FIRST_LEARNED_ID).cast("int").alias("id"),
+        "piece",
+        (-F.log(place + 2.0)).alias("score"),
+        F.lit("normal").alias("kind"),
     )
-    rows = [
-        (FIRST_LEARNED_ID + i, row["piece"], -math.log(2 + i), "normal")
-        for i, row in enumerate(top)
-    ]
-    spark = docs.sparkSession
-    return reserved_pieces(spark).union(spark.createDataFrame(rows, VOCAB_SCHEMA))
+    return reserved_pieces(docs.sparkSession).union(learned)
 
 
 WORDS_SQL = """
@@ -96,8 +90,7 @@ words AS (
 WORD_VOCAB_SQL = f"""
 vocab AS (
   SELECT piece, 7 + row_number() OVER (ORDER BY n DESC, piece) AS id FROM (
-    SELECT w AS piece, count(*) AS n FROM words WHERE w <> '<n>' GROUP BY w
-    ORDER BY n DESC, piece LIMIT {STAND_IN_SIZE})
+    SELECT w AS piece, count(*) AS n FROM words WHERE w <> '<n>' GROUP BY w)
   UNION ALL
   SELECT * FROM (VALUES ('<pad>', 0), ('<s>', 1), ('</s>', 2), ('<unk>', 3),
                         ('[SEP]', 4), ('[CLS]', 5), ('[MASK]', 6), ('<n>', 7)) AS r(piece, id)

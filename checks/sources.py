@@ -59,10 +59,10 @@ def _(spark, folder):
     return read_text_files(spark, *paths, keep_linebreaks=False).select("split", "text")
 
 
-@check("s3_read_csv_files", f"SELECT doc_id::VARCHAR AS doc_id, {_LINE} AS text, 'train' AS split FROM documents")
+@check("s3_read_csv_files", "SELECT doc_id::VARCHAR AS doc_id, text, 'train' AS split FROM documents")
 def _(spark, folder):
     path = fresh_folder(spark, "rows") + ".csv"
-    _line_docs(spark, folder).write.options(header=True, escape='"').csv(path)
+    documents(spark, folder).select("doc_id", "text").write.options(header=True, escape='"').csv(path)
     return read_text_files(spark, path).select("doc_id", "text", "split")
 
 
@@ -80,6 +80,35 @@ def _(spark, folder):
     return read_text_files(spark, path).select("text", "split")
 
 
+@check(
+    "s4_keep_carriage_returns",
+    f"SELECT replace({_LINE}, '.', chr(13)) || chr(13) || chr(10) AS text, 'train' AS split FROM documents",
+)
+def _(spark, folder):
+    path = fresh_folder(spark, "lines") + ".txt"
+    returns = F.concat(F.replace("text", F.lit("."), F.lit("\r")), F.lit("\r"))
+    _line_docs(spark, folder).select(returns.alias("text")).write.text(path)
+    return read_text_files(spark, path).select("text", "split")
+
+
+@check(
+    "s1_read_corpus_by_file_name",
+    f"SELECT doc_id, text, {_SPLIT} AS split FROM documents",
+)
+def _(spark, folder):
+    """Files named by their split, as other tools write them."""
+    path = fresh_folder(spark, "named")
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for split, name in {"train": "train-1.parquet", "validation": "dev_0.parquet", "test": "test.parquet"}.items():
+        part = fresh_folder(spark, "part")
+        _split_docs(spark, folder).filter(F.col("split") == split).drop("split").coalesce(1).write.parquet(part)
+        system = files.Path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(files.Path(path))
+        source = next(s.getPath() for s in system.listStatus(files.Path(part)) if s.getPath().getName().endswith(".parquet"))
+        system.rename(source, files.Path(f"{path}/{name}"))
+    return read_corpus(spark, path).select("doc_id", "text", "split")
+
+
 @check(
     "s5_write_shards",
     f"""SELECT doc_id, split, (CASE split

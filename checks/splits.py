@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.registry import check, documents, split_sql, table
@@ -45,6 +46,20 @@ def _(spark, folder):
     return shuffle(docs, ["doc_id"], position="position").select("doc_id", "split", "position")
 
 
+@check(
+    "u2_shuffle_in_order",
+    f"SELECT doc_id, {_SPLIT} AS split, md5('42:' || doc_id) AS shuffle_key, true AS in_order FROM documents",
+)
+def _(spark, folder):
+    docs = split_holdout(documents(spark, folder).select("doc_id"), ["doc_id"])
+    rows = shuffle(docs, ["doc_id"]).withColumn("at", F.monotonically_increasing_id())
+    part = Window.partitionBy("split", F.shiftright("at", 33)).orderBy("at")
+    before = F.lag("shuffle_key").over(part)
+    return rows.select(
+        "doc_id", "split", "shuffle_key", F.coalesce(before <= F.col("shuffle_key"), F.lit(True)).alias("in_order")
+    )
+
+
 @check("u3_split_holdout", f"SELECT doc_id, text, {_SPLIT} AS split FROM documents")
 def _(spark, folder):
     return split_holdout(documents(spark, folder).select("doc_id", "text"), ["doc_id"])
@@ -88,6 +103,46 @@ def _(spark, folder):
     return placed.select("o_orderkey", "o_orderstatus", "shard")
 
 
+# The leading key is null in a part of the rows, or in all of them.
+_NULL_KEYS = "CASE WHEN o_custkey % 3 = 0 THEN o_custkey END"
+
+
+@check(
+    "u4_head_split_null_keys",
+    """SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey)
+              <= (SELECT round_even(count(*) * 5 / 100.0::DOUBLE, 0) FROM orders)
+              THEN 'validation' ELSE 'train' END AS split
+       FROM orders""",
+)
+def _(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey", F.lit(None).cast("int").alias("k"))
+    return head_split(orders, ["k", "o_orderkey"]).select("o_orderkey", "split")
+
+
+def _null_shards(shards):
+    return f"""SELECT o_orderkey, o_orderstatus, (ntile({shards}) OVER (
+              PARTITION BY o_orderstatus ORDER BY {_NULL_KEYS} NULLS FIRST, o_orderkey) - 1)::INTEGER AS shard
+       FROM orders"""
+
+
+def _null_placed(spark, folder, shards):
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", F.expr(_NULL_KEYS).alias("k")
+    )
+    placed = assign_shards(orders, ["k", "o_orderkey"], shards, split="o_orderstatus")
+    return placed.select("o_orderkey", "o_orderstatus", "shard")
+
+
+@check("u5_assign_shards_null_keys", _null_shards(4))
+def _(spark, folder):
+    return _null_placed(spark, folder, 4)
+
+
+@check("u5_assign_shards_many", _null_shards(600))
+def _(spark, folder):
+    return _null_placed(spark, folder, 600)
+
+
 @check(
     "u6_global_rank",
     """SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS position

@@ -95,15 +95,14 @@ def _(spark, folder):
 @check(
     "p6_strip_nonempty",
     r"""SELECT doc_id, trim(t, E' \t\n') AS text FROM (
-          SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN E' \t ' ELSE E' \n ' || text || E'\t ' END AS t
-          FROM documents)
+          SELECT doc_id, E' \n ' || text || E'\t ' AS t FROM documents
+          UNION ALL SELECT doc_id, E' \t ' FROM documents)
         WHERE trim(t, E' \t\n') <> ''""",
 )
 def _(spark, folder):
-    padded = F.when(F.col("doc_id") % 10 == 0, " \t ").otherwise(
-        F.concat(F.lit(" \n "), "text", F.lit("\t "))
-    )
-    return strip_nonempty(documents(spark, folder).select("doc_id", padded.alias("text")))
+    docs = documents(spark, folder)
+    padded = docs.select("doc_id", F.concat(F.lit(" \n "), "text", F.lit("\t ")).alias("text"))
+    return strip_nonempty(padded.union(docs.select("doc_id", F.lit(" \t "))))
 
 
 @check(
@@ -112,8 +111,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "n_chars", "text")
-    order = [F.desc("n_chars"), F.col("doc_id")]
-    return take_first(docs, 100, order)
+    return take_first(docs, 100, ["-n_chars", "doc_id"])
 
 
 @check(
@@ -125,6 +123,19 @@ def _(spark, folder):
     return take_first(orders, 12_000, ["o_custkey", "o_orderkey"])
 
 
+@check(
+    "p7_take_first_desc_large",
+    """SELECT o_orderkey FROM (SELECT nullif(o_custkey, o_custkey // 10 * 10) AS k, o_orderkey FROM orders)
+       ORDER BY k DESC NULLS LAST, o_orderkey LIMIT 14000""",
+)
+def _(spark, folder):
+    tens = F.expr("o_custkey div 10 * 10")
+    orders = table(spark, folder, "orders").select(
+        F.nullif("o_custkey", tens).alias("k"), "o_orderkey"
+    )
+    return take_first(orders, 14_000, ["-k", "o_orderkey"]).select("o_orderkey")
+
+
 
 @check(
     "p8_si_format",

@@ -20,7 +20,7 @@ from checks.registry import (
 from lexmill.functions.tokens import append_eos, ends_with_eos, join_pair, join_pieces
 from lexmill.operators.cleaning import normalize_text
 from lexmill.operators.encode import detokenize, special_parts, tokenize
-from lexmill.operators.unigram import train_unigram
+from lexmill.operators.unigram import seed_pieces, substring_counts, train_unigram, word_counts
 from lexmill.operators.vocab import (
     char_inventory,
     ids_to_tokens,
@@ -49,14 +49,54 @@ def _(spark, folder):
     return train_unigram(texts, vocab_size=1000, seed_size=30_000)
 
 
+# Runs of one kind of character, with a space before them or alone: in these
+# texts Latin letters, digits and other signs.
+_RUNS_SQL = r"""
+runs AS (
+  SELECT unnest(regexp_extract_all(replace(text, ' ', '▁'),
+    '▁?(?:[\p{Latin}\p{M}]+|\p{N}+|[^\p{L}\p{M}\p{N}▁\n]+)|▁')) AS word
+  FROM documents
+),
+words AS (SELECT word, count(*) AS n FROM runs GROUP BY word),
+pieces AS (
+  SELECT substr(word, p, k) AS piece, sum(n)::BIGINT AS n
+  FROM (SELECT *, unnest(range(2, least(16, length(word) - p + 1) + 1)) AS k
+        FROM (SELECT *, unnest(range(1, length(word))) AS p FROM words WHERE length(word) > 1))
+  GROUP BY piece HAVING sum(n) >= 2
+)"""
+
+
+def _training_words(spark, folder):
+    return word_counts(normalize_text(documents(spark, folder)))
+
+
+@check("t2_word_counts", f"WITH {_RUNS_SQL} SELECT word, n FROM words")
+def _(spark, folder):
+    return _training_words(spark, folder)
+
+
+@check("t2_substring_counts", f"WITH {_RUNS_SQL} SELECT piece, n FROM pieces")
+def _(spark, folder):
+    return substring_counts(_training_words(spark, folder))
+
+
+@check(
+    "t2_seed_pieces",
+    f"""WITH {_RUNS_SQL} SELECT piece, (n * length(piece))::DOUBLE AS worth FROM pieces
+        ORDER BY worth DESC, piece LIMIT 5000""",
+)
+def _(spark, folder):
+    return seed_pieces(_training_words(spark, folder), 5000)
+
+
 @check(
     "t3_training_sample",
     """SELECT conv_id, turn, text FROM conversations
-       WHERE strlen(text) <= 600 AND text <> '' ORDER BY conv_id, turn LIMIT 1000000""",
+       WHERE strlen(text) <= 600 AND text <> '' ORDER BY conv_id, turn LIMIT 700""",
 )
 def _(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    return training_sample(turns, ["conv_id", "turn"], max_bytes=600)
+    return training_sample(turns, ["conv_id", "turn"], sentences=700, max_bytes=600)
 
 
 @check(
@@ -73,7 +113,7 @@ def _(spark, folder):
 
 def word_ids(spark, folder, **options):
     docs = word_docs(spark, folder)
-    return tokens_to_ids(docs, word_vocab(docs), ["doc_id"], **options)
+    return tokens_to_ids(docs, word_vocab(docs), **options)
 
 
 _IDS = "array_to_string(ids, ' ') AS ids"
@@ -90,6 +130,16 @@ def _(spark, folder):
     return ids.select("doc_id", joined("input_ids").alias("ids"))
 
 
+@check(
+    "t5_tokens_to_ids_by_join_repeated_keys",
+    f"WITH {WORD_IDS_SQL} SELECT 1 AS one, {_IDS} FROM ids UNION ALL SELECT 1, {_IDS} FROM ids WHERE lang = 'en'",
+)
+def _(spark, folder):
+    docs = word_docs(spark, folder)
+    rows = docs.union(docs.filter("lang = 'en'")).withColumn("one", F.lit(1)).select("one", "tokens")
+    return tokens_to_ids(rows, word_vocab(docs), limit=100).select("one", joined("input_ids").alias("ids"))
+
+
 _BACK_SQL = f"""WITH {WORD_IDS_SQL},
 back AS (SELECT doc_id, string_agg(CASE WHEN piece = '<n>' THEN chr(10) ELSE piece END, ' '
                                    ORDER BY pos) AS tokens
@@ -101,8 +151,8 @@ SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN back USIN
 def _(spark, folder):
     docs = word_docs(spark, folder)
     vocab = word_vocab(docs)
-    ids = tokens_to_ids(docs, vocab, ["doc_id"])
-    back = ids_to_tokens(ids, vocab, ["doc_id"])
+    ids = tokens_to_ids(docs, vocab)
+    back = ids_to_tokens(ids, vocab)
     return back.select("doc_id", joined("tokens").alias("tokens"))
 
 
@@ -110,8 +160,8 @@ def _(spark, folder):
 def _(spark, folder):
     docs = word_docs(spark, folder)
     vocab = word_vocab(docs)
-    ids = tokens_to_ids(docs, vocab, ["doc_id"])
-    back = ids_to_tokens(ids, vocab, ["doc_id"], limit=100)
+    ids = tokens_to_ids(docs, vocab)
+    back = ids_to_tokens(ids, vocab, limit=100)
     return back.select("doc_id", joined("tokens").alias("tokens"))
 
 
@@ -149,8 +199,8 @@ def _(spark, folder):
 @check(
     "t9_append_eos",
     f"""WITH {WORD_IDS_SQL},
-        cut AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN [] WHEN 1 THEN list_append(ids, 2) ELSE ids END AS ids
-                FROM ids),
+        cut AS (SELECT doc_id, ids FROM ids UNION ALL SELECT doc_id, list_append(ids, 2) FROM ids
+                UNION ALL SELECT doc_id, [] FROM ids),
         closed AS (SELECT doc_id, len(ids) > 0 AND ids[len(ids)] = 2 AS had_eos, ids FROM cut)
         SELECT doc_id, had_eos,
                array_to_string(CASE WHEN had_eos THEN ids ELSE list_append(ids, 2) END, ' ') AS ids,
@@ -159,13 +209,10 @@ def _(spark, folder):
 )
 def _(spark, folder):
     ids = F.col("input_ids")
-    empty = F.array().cast("array<int>")
-    cut = (
-        F.when(F.col("doc_id") % 3 == 0, empty)
-        .when(F.col("doc_id") % 3 == 1, F.concat(ids, F.array(F.lit(2))))
-        .otherwise(ids)
-    )
-    df = word_ids(spark, folder).select("doc_id", cut.alias("input_ids"))
+    plain = word_ids(spark, folder).select("doc_id", "input_ids")
+    closed = plain.withColumn("input_ids", F.concat(ids, F.array(F.lit(2))))
+    empty = plain.withColumn("input_ids", F.array().cast("array<int>"))
+    df = plain.union(closed).union(empty)
     other = F.array(F.lit(9), F.lit(8))
     return df.select(
         "doc_id",
@@ -224,4 +271,4 @@ def _(spark, folder):
 def _(spark, folder):
     vocab = prefix_vocab(spark, folder)
     ids = tokenize(documents(spark, folder).select("doc_id", "text"), vocab)
-    return detokenize(ids, vocab, ["doc_id"])
+    return detokenize(ids, vocab)

@@ -26,19 +26,20 @@ START_PARAGRAPH = "_START_PARAGRAPH_"
 MARKUP_NEWLINE = "_NEWLINE_"
 
 # Defaults of the corpus and vocabulary jobs.
-SPLITS = ["train", "validation", "test"]
 DEFAULT_SHARDS = {"train": 48, "validation": 4, "test": 4}
 DEFAULT_SEED = 42
 MODEL_MAX_LENGTH = 1024
 MIN_TAIL = 10
 PACK_BATCH_ROWS = 1000
 VOCAB_SIZE = 50_000
-TRAINING_SENTENCES = 1_000_000
-MAX_SENTENCE_BYTES = 65_536
 CHARACTER_COVERAGE = 0.9995
 
-# A shard of more rows than this is written as several files.
-MAX_FILE_ROWS = 1_000_000
+# First words of file names that tell a split.
+SPLIT_NAMES = {
+    "train": ["train", "training"],
+    "validation": ["validation", "valid", "val", "dev"],
+    "test": ["test", "testing"],
+}
 
 # A vocabulary above this many pieces is never broadcast or collected.
 MAX_BROADCAST_PIECES = 2_000_000

@@ -51,6 +51,7 @@ def markup_text(text: Column) -> Column:
 
 def si_format(num: Column, suffix: str = "B") -> Column:
     """Short size name: 50000 -> ``50K<suffix>``; steps of 1000 up to Z, then Y."""
+    # fixed values: the units and their order
     units = ["", "K", "M", "G", "T", "P", "E", "Z"]
     value = num.cast("double")
     scaled = [value]

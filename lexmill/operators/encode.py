@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import chain
 
@@ -43,6 +43,8 @@ _BLANKS = {c: " " for low, high in _TO_SPACE for c in range(low, high + 1)} | {
 _SPACES = re.compile(" {2,}")
 _CACHED_WORDS = 1_000_000
 _CACHED_LENGTH = 40
+# Characters of one lattice, which takes about 250 bytes for each.
+SLICE_CHARS = 1_000_000
 
 
 def compatibility_form(text: str) -> str:
@@ -88,6 +90,19 @@ def special_parts(text: Column, special: Sequence[str] = SPECIAL_PIECES) -> Colu
     )
 
 
+def slices(words: list[str]) -> Iterator[list[str]]:
+    """The words in runs of about ``SLICE_CHARS`` characters, so that a lattice
+    stays small where words are whole lines, as in unspaced text."""
+    start = size = 0
+    for at, word in enumerate(words):
+        size += len(word)
+        if size >= SLICE_CHARS:
+            yield words[start : at + 1]
+            start, size = at + 1, 0
+    if start < len(words):
+        yield words[start:]
+
+
 class Encoder:
     """Best segmentation of text parts; made once per Python worker.
 
@@ -107,6 +122,10 @@ class Encoder:
         self.words: dict[str, list[int]] = {}
 
     def segment(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word, in slices of bounded text."""
+        return [ids for part in slices(words) for ids in self._segment(part)]
+
+    def _segment(self, words: list[str]) -> list[list[int]]:
         """Ids of each word; a run of unknown characters is one unknown id."""
         lattice = Lattice(self.index, words)
         word, piece, _, _ = lattice.best(lattice.weights(self.scores, self.unknown))
@@ -211,7 +230,7 @@ def tokenize(
     return ids
 
 
-def detokenize(df: DataFrame, vocab: DataFrame, key: Sequence[str]) -> DataFrame:
+def detokenize(df: DataFrame, vocab: DataFrame) -> DataFrame:
     """Replace ``input_ids`` by ``text``."""
-    pieces = ids_to_tokens(df, vocab, key)
+    pieces = ids_to_tokens(df, vocab)
     return pieces.withColumn("text", join_pieces(F.col("tokens"))).drop("tokens")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.constants import LABEL_IGNORE
+from lexmill.operators.ordering import rank_keys
 
 
 def argmax(scores: Column) -> Column:
@@ -47,13 +49,16 @@ def score_sequences(df: DataFrame, count_padding: bool = False) -> DataFrame:
     )
 
 
-def score_positions(df: DataFrame, count_padding: bool = False) -> DataFrame:
+def score_positions(
+    df: DataFrame, count_padding: bool = False, by: Sequence[str] = ()
+) -> DataFrame:
     """The same scoring for a long table ``(seq_id, pos, label, pred)``.
 
     Adds ``hit`` (null where nothing is scored) and ``is_first``, which marks
-    one row per sequence.  The window is per sequence, so groups are short.
+    one row per sequence.  A sequence is one ``seq_id`` of one group ``by``, so
+    window groups are short.
     """
-    order = Window.partitionBy("seq_id").orderBy("pos")
+    order = Window.partitionBy(*by, "seq_id").orderBy("pos")
     target = F.lead("label").over(order)
     scored = target.isNotNull()
     if not count_padding:
@@ -74,7 +79,7 @@ def token_accuracy(
         scored = score_sequences(df, count_padding)
         hits, total = F.sum("n_hits"), F.sum("n_scored")
     else:
-        scored = score_positions(df, count_padding)
+        scored = score_positions(df, count_padding, by)
         hits, total = F.sum("hit"), F.count("hit")
     return scored.groupBy(*by).agg(
         total.alias("n_scored"),
@@ -94,6 +99,16 @@ def sample_count(limit: int | None = None) -> Column:
     return rows if limit is None else F.least(F.lit(limit).cast("bigint"), rows)
 
 
+def first_sequences(df: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
+    """The rows of the first ``n`` sequences of each group, by ``seq_id``."""
+    keys = [*by, "seq_id"]
+    ranked = rank_keys(df.select(*keys).distinct(), ["seq_id"], list(by), "__at")
+    kept = ranked.filter(F.col("__at") < n).alias("r")
+    left = df.alias("l")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+    return left.join(kept, reduce(Column.__and__, same), "left_semi")
+
+
 def eval_report(
     df: DataFrame,
     by: Sequence[str] = ("split",),
@@ -102,20 +117,34 @@ def eval_report(
 ) -> DataFrame:
     """Accuracy, loss, perplexity and sample count per group in one aggregation.
 
-    Takes the long prediction table ``(seq_id, pos, label, pred, nll)``; the
-    ``by`` columns are constant within a sequence.
+    Takes a long prediction table ``(seq_id, pos, label, pred, nll)``, or one row
+    per sequence with arrays ``labels``, ``preds`` and ``nll``, which needs no
+    shuffle of tokens.  The ``by`` columns are constant within a sequence, and
+    groups may number their sequences alike.  Losses of ignored labels do not
+    count.  ``max_samples`` cuts each group to its first sequences by ``seq_id``
+    before anything is scored.
     """
-    samples = F.sum(F.col("is_first").cast("bigint"))
     if max_samples is not None:
-        samples = F.least(F.lit(max_samples).cast("bigint"), samples)
-    hits, total = F.sum("hit"), F.count("hit")
-    return score_positions(df, count_padding).groupBy(*by).agg(
+        df = first_sequences(df, max_samples, by)
+    if "preds" in df.columns:
+        losses = F.transform(
+            F.filter(F.arrays_zip("labels", "nll"), lambda p: p["labels"] != LABEL_IGNORE), lambda p: p["nll"]
+        )
+        scored = score_sequences(df, count_padding).withColumn("__losses", losses)
+        samples, hits, total = F.count(F.lit(1)), F.sum("n_hits"), F.sum("n_scored")
+        lost = F.sum(F.aggregate("__losses", F.lit(0.0), lambda a, x: a + x))
+        loss = F.try_divide(lost, F.sum(F.size("__losses")).cast("double"))
+    else:
+        scored = score_positions(df, count_padding, by)
+        samples, hits, total = F.sum(F.col("is_first").cast("bigint")), F.sum("hit"), F.count("hit")
+        loss = F.avg(F.when(F.col("label") != LABEL_IGNORE, F.col("nll")))
+    return scored.groupBy(*by).agg(
         samples.alias("eval_samples"),
         total.alias("n_scored"),
         hits.alias("n_hits"),
         F.try_divide(hits.cast("double"), total.cast("double")).alias("eval_accuracy"),
-        F.avg("nll").alias("eval_loss"),
-        perplexity(F.avg("nll")).alias("perplexity"),
+        loss.alias("eval_loss"),
+        perplexity(loss).alias("perplexity"),
     )
 
 

@@ -1,13 +1,15 @@
 """Positions in a global order.
 
 Spark rows have no position, so every positional operator names the columns
-that order the rows.  The columns together must identify a row; add an id as
-the last one.  Nothing here sorts in one task or sends rows to the driver.
+that order the rows; a leading ``-`` turns a column round.  Nulls come first,
+and last where the column is turned round.  The columns together must identify
+a row; add an id as the last one.  Nothing here sorts in one task or sends rows
+to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +23,21 @@ _PARTITION_SHIFT = 33
 # At most this many partition starts are broadcast.
 _BROADCAST_ROWS = 1_000_000
 
-# Up to this many rows a plain top-n is cheaper than finding a boundary key.
-_SMALL_LIMIT = 10_000
+
+def column_names(order_by: Sequence[str]) -> list[str]:
+    """The columns of an order without their signs."""
+    return [name.removeprefix("-") for name in order_by]
+
+
+def sort_columns(order_by: Sequence[str]) -> list[Column]:
+    """The order as sort columns."""
+    return [
+        F.desc(_quoted(name[1:])) if name.startswith("-") else F.asc(_quoted(name)) for name in order_by
+    ]
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def global_rank(
@@ -38,25 +53,25 @@ def global_rank(
     its keys is computed for that.  The other columns then meet their position
     in one join on the keys, which are unique and so spread evenly.
     """
-    keys = [*within, *order_by]
-    ranked = rank_keys(df.select(*keys), order_by, within, position)
+    keys = [*within, *column_names(order_by)]
+    ranked = rank_keys(df.select(*map(_quoted, keys)), order_by, within, position, unique=True)
     if set(df.columns) == set(keys):
-        return ranked.select(*df.columns, position)
-    return join_positions(df, ranked, keys, position)
+        return ranked.select(*map(_quoted, df.columns), position)
+    return join_keys(df, ranked, keys, [position])
 
 
-def join_positions(
-    df: DataFrame, ranked: DataFrame, keys: Sequence[str], position: str
-) -> DataFrame:
-    """Bring ranked keys back to their rows, after a check that they are unique."""
-    if not ranked.groupBy(*keys).count().filter("count > 1").isEmpty():
-        raise ValueError(f"order columns {keys} do not identify a row; add a unique id")
+def join_keys(df: DataFrame, ranked: DataFrame, keys: Sequence[str], new: Sequence[str]) -> DataFrame:
+    """Bring what was worked out for unique keys back to their rows."""
     left, right = df.alias("l"), ranked.alias("r")
-    return left.join(right, _same(keys)).select("l.*", f"r.{position}")
+    return left.join(right, _same(keys)).select("l.*", *[f"r.{name}" for name in new])
 
 
 def rank_keys(
-    keys: DataFrame, order_by: Sequence[str], within: Sequence[str], position: str
+    keys: DataFrame,
+    order_by: Sequence[str],
+    within: Sequence[str],
+    position: str,
+    unique: bool = False,
 ) -> DataFrame:
     """Positions of a table of keys.
 
@@ -66,11 +81,18 @@ def rank_keys(
     number column alone and is joined back.  It has one row per partition and
     group, so it is broadcast unless there are very many groups.  The range
     shuffle splits a large group over many partitions, so a hot group is no hot
-    task.
+    task.  ``unique`` makes equal keys an error; they lie in one partition, so
+    the same stage counts them.
     """
-    columns = [*within, *order_by]
-    ordered = keys.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    order = [*map(F.asc, map(_quoted, within)), *sort_columns(order_by)]
+    names = [*within, *column_names(order_by)]
+    ordered = keys.repartitionByRange(*order)
+    if unique:
+        ordered = ordered.withColumn("__same", F.count(F.lit(1)).over(Window.partitionBy(*map(_quoted, names))))
+    ordered = ordered.sortWithinPartitions(*order)
     table = materialize(ordered.withColumn("__row", F.monotonically_increasing_id()), "ranked")
+    if unique and not table.filter("__same > 1").isEmpty():
+        raise ValueError(f"order columns {names} do not identify a row; add a unique id")
     table = table.withColumn("__part", F.shiftright("__row", _PARTITION_SHIFT))
 
     before = Window.partitionBy(*within).orderBy("__part").rowsBetween(
@@ -86,7 +108,7 @@ def rank_keys(
         starts = F.broadcast(starts)
     left, right = table.alias("l"), starts.alias("r")
     return left.join(right, _same([*within, "__part"])).select(
-        *[F.col(f"l.{name}") for name in keys.columns],
+        *[F.col(f"l.{_quoted(name)}") for name in keys.columns],
         (F.col("l.__row") + F.col("r.__shift")).alias(position),
     )
 
@@ -94,124 +116,60 @@ def rank_keys(
 def _same(columns: Sequence[str]) -> Column:
     """Null-safe equality of the columns of the aliases ``l`` and ``r``."""
     return reduce(
-        Column.__and__, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns]
+        Column.__and__,
+        [F.col(f"l.{_quoted(c)}").eqNullSafe(F.col(f"r.{_quoted(c)}")) for c in columns],
     )
 
 
 class RankedKeys:
-    """Positions of the key columns alone, for finding where given ranks begin.
+    """Positions of the key columns alone, for cutting a table at a few ranks.
 
-    Cutting a table at known ranks needs only the keys found there: the rows
-    themselves are then placed by comparing their keys, with no shuffle and no
-    second copy of the payload.
+    A cut needs only the keys found there: the rows themselves are then placed
+    by comparing their keys, with no shuffle and no second copy of the payload.
     """
 
-    def __init__(self, df: DataFrame, order_by: Sequence[str], within: str | None = None):
+    def __init__(self, df: DataFrame, order_by: Sequence[str]):
         self.order_by = list(order_by)
-        self.within = within
-        groups = [within] if within else []
-        keys = df.select(*groups, *order_by)
-        self._types = {name: keys.schema[name].dataType.simpleString() for name in order_by}
-        self._ranked = rank_keys(keys, order_by, groups, "__position")
-
-    def positions(self, df: DataFrame, position: str) -> DataFrame:
-        """``df`` with the position of each row in its group."""
-        keys = [*([self.within] if self.within else []), *self.order_by]
-        ranked = self._ranked.withColumnRenamed("__position", position)
-        return join_positions(df, ranked, keys, position)
-
-    def counts(self) -> dict:
-        """Rows per group; one entry under ``None`` without groups."""
-        group = F.col(self.within) if self.within else F.lit(None)
-        rows = self._ranked.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()
-        return {row["g"]: row["n"] for row in rows}
-
-    def at(self, ranks: Mapping[object, Iterable[int]]) -> dict[object, list[str]]:
-        """For each rank of each group, an SQL condition: the row lies there or after.
-
-        It compares the row's keys with those found at the rank, up to the
-        first one that sets that row apart from the row before.
-        """
-        wanted = {group: sorted(set(numbers)) for group, numbers in ranks.items()}
-        test = F.lit(False)
-        for group, numbers in wanted.items():
-            if numbers:
-                needed = sorted({n for r in numbers for n in (r - 1, r) if n >= 0})
-                hit = F.col("__position").isin(needed)
-                if self.within:
-                    hit = hit & F.col(self.within).eqNullSafe(F.lit(group))
-                test = test | hit
-        rows = self._ranked.filter(test).select(
-            F.col(self.within or "__position").alias("g"),
-            "__position",
-            *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(self.order_by)],
-        )
-        found: dict[tuple, tuple] = {}
-        for group, position, *key in rows.collect():
-            found[group if self.within else None, position] = tuple(key)
-        return {
-            group: [
-                self._condition(self._cut(found[group, r], found.get((group, r - 1))))
-                for r in numbers
-            ]
-            for group, numbers in wanted.items()
-        }
-
-    def _cut(self, key: tuple, before: tuple | None) -> tuple:
-        if before is None:
-            return key[:1]
-        for width, (new, old) in enumerate(zip(key, before), 1):
-            if new is None:
-                break
-            if new != old:
-                return key[:width]
-        raise ValueError(
-            f"order columns {self.order_by} do not identify rows near {key}; "
-            "add a unique id as the last one"
-        )
-
-    def _condition(self, key: tuple) -> str:
-        out = ""
-        for name, value in reversed(list(zip(self.order_by, key))):
-            column = "`" + name.replace("`", "``") + "`"
-            text = f"decode(unhex('{value.encode().hex()}'), 'UTF-8')"
-            bound = f"cast({text} as {self._types[name]})"
-            out = (
-                f"({column} > {bound} or ({column} = {bound} and {out}))"
-                if out
-                else f"{column} >= {bound}"
-            )
-        return f"coalesce({out}, false)"
+        keys = df.select(*map(_quoted, column_names(order_by)))
+        self._types = [field.dataType for field in keys.schema]
+        self._ranked = rank_keys(keys, order_by, [], "__position")
 
+    def count(self) -> int:
+        return self._ranked.count()
 
-def choose_range(bounds: Sequence[str], values: Sequence[str]) -> Column:
-    """The value of the range a row lies in; ``bounds`` part the ``values``.
-
-    A balanced tree of the conditions, so a row is compared with log2 of them.
-    It is built as one SQL text: a tree of Column calls would take longer on
-    the driver than the job itself.
-    """
+    def from_rank(self, rank: int) -> Column:
+        """Whether a row lies at ``rank`` or after; false for all beyond the end.
 
-    def search(low: int, high: int) -> str:
-        if low == high:
-            return values[low]
-        mid = (low + high) // 2
-        after, before = search(mid + 1, high), search(low, mid)
-        return f"case when {bounds[mid]} then {after} else {before} end"
-
-    return F.expr(search(0, len(bounds)))
+        Rows that the order does not tell apart must not lie on both sides.
+        """
+        if rank <= 0:
+            return F.lit(True)
+        found = {r[-1]: tuple(r)[:-1] for r in self._ranked.filter(F.col("__position").isin(rank - 1, rank)).collect()}
+        if rank not in found:
+            return F.lit(False)
+        if found[rank] == found[rank - 1]:
+            raise ValueError(
+                f"order columns {self.order_by} do not identify rows near {found[rank]}; "
+                "add a unique id as the last one"
+            )
+        out = F.lit(True)
+        for name, kind, value in reversed(list(zip(self.order_by, self._types, found[rank]))):
+            down, column = name.startswith("-"), F.col(_quoted(name.removeprefix("-")))
+            bound = F.lit(value).cast(kind)
+            if value is None:
+                past = F.lit(False) if down else column.isNotNull()
+            elif down:
+                past = column.isNull() | (column < bound)
+            else:
+                past = column.isNotNull() & (column > bound)
+            out = past | (column.eqNullSafe(bound) & out)
+        return F.coalesce(out, F.lit(False))
 
 
 def take_first(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The first ``min(n, rows)`` rows in order.
+    """The first ``min(n, rows)`` rows in order, as a table that is not sorted.
 
-    A small ``n`` is a plain top-n.  A large one would end in one task, so it
-    becomes a filter below the key at rank ``n``.
+    The key at rank ``n`` is looked up and the rows before it are filtered, so
+    no task gets more than its share, whatever ``n`` is.
     """
-    if n <= _SMALL_LIMIT:
-        return df.orderBy(*order_by).limit(n)
-    ranked = RankedKeys(df, order_by)
-    if ranked.counts().get(None, 0) <= n:
-        return df
-    (bound,) = ranked.at({None: [n]})[None]
-    return df.filter(~F.expr(bound))
+    return df.filter(~RankedKeys(df, order_by).from_rank(n))

@@ -103,17 +103,19 @@ def pad_batches(
     order_by: Sequence[str],
     max_length: int | None = None,
     pad_to_multiple_of: int | None = None,
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Pad ``input_ids`` to the longest row of its batch, with ``attention_mask``.
 
-    ``batch_id`` counts batches of ``batch_rows`` rows in order.  ``max_length``
+    ``batch_id`` counts batches of ``batch_rows`` rows in order, separately
+    ``within`` groups such as splits.  ``max_length``
     fixes the width instead (longer rows still widen it), and
     ``pad_to_multiple_of`` rounds it up.
     """
-    ranked = global_rank(df, order_by, position="__at").withColumn(
+    ranked = global_rank(df, order_by, within=within, position="__at").withColumn(
         "batch_id", F.expr(f"__at div {int(batch_rows)}")
     )
-    width = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
+    width = F.max(F.size("input_ids")).over(Window.partitionBy(*within, "batch_id"))
     if max_length is not None:
         width = F.greatest(width, F.lit(max_length))
     if pad_to_multiple_of is not None:

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.constants import DEFAULT_SEED, DEFAULT_SHARDS
-from lexmill.operators.ordering import RankedKeys, choose_range, global_rank
-
-# Comparisons with more bounds than this no longer compile to one method.
-MOST_BOUNDS = 512
+from lexmill.operators.ordering import RankedKeys, column_names, global_rank, join_keys, rank_keys
 
 
 def concat_corpora(corpora: Sequence[DataFrame]) -> DataFrame:
@@ -74,34 +70,23 @@ def split_holdout(
     if not exact:
         return df.withColumn("split", holdout_split(key, seed))
     keyed = df.withColumn("__key", shuffle_key(key, seed))
-    order = ["__key", *key]
-    ranked = RankedKeys(keyed, order)
-    total = ranked.counts().get(None, 0)
+    ranked = RankedKeys(keyed, ["__key", *key])
+    total = ranked.count()
     held = math.ceil(total * 0.1)
     tested = math.ceil(held * 0.5)
-    if total == 0:
-        return df.withColumn("split", F.lit("train"))
-    starts = [("train", 0), ("validation", total - held), ("test", total - tested)]
-    return keyed.withColumn("split", _named_ranges(ranked, starts, total)).drop("__key")
+    split = (
+        F.when(~ranked.from_rank(total - held), "train")
+        .when(~ranked.from_rank(total - tested), "validation")
+        .otherwise("test")
+    )
+    return keyed.withColumn("split", split).drop("__key")
 
 
 def head_split(df: DataFrame, order_by: Sequence[str], percent: float = 5) -> DataFrame:
     """First ``percent`` of the rows become validation, the rest train."""
     ranked = RankedKeys(df, order_by)
-    total = ranked.counts().get(None, 0)
-    head = round(total * percent / 100)  # half-even
-    starts = [("validation", 0), ("train", head)]
-    return df.withColumn("split", _named_ranges(ranked, starts, total))
-
-
-def _named_ranges(ranked: RankedKeys, starts, total: int) -> Column:
-    """Name of the rank range a row lies in; ranges without rows drop out."""
-    ends = [start for _, start in starts[1:]] + [total]
-    filled = [(name, start) for (name, start), end in zip(starts, ends) if start < end]
-    if not filled:
-        return F.lit(starts[0][0])
-    bounds = ranked.at({None: [start for _, start in filled[1:]]})[None]
-    return choose_range(bounds, [f"'{name}'" for name, _ in filled])
+    head = round(ranked.count() * percent / 100)  # half-even
+    return df.withColumn("split", F.when(ranked.from_rank(head), "train").otherwise("validation"))
 
 
 def shard_starts(rows: int, shards: int) -> list[int]:
@@ -118,41 +103,12 @@ def assign_shards(
 ) -> DataFrame:
     """Add ``shard``, the contiguous shard of each row in its split's order.
 
-    The first ``rows mod n`` shards hold one row more.  Only the keys are
-    ranked; rows are placed by comparing with the shards' first keys.
+    The first ``rows mod n`` shards hold one row more.
     """
-    placed, _ = place_rows(df, order_by, shards, split)
-    return placed.drop("file_no")
-
-
-@dataclass(frozen=True)
-class _Layout:
-    """How the rows of one split are cut: shards, and files within each."""
-
-    rows: int
-    shards: int
-    files: int
-    first_file: int
-
-    def pieces(self) -> list[tuple[int, int, int]]:
-        """(first rank, shard, file number) of every file that has rows."""
-        cuts = [*shard_starts(self.rows, self.shards), self.rows]
-        out = []
-        for shard, (low, high) in enumerate(zip(cuts, cuts[1:])):
-            starts = [*shard_starts(high - low, self.files), high - low]
-            for part, (start, end) in enumerate(zip(starts, starts[1:])):
-                if start < end:
-                    out.append((low + start, shard, self.first_file + shard * self.files + part))
-        return out
-
-    def of_position(self, position: Column) -> tuple[Column, Column]:
-        """The same cut, worked out from a row's position."""
-        shard, inside, size = _contiguous(position, F.lit(self.rows), self.shards)
-        part, _, _ = _contiguous(inside, size, self.files)
-        return shard, shard * self.files + part + self.first_file
-
-
-def _contiguous(position: Column, rows: Column, pieces: int) -> tuple[Column, Column, Column]:
+    return place_rows(df, order_by, shards, split).drop("file_no")
+
+
+def _contiguous(position: Column, rows: Column, pieces: Column) -> tuple[Column, Column, Column]:
     """Piece of a position, position within the piece, rows of the piece."""
     base, longer = F.floor(rows / pieces), rows % pieces
     in_longer = position < longer * (base + 1)
@@ -167,43 +123,45 @@ def place_rows(
     order_by: Sequence[str],
     shards: int | Mapping[str, int],
     split: str | None = "split",
-    max_file_rows: int | None = None,
-) -> tuple[DataFrame, int]:
-    """Add ``shard`` and ``file_no``, and tell how many files there are.
-
-    With ``max_file_rows`` a shard of more rows is cut into equal contiguous
-    files.  Up to ``MOST_BOUNDS`` files a row is placed by comparing its keys;
-    beyond that the comparison would get too large, and the rows are joined
-    with their positions instead.
-    """
-    ranked = RankedKeys(df, order_by, within=split)
-    layouts: dict[object, _Layout] = {}
-    total = 0
-    for group, rows in sorted(ranked.counts().items(), key=lambda item: str(item[0])):
-        number = shards if isinstance(shards, int) else shards.get(group)
-        if number is None:
-            raise ValueError(f"no shard count given for split {group!r}")
-        longest = -(-rows // number)
-        files = max(1, -(-longest // max_file_rows)) if max_file_rows else 1
-        layouts[group] = _Layout(rows, number, files, total)
-        total += number * files
+    files: int = 1,
+) -> DataFrame:
+    """Add ``shard`` and ``file_no``, one of ``files`` contiguous parts of the shard.
 
-    if total <= MOST_BOUNDS:
-        pieces = {group: layout.pieces() for group, layout in layouts.items()}
-        bounds = ranked.at({group: [p[0] for p in rows[1:]] for group, rows in pieces.items()})
-        columns = {
-            group: tuple(choose_range(bounds[group], [str(p[i]) for p in rows]) for i in (1, 2))
-            for group, rows in pieces.items()
-        }
+    Ranks, shards and files are worked out for the keys alone; the rows meet
+    them in one join on the keys.
+    """
+    within = [split] if split else []
+    keys = [*within, *column_names(order_by)]
+    ranked = rank_keys(df.select(*keys), order_by, within, "__position", unique=True)
+    sizes = ranked.groupBy(*[F.col(c).alias("__group") for c in within]).agg(F.count(F.lit(1)).alias("__rows"))
+    if split:
+        sized = ranked.join(sizes, F.col(split).eqNullSafe(F.col("__group")))
     else:
-        df = ranked.positions(df, "__position")
-        columns = {g: layout.of_position(F.col("__position")) for g, layout in layouts.items()}
-
-    def choose(which: int) -> Column:
-        out = F.lit(None).cast("int")
-        for group, pair in columns.items():
-            same = F.lit(True) if split is None else F.col(split).eqNullSafe(F.lit(group))
-            out = F.when(same, pair[which]).otherwise(out)
-        return out.cast("int")
-
-    return df.withColumns({"shard": choose(0), "file_no": choose(1)}).drop("__position"), total
+        sized = ranked.withColumn("__rows", F.lit(sizes.first()["__rows"]))
+    number = F.lit(shards) if isinstance(shards, int) else _by_split(shards, F.col(split))
+    sized = sized.withColumn("__shards", number.cast("int"))
+    unknown = sized.filter("__shards is null").select(*within).first()
+    if unknown is not None:
+        raise ValueError(f"no shard count given for split {unknown[0]!r}")
+    shard, inside, size = _contiguous(F.col("__position"), F.col("__rows"), F.col("__shards"))
+    part, _, _ = _contiguous(inside, size, F.lit(files))
+    placed = sized.select(*keys, shard.alias("shard"), part.alias("file_no"))
+    return join_keys(df, placed, keys, ["shard", "file_no"])
+
+
+def _by_split(numbers: Mapping[str, int], split: Column) -> Column:
+    """The number of a row's split; null for a split without one."""
+    out = F.lit(None).cast("int")
+    for name, number in numbers.items():
+        out = F.when(split == name, number).otherwise(out)
+    return out
+
+
+def file_places(shards: Mapping[str, int], files: int) -> tuple[Column, int]:
+    """A number for each file of all splits, from ``split``, ``shard`` and
+    ``file_no``, and how many there are."""
+    starts, total = {}, 0
+    for name, number in shards.items():
+        starts[name] = total
+        total += number * files
+    return _by_split(starts, F.col("split")) + F.col("shard") * files + F.col("file_no"), total

@@ -8,11 +8,12 @@ pieces, and the sums are combined per piece.  Only the piece table, bounded by
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.constants import (
@@ -24,8 +25,9 @@ from lexmill.constants import (
     SPACE_MARK,
     VOCAB_SIZE,
 )
-from lexmill.operators.encode import _UNKNOWN_PENALTY, compatibility_text
+from lexmill.operators.encode import _UNKNOWN_PENALTY, compatibility_text, slices
 from lexmill.operators.lattice import Lattice, PieceIndex
+from lexmill.operators.ordering import take_first
 from lexmill.operators.vocab import VOCAB_SCHEMA, char_inventory
 from lexmill.session import materialize
 
@@ -37,8 +39,7 @@ ROUNDS_PER_PRUNE = 2
 OVERSIZE = 1.1
 MIN_EXPECTED = 0.5
 
-_LONGEST_WORD = 64
-_TASK_WORDS = 20_000
+_TASK_PIECES = 20_000
 # Counts travel as whole multiples of this, so their sum is the same in any
 # order and the vocabulary does not depend on partitioning or lost tasks.
 _UNIT = 2.0**-20
@@ -52,7 +53,7 @@ _RUNS = [
     rf"[^\p{{L}}\p{{M}}\p{{N}}{SPACE_MARK}\n]",
 ]
 _WORD = (
-    f"{SPACE_MARK}?(?:" + "|".join(f"{run}{{1,{_LONGEST_WORD}}}" for run in _RUNS) + f")|{SPACE_MARK}"
+    f"{SPACE_MARK}?(?:" + "|".join(f"{run}+" for run in _RUNS) + f")|{SPACE_MARK}"
 )
 
 
@@ -78,23 +79,41 @@ def word_counts(df: DataFrame) -> DataFrame:
 
 
 def substring_counts(words: DataFrame, longest: int = MAX_PIECE_LENGTH) -> DataFrame:
-    """Counts of all substrings of two to ``longest`` characters seen at least twice."""
-    size = F.length("word")
+    """Counts of all substrings of two to ``longest`` characters seen at least twice.
 
-    def from_start(at: Column) -> Column:
-        lengths = F.sequence(F.lit(2), F.least(F.lit(longest), size - at + 1))
-        return F.transform(lengths, lambda n: F.substring("word", at, n))
-
-    starts = F.transform(F.sequence(F.lit(1), size - 1), from_start)
+    Words are first cut into windows of ``longest`` characters, one from each
+    start, and equal windows are counted together; substrings are the windows'
+    beginnings.  So a word may be as long as a line.
+    """
+    chars = F.split("word", "")
+    starts = F.sequence(F.lit(1), F.length("word") - 1)
+    windows = F.transform(starts, lambda at: F.array_join(F.slice(chars, at, longest), ""))
+    counted = (
+        words.filter(F.length("word") > 1)
+        .select(F.explode(windows).alias("window"), "n")
+        .groupBy("window")
+        .agg(F.sum("n").alias("n"))
+    )
+    lengths = F.sequence(F.lit(2), F.length("window"))
     return (
-        words.filter(size > 1)
-        .select(F.explode(F.flatten(starts)).alias("piece"), "n")
+        counted.select(F.explode(F.transform(lengths, lambda k: F.substring("window", F.lit(1), k))).alias("piece"), "n")
         .groupBy("piece")
         .agg(F.sum("n").alias("n"))
         .filter(F.col("n") >= 2)
     )
 
 
+def seed_pieces(words: DataFrame, n: int, longest: int = MAX_PIECE_LENGTH) -> DataFrame:
+    """The ``n`` substrings that cover most text, ``piece`` and ``worth``.
+
+    The least worth that is kept is looked up by rank, so no task gets the
+    candidates of all others.
+    """
+    worth = F.col("n") * F.length("piece")
+    counts = substring_counts(words, longest).select("piece", worth.cast("double").alias("worth"))
+    return take_first(materialize(counts, "substrings"), n, ["-worth", "piece"])
+
+
 def train_unigram(
     df: DataFrame,
     vocab_size: int = VOCAB_SIZE,
@@ -127,14 +146,8 @@ def train_unigram(
         words = counted.select(F.explode(cut).alias("word"), "n").filter(F.col("word") != "")
         words = materialize(words, "training-words")
 
-    worth = F.col("n") * F.length("piece")
-    seeds = (
-        substring_counts(words, longest)
-        .select("piece", worth.cast("double").alias("worth"))
-        .orderBy(F.desc("worth"), "piece")
-        .limit(max(seed_size - len(required), 0))
-        .toArrow()
-    )
+    seeds = seed_pieces(words, max(seed_size - len(required), 0), longest).toArrow()
+    seeds = seeds.sort_by([("worth", "descending"), ("piece", "ascending")])
     pieces = [*required, *seeds["piece"].to_pylist()]
     worths = np.array([*map(float, required.values()), *seeds["worth"].to_pylist()])
     model = Model(pieces, np.log(worths) - np.log(worths.sum()))
@@ -153,6 +166,17 @@ def train_unigram(
     return _finish(spark, model, required, vocab_size)
 
 
+# The piece index of one round, kept by each Python worker for all its tasks.
+_indexes: dict[str, PieceIndex] = {}
+
+
+def _index_of(name: str, pieces: list[str]) -> PieceIndex:
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = PieceIndex(pieces)
+    return _indexes[name]
+
+
 def em_round(words: DataFrame, model: Model) -> Model:
     """One expectation-maximisation round over the word table."""
     expected = _sum_per_piece(words, model, _expected_counts)
@@ -173,10 +197,11 @@ def prune(words: DataFrame, model: Model, size: int, occurrences: int) -> Model:
     spark = words.sparkSession
     used = _sum_per_piece(words, model, _best_counts)
     shipped = spark.sparkContext.broadcast((model.pieces, model.scores, used["a"], used["b"]))
+    name = uuid.uuid4().hex
 
     def losses(batches):
         pieces, scores, uses, seen = shipped.value
-        index = PieceIndex(pieces)
+        index = _index_of(name, pieces)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             loss = _losses(index, pieces, scores, uses, seen / occurrences, ids)
@@ -184,7 +209,7 @@ def prune(words: DataFrame, model: Model, size: int, occurrences: int) -> Model:
                 [pa.array(ids), pa.array(loss)], names=["id", "loss"]
             )
 
-    tasks = max(1, min(len(model.pieces) // _TASK_WORDS, spark.sparkContext.defaultParallelism))
+    tasks = max(1, min(len(model.pieces) // _TASK_PIECES, spark.sparkContext.defaultParallelism))
     kept = (
         spark.range(0, len(model.pieces), 1, tasks)
         .mapInArrow(losses, "id bigint, loss double")
@@ -252,18 +277,19 @@ def _exact_sums(place: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
 def _sum_per_piece(words: DataFrame, model: Model, count) -> dict[str, np.ndarray]:
     """Run ``count`` on the words of every task and add the results per piece."""
     shipped = words.sparkSession.sparkContext.broadcast((model.pieces, model.scores))
+    name = uuid.uuid4().hex
 
     def per_task(batches):
         pieces, scores = shipped.value
-        index = PieceIndex(pieces)
+        index = _index_of(name, pieces)
         unknown = scores.min(initial=0.0) - _UNKNOWN_PENALTY
         sums = np.zeros((2, len(pieces)), dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, _TASK_WORDS):
-                part = batch.slice(at, _TASK_WORDS)
-                lattice = Lattice(index, part.column(0).to_pylist())
+            counts, at = batch.column(1).to_numpy(), 0
+            for part in slices(batch.column(0).to_pylist()):
+                lattice = Lattice(index, part)
                 weight = lattice.weights(scores, unknown)
-                n = part.column(1).to_numpy()
+                n, at = counts[at : at + len(part)], at + len(part)
                 for total, more in zip(sums, count(lattice, weight, n, len(pieces))):
                     if more is not None:
                         total += more

@@ -13,27 +13,32 @@ from pyspark.sql import functions as F
 from lexmill.constants import (
     CHARACTER_COVERAGE,
     MAX_BROADCAST_PIECES,
-    MAX_SENTENCE_BYTES,
     NEWLINE_PIECE,
     RESERVED,
-    TRAINING_SENTENCES,
     UNK_ID,
 )
 from lexmill.operators.ordering import take_first
+from lexmill.session import materialize
 
 VOCAB_SCHEMA = "id int, piece string, score double, kind string"
-_SALTS = 32
+_ROWS_PER_SALT = 200_000
 
 
 def training_sample(
     df: DataFrame,
     order_by: Sequence[str],
-    sentences: int = TRAINING_SENTENCES,
-    max_bytes: int = MAX_SENTENCE_BYTES,
+    sentences: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    """Sentences for vocabulary training: not blank, not over-long, first N in order."""
-    usable = df.filter((F.octet_length("text") <= max_bytes) & (F.length("text") > 0))
-    return take_first(usable, sentences, order_by)
+    """Sentences for vocabulary training that are not blank.
+
+    All of them, unless ``sentences`` asks for the first so many in order, and
+    of any length, unless ``max_bytes`` leaves out longer ones.
+    """
+    usable = df.filter(F.length("text") > 0)
+    if max_bytes is not None:
+        usable = usable.filter(F.octet_length("text") <= max_bytes)
+    return usable if sentences is None else take_first(usable, sentences, order_by)
 
 
 def char_inventory(
@@ -106,18 +111,18 @@ def small_vocab(vocab: DataFrame, limit: int = MAX_BROADCAST_PIECES) -> VocabArr
 
 
 def tokens_to_ids(
-    df: DataFrame, vocab: DataFrame, key: Sequence[str], limit: int = MAX_BROADCAST_PIECES
+    df: DataFrame, vocab: DataFrame, limit: int = MAX_BROADCAST_PIECES
 ) -> DataFrame:
     """Replace ``tokens`` by ``input_ids``; unknown pieces get the unknown id.
 
     A vocabulary up to ``limit`` pieces is broadcast and looked up on Arrow
     arrays, row by row in place, with no shuffle.  A larger one is joined, see
-    :func:`_lookup_by_join`; ``key`` identifies a row there.
+    :func:`_lookup_by_join`.
     """
     small = small_vocab(vocab, limit)
     if small is None:
         pairs = vocab.select(F.col("piece").alias("__item"), F.col("id").alias("__value"))
-        return _lookup_by_join(df, "tokens", "input_ids", pairs, F.lit(UNK_ID), key)
+        return _lookup_by_join(df, "tokens", "input_ids", pairs, F.lit(UNK_ID))
     shipped = df.sparkSession.sparkContext.broadcast((small.pieces, small.ids))
 
     @F.arrow_udf("array<int>")
@@ -130,7 +135,7 @@ def tokens_to_ids(
 
 
 def ids_to_tokens(
-    df: DataFrame, vocab: DataFrame, key: Sequence[str], limit: int = MAX_BROADCAST_PIECES
+    df: DataFrame, vocab: DataFrame, limit: int = MAX_BROADCAST_PIECES
 ) -> DataFrame:
     """Replace ``input_ids`` by ``tokens``; the newline id becomes a line feed."""
     small = small_vocab(vocab, limit)
@@ -138,7 +143,7 @@ def ids_to_tokens(
         pairs = vocab.select(
             F.col("id").alias("__item"), surface(F.col("piece")).alias("__value")
         )
-        return _lookup_by_join(df, "input_ids", "tokens", pairs, F.lit(None), key)
+        return _lookup_by_join(df, "input_ids", "tokens", pairs, F.lit(None))
     newline = pc.equal(small.pieces, NEWLINE_PIECE)
     shown = pc.if_else(newline, "\n", small.pieces)
     shipped = df.sparkSession.sparkContext.broadcast((small.ids, shown))
@@ -161,32 +166,32 @@ def _rebuild(lists: pa.Array, values: pa.Array) -> pa.Array:
 
 
 def _lookup_by_join(
-    df: DataFrame,
-    source: str,
-    target: str,
-    pairs: DataFrame,
-    default: Column,
-    key: Sequence[str],
+    df: DataFrame, source: str, target: str, pairs: DataFrame, default: Column
 ) -> DataFrame:
     """Array lookup against a table too large to broadcast.
 
-    Frequent items are spread over ``_SALTS`` copies of the lookup rows, so no
-    item gathers in one task; the arrays are then collected back per row.
+    Rows get a number of their own, so repeated rows stay apart; the table is
+    written once to keep it.  Frequent items are spread over copies of the
+    lookup rows, more for more rows, so no item gathers in one task; the arrays
+    are then collected back per row.
     """
-    salt = F.pmod(F.xxhash64(*key), F.lit(_SALTS)).cast("int")
-    items = df.select(
-        *key, salt.alias("__salt"), F.posexplode(source).alias("__pos", "__item")
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "lookup")
+    salts = 1 + rows.count() // _ROWS_PER_SALT
+    items = rows.select(
+        "__row",
+        F.pmod(F.xxhash64("__row"), F.lit(salts)).cast("int").alias("__salt"),
+        F.posexplode(source).alias("__pos", "__item"),
     )
-    copies = pairs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    copies = pairs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     found = (
         items.join(copies, ["__salt", "__item"], "left")
-        .groupBy(*key)
+        .groupBy("__row")
         .agg(F.array_sort(F.collect_list(F.struct("__pos", "__value"))).alias("__found"))
     )
     values = F.transform(F.col("__found.__value"), lambda v: F.coalesce(v, default))
     empty = F.array().cast("array<int>" if target == "input_ids" else "array<string>")
     return (
-        df.join(found, list(key), "left")
+        rows.join(found, "__row", "left")
         .withColumn(target, F.coalesce(values, empty))
-        .drop(source, "__found")
+        .drop(source, "__found", "__row")
     )

@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from lexmill.constants import (
     DEFAULT_SEED,
     DEFAULT_SHARDS,
-    MAX_FILE_ROWS,
     MODEL_MAX_LENGTH,
     PACK_BATCH_ROWS,
-    TRAINING_SENTENCES,
     VOCAB_SIZE,
 )
 from lexmill.functions.text import si_format
@@ -22,7 +20,7 @@ from lexmill.functions.tokens import append_eos
 from lexmill.operators.cleaning import article_text, normalize_text, strip_nonempty
 from lexmill.operators.encode import tokenize
 from lexmill.operators.evaluate import argmax, eval_report
-from lexmill.operators.ordering import take_first
+from lexmill.operators.ordering import column_names, sort_columns, take_first
 from lexmill.operators.sequences import (
     add_labels,
     block_size,
@@ -42,10 +40,10 @@ from lexmill.operators.vocab import save_vocab, training_sample
 from lexmill.session import materialize
 from lexmill.sources.corpus import (
     ROW_ORDER,
-    check_splits,
     export_text,
     read_split,
-    read_text_files,
+    read_text_lines,
+    require_splits,
     resolve_text_column,
     text_only,
     write_shards,
@@ -125,7 +123,7 @@ def write_mixed_corpus(
     corpus: DataFrame,
     path: str,
     shards: Mapping[str, int] = DEFAULT_SHARDS,
-    max_file_rows: int | None = MAX_FILE_ROWS,
+    files: int = 1,
 ) -> None:
     """Write a mixed corpus in shuffled order as contiguous shards.
 
@@ -133,17 +131,17 @@ def write_mixed_corpus(
     finding the shard bounds then reads only the key columns.
     """
     stored = materialize(corpus, "corpus")
-    write_shards(stored, path, ["shuffle_key", *ROW_KEY], shards, max_file_rows)
+    write_shards(stored, path, ["shuffle_key", *ROW_KEY], shards, files)
 
 
 def export_corpus(
     spark: SparkSession, path: str, out: str, split: str = "train", order_by: Sequence[str] = ()
 ) -> None:
     """One normalised document per line of a plain-text corpus's split."""
-    docs = text_only(read_split(spark, path, split), keep=order_by)
+    docs = text_only(read_split(spark, path, split), keep=column_names(order_by))
     if order_by:
         # sorted before it is normalised: finding the ranges reads the input twice
-        docs = docs.orderBy(*order_by)
+        docs = docs.orderBy(*sort_columns(order_by))
     export_text(normalize_text(docs), out)
 
 
@@ -152,27 +150,38 @@ def build_vocabulary(
     out: str,
     dataset: DataFrame | None = None,
     text_path: str | None = None,
+    corpus_path: str | None = None,
     order_by: Sequence[str] = ("doc_id",),
     vocab_size: int = VOCAB_SIZE,
-    sentences: int = TRAINING_SENTENCES,
+    sentences: int | None = None,
+    max_bytes: int | None = None,
+    split: str = "train",
     **training,
 ) -> str:
     """Train a vocabulary and store it; returns its folder, named by its sizes.
 
-    Give exactly one source: a table of documents, which is normalised here, or
-    the path of an exported text, whose lines are taken as they are.
+    Give exactly one source: a table of documents or the path of a stored
+    corpus, which are normalised here, or the path of an exported text (any
+    name), whose lines are taken as they are.  Of a table with splits and of a
+    stored corpus only ``split`` is used.  All sentences count unless
+    ``sentences`` or ``max_bytes`` set a bound.
     """
-    if (dataset is None) == (text_path is None):
-        raise ValueError("give exactly one of dataset and text_path")
-    if dataset is not None:
-        texts = normalize_text(text_only(dataset, keep=order_by))
-    else:
+    if [dataset, text_path, corpus_path].count(None) != 2:
+        raise ValueError("give exactly one of dataset, text_path and corpus_path")
+    if text_path is not None:
         order_by = ROW_ORDER
-        lines = read_text_files(spark, f"{text_path}", keep_linebreaks=False)
-        texts = lines.select("text", *ROW_ORDER)
-    sample = training_sample(texts, order_by, sentences)
+        lines = read_text_lines(spark, text_path)
+        # line numbers hold for one reading only
+        texts = lines if sentences is None else materialize(lines, "lines")
+    else:
+        docs = read_split(spark, corpus_path, split) if dataset is None else dataset
+        if "split" in docs.columns:
+            docs = docs.filter(F.col("split") == split)
+        texts = normalize_text(text_only(docs, keep=column_names(order_by)))
+    sample = training_sample(texts, order_by, sentences, max_bytes)
     vocab = train_unigram(sample, vocab_size, **training)
-    sizes = [si_format(F.lit(vocab_size), "V"), si_format(F.lit(sentences), "S")]
+    sizes = [si_format(F.lit(vocab_size), "V")]
+    sizes.append(F.lit("allS") if sentences is None else si_format(F.lit(sentences), "S"))
     name = spark.range(1).select(F.concat_ws("_", *sizes)).first()[0]
     folder = f"{out.rstrip('/')}/{name}"
     save_vocab(vocab, folder)
@@ -192,33 +201,43 @@ def packed_training_set(
 ) -> DataFrame:
     """Blocks of ids with labels per split, from documents or text-file rows.
 
-    Without a validation split the first ``validation_percent`` of the rows
-    become one.
+    Without a validation split the first ``validation_percent`` of the training
+    rows become one; other splits are packed as they are.  The limits cut the
+    training and validation blocks.
     """
-    text = resolve_text_column(df)
-    if "split" not in df.columns or df.filter("split = 'validation'").isEmpty():
-        df = head_split(df.drop("split"), order_by, validation_percent)
-    check_splits(df.select("split", F.col(text).alias("text")), ["train", "validation"])
-    docs = df.select("split", *order_by, F.col(text).alias("text"))
+    text = F.col(resolve_text_column(df))
+    if "split" not in df.columns:
+        df = df.withColumn("split", F.lit("train"))
+    docs = df.select("split", *order_by, text.alias("text"))
+    if docs.filter("split = 'validation'").isEmpty():
+        train = head_split(docs.filter("split = 'train'"), order_by, validation_percent)
+        docs = train.select(docs.columns).unionByName(docs.filter("split <> 'train'"))
+    require_splits(docs, ["train", "validation"])
     blocks = pack_blocks(
         tokenize(docs, vocab), block_size(block, model_max), order_by, batch_rows, ["split"]
     )
     limits = {"train": max_train_samples, "validation": max_eval_samples}
-    if any(limits.values()):
+    limits = {split: n for split, n in limits.items() if n is not None}
+    if limits:
         stored = materialize(blocks, "blocks")
-        blocks = concat_corpora(
-            [
-                part if limit is None else take_first(part, limit, ["batch_no", "block_no"])
-                for split, limit in limits.items()
-                for part in [stored.filter(F.col("split") == split)]
-            ]
-        )
+        cut = [
+            take_first(stored.filter(F.col("split") == split), n, ["batch_no", "block_no"])
+            for split, n in limits.items()
+        ]
+        blocks = concat_corpora([*cut, stored.filter(~F.col("split").isin(*limits))])
     return add_labels(blocks)
 
 
-def batch_preview(df: DataFrame, order_by: Sequence[str], rows: int = 8) -> DataFrame:
-    """The first rows as one padded batch with masked labels."""
+def batch_preview(
+    df: DataFrame, order_by: Sequence[str], rows: int = 8, vocab: DataFrame | None = None
+) -> DataFrame:
+    """The first rows as one padded batch with masked labels.
+
+    With a vocabulary the rows hold ``text``, and only the first are tokenised.
+    """
     first = take_first(df, rows, order_by)
+    if vocab is not None:
+        first = tokenize(first, vocab)
     return add_labels(pad_batches(first, rows, order_by), mask=True)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.constants import DEFAULT_SHARDS, MAX_FILE_ROWS, SPLITS
-from lexmill.operators.splits import place_rows
+from lexmill.constants import DEFAULT_SHARDS, SPLIT_NAMES
+from lexmill.operators.ordering import sort_columns
+from lexmill.operators.splits import file_places, place_rows
+from lexmill.session import materialize
 
 ROW_ORDER = ["source_file", "block_start", "line_no"]
 
@@ -18,14 +21,22 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """A sharded parquet corpus with its ``split`` column.
 
     The split is the ``split=`` folder if there is one, else the first word of
-    the file name (``train_00003_of_00048.parquet``); other files are train.
+    the file name (``train_00003_of_00048.parquet``, ``dev.parquet``).  Files
+    whose names say nothing are train, unless other names tell a split.
     """
     df = spark.read.parquet(path)
     if "split" in df.columns:
         return df
-    names = "|".join(SPLITS)
-    prefix = F.regexp_extract(F.col("_metadata.file_name"), f"^({names})[_-]", 1)
-    return df.withColumn("split", F.coalesce(F.nullif(prefix, F.lit("")), F.lit("train")))
+    words = {word: split for split, names in SPLIT_NAMES.items() for word in names}
+    pattern = re.compile(f"({'|'.join(words)})[_.-]")
+    unnamed = [f for f in df.inputFiles() if not pattern.match(f.rsplit("/", 1)[-1])]
+    if unnamed and len(unnamed) < len(df.inputFiles()):
+        raise ValueError(f"the name of {unnamed[0]} tells no split, but those of other files do")
+    if unnamed:
+        return df.withColumn("split", F.lit("train"))
+    word = F.regexp_extract(F.col("_metadata.file_name"), f"^({'|'.join(words)})[_.-]", 1)
+    named = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return df.withColumn("split", F.try_element_at(named, word))
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
@@ -38,6 +49,7 @@ def read_text_files(
     train_file: str | None = None,
     validation_file: str | None = None,
     keep_linebreaks: bool = True,
+    strip_carriage_returns: bool = False,
     **options,
 ) -> DataFrame:
     """csv, json or txt files, each row tagged with its ``split``.
@@ -46,6 +58,8 @@ def read_text_files(
     carry the columns of ``ROW_ORDER``, which restore the order of the lines
     however the files are split into tasks.  Text files yield ``text``, with
     the line break kept by default; the last line gains one if it had none.
+    Only a line feed ends a line; ``strip_carriage_returns`` drops one carriage
+    return before it.  Quoted csv values may hold line breaks.
     """
     files = {"train": train_file, "validation": validation_file}
     files = {split: path for split, path in files.items() if path is not None}
@@ -58,14 +72,16 @@ def read_text_files(
 
     def load(path: str) -> DataFrame:
         if kind == "csv":
-            return spark.read.options(**{"header": True, "escape": '"', **options}).csv(path)
+            return spark.read.options(**{"header": True, "escape": '"', "multiLine": True, **options}).csv(path)
         if kind == "json":
             return spark.read.options(**options).json(path)
-        return spark.read.options(**options).text(path).withColumnRenamed("value", "text")
+        return spark.read.options(**{"lineSep": "\n", **options}).text(path).withColumnRenamed("value", "text")
 
     parts = []
     for split, path in files.items():
         df = load(path)
+        if kind == "txt" and strip_carriage_returns:
+            df = df.withColumn("text", F.regexp_replace("text", "\\r$", ""))
         if kind == "txt" and keep_linebreaks:
             df = df.withColumn("text", F.concat("text", F.lit("\n")))
         parts.append(
@@ -81,6 +97,17 @@ def read_text_files(
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``text`` and ``ROW_ORDER`` of the lines of a text file or folder of any name."""
+    lines = spark.read.text(path, lineSep="\n")
+    return lines.select(
+        F.col("value").alias("text"),
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_no"),
+    )
+
+
 def _extension(path: str) -> str:
     return path.rsplit(".", 1)[-1]
 
@@ -100,17 +127,20 @@ def write_shards(
     path: str,
     order_by: Sequence[str],
     shards: Mapping[str, int] = DEFAULT_SHARDS,
-    max_file_rows: int | None = MAX_FILE_ROWS,
+    files: int = 1,
 ) -> None:
     """Write contiguous shards under ``split=…/shard=…``, rows in order.
 
-    One shuffle gives every shard a partition and a file of its own; a shard of
-    more than ``max_file_rows`` rows gets several, so that none outgrows a task.
+    One shuffle gives every shard a partition and a file of its own; ``files``
+    cuts each shard into so many contiguous files, for corpora whose shards
+    would outgrow a task.
     """
-    placed, files = place_rows(df, order_by, shards, max_file_rows=max_file_rows)
+    number, total = file_places(shards, files)
     (
-        placed.repartitionById(max(files, 1), "file_no")
-        .sortWithinPartitions("split", "shard", *order_by)
+        place_rows(df, order_by, shards, files=files)
+        .withColumn("file_no", number)
+        .repartitionById(max(total, 1), "file_no")
+        .sortWithinPartitions("split", "shard", *sort_columns(order_by))
         .drop("file_no")
         .write.partitionBy("split", "shard")
         .parquet(path)
@@ -120,7 +150,7 @@ def write_shards(
 def export_text(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
     """One document per line; newlines must already be tokens."""
     if order_by:
-        df = df.orderBy(*order_by)
+        df = df.orderBy(*sort_columns(order_by))
     df.select("text").write.text(path)
 
 
@@ -136,8 +166,17 @@ def corpus_manifest(df: DataFrame) -> DataFrame:
 
 def check_splits(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Fail if a required split has no rows; return the manifest otherwise."""
-    present = {row["split"] for row in df.select("split").distinct().collect()}
+    manifest = materialize(corpus_manifest(df), "manifest")
+    _require({r["split"] for r in manifest.filter(F.col("split").isin(*required)).collect()}, required)
+    return manifest
+
+
+def require_splits(df: DataFrame, required: Sequence[str]) -> None:
+    """Fail if a required split has no rows, without reading the others."""
+    _require({s for s in required if not df.filter(F.col("split") == s).isEmpty()}, required)
+
+
+def _require(present: set[str], required: Sequence[str]) -> None:
     missing = [split for split in required if split not in present]
     if missing:
         raise ValueError(f"missing splits: {', '.join(missing)}")
-    return corpus_manifest(df)

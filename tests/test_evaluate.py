@@ -64,11 +64,22 @@ def test_report(rows):
     out = {r["split"]: r for r in eval_report(df, max_samples=1).collect()}
     v = out["validation"]
     assert (v.eval_samples, v.n_scored, v.n_hits, v.eval_accuracy) == (1, 2, 1, 0.5)
-    assert v.eval_loss == 2.0 and v.perplexity == pytest.approx(math.exp(2))
+    assert v.eval_loss == 2.0  # of the first sequence alone and v.perplexity == pytest.approx(math.exp(2))
     assert eval_report(df).filter("split = 'validation'").first().eval_samples == 2
     assert out["test"].perplexity == 1.0
 
 
+def test_report_keeps_groups_apart_and_ignores_padding(rows):
+    data = [(0, s, p, label, pred, loss) for s in ("test", "validation") for p, label, pred, loss in (
+        (0, 5, 6, 1.0), (1, 6, -1, 1.0), (2, -100, 0, 9.0), (3, -100, 0, 9.0))]
+    df = rows(data, "seq_id int, split string, pos int, label int, pred int, nll double")
+    arrays = df.groupBy("seq_id", "split").agg(F.array_sort(F.collect_list(F.struct("pos", "label", "pred", "nll"))).alias("r"))
+    arrays = arrays.select("seq_id", "split", *[F.col(f"r.{c}").alias(n) for c, n in (("label", "labels"), ("pred", "preds"), ("nll", "nll"))])
+    for table in (df, arrays):
+        out = eval_report(table).collect()
+        assert [(r.eval_samples, r.n_scored, r.n_hits, r.eval_loss) for r in out] == [(1, 1, 1, 1.0)] * 2
+
+
 @pytest.mark.parametrize(
     "raw, stop, legacy, expected",
     [

@@ -115,6 +115,27 @@ def test_packed_training_set(spark, docs, vocab, tmp_path):
     assert {r["split"] for r in blocks.collect()} == {"train", "validation"}
 
 
+def test_packing_leaves_test_rows_alone(docs, vocab):
+    rest = docs.filter("split <> 'validation'")
+    whole = packed_training_set(rest, vocab, ["doc_id"], block=32, batch_rows=20).collect()
+    ids = lambda rows, split: sum(len(r.input_ids) for r in rows if r["split"] == split)
+    alone = tokenize(docs.filter("split = 'test'"), vocab).collect()
+    assert 0 < ids(whole, "test") <= sum(len(r.input_ids) for r in alone)
+    cut = packed_training_set(rest, vocab, ["doc_id"], block=32, batch_rows=20, max_train_samples=3, max_eval_samples=0)
+    cut = cut.collect()
+    assert ids(cut, "test") == ids(whole, "test") and ids(cut, "validation") == 0
+    assert sum(r["split"] == "train" for r in cut) == 3
+
+
+def test_vocabulary_from_a_stored_corpus_uses_one_split(spark, docs, tmp_path):
+    docs.write.partitionBy("split").parquet(str(tmp_path / "c"))
+    options = dict(vocab_size=60, seed_size=2000)
+    one = build_vocabulary(spark, str(tmp_path / "v1"), corpus_path=str(tmp_path / "c"), **options)
+    two = build_vocabulary(spark, str(tmp_path / "v2"), dataset=docs, **options)
+    assert one.endswith("/60V_allS")
+    assert sorted(map(tuple, load_vocab(spark, one).collect())) == sorted(map(tuple, load_vocab(spark, two).collect()))
+
+
 def test_preview(docs, vocab):
     out = batch_preview(tokenize(docs, vocab), ["doc_id"]).orderBy("doc_id").collect()
     assert [r.doc_id for r in out] == list(range(8))

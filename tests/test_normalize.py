@@ -8,7 +8,7 @@ from lexmill.operators.encode import compatibility_form, compatibility_text
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("  あい～うえお*１２３１\n  1\n a", "あい〜うえお*1231<n> 1<n> a"),
+        ("  山～川＋４５６\n  海\n b", "山〜川+456<n> 海<n> b"),
         ("ＡＢＣ　ｄｅｆ スーーパ――a b", "ABC defスーパーa b"),
         ("あ い う", "あいう"),
         ("ﾊﾝｶｸｶﾅ", "ハンカクカナ"),

@@ -37,14 +37,12 @@ def test_shards_are_one_file_each_and_read_back(spark, docs, tmp_path):
     assert [r.doc_id for r in first] == [3 * i for i in range(6)]
 
 
-@pytest.mark.parametrize("most", [0, 512])
-def test_shards_of_several_files(spark, docs, tmp_path, monkeypatch, most):
-    monkeypatch.setattr(splits, "MOST_BOUNDS", most)
+def test_shards_of_several_files(spark, docs, tmp_path):
     path = tmp_path / "corpus"
     counts = {"train": 2, "validation": 3, "test": 1}
-    write_shards(docs, str(path), ["doc_id"], counts, max_file_rows=10)
+    write_shards(docs, str(path), ["doc_id"], counts, files=3)
     files = {s.parent.name: len(list(s.glob("*.parquet"))) for s in path.glob("split=*/shard=*")}
-    assert files == {"split=train": 4, "split=validation": 3, "split=test": 7}
+    assert files == {"split=train": 3, "split=validation": 3, "split=test": 3}
     back = read_corpus(spark, str(path)).withColumn("file", F.col("_metadata.file_name"))
     for split, number in counts.items():
         mine = back.filter(F.col("split") == split).orderBy("doc_id").collect()
@@ -65,9 +63,8 @@ def test_split_from_file_names_and_pruning(spark, docs, tmp_path):
             name = f"{split}_{number:05}_of_00002.parquet"
             part = docs.filter(F.col("doc_id") % 2 == number).filter(F.col("split") == split)
             part.select("doc_id", "text").toPandas().to_parquet(path / name)
-    docs.filter("doc_id = 0").select("doc_id", "text").toPandas().to_parquet(path / "part-0.parquet")
     counts = {r["split"]: r["count"] for r in read_corpus(spark, str(path)).groupBy("split").count().collect()}
-    assert counts == {"train": 68, "validation": 67, "test": 66}
+    assert counts == {"train": 67, "validation": 67, "test": 66}
     valid = read_split(spark, str(path), "validation")
     assert {r.doc_id % 3 for r in valid.collect()} == {1}
     files = [Path(f).name for f in (r[0] for r in valid.select("_metadata.file_name").distinct().collect())]
@@ -85,7 +82,9 @@ def test_partitioned_split_is_pruned(spark, docs, tmp_path):
 def test_text_files(spark, tmp_path, keep):
     (tmp_path / "a.txt").write_text("one\ntwo\r\n\nfour")
     (tmp_path / "b.txt").write_text("five\n")
-    df = read_text_files(spark, str(tmp_path / "a.txt"), str(tmp_path / "b.txt"), keep)
+    paths = str(tmp_path / "a.txt"), str(tmp_path / "b.txt")
+    df = read_text_files(spark, *paths, keep, strip_carriage_returns=True)
+    assert "two\r" + ("\n" if keep else "") in {r.text for r in read_text_files(spark, *paths, keep).collect()}
     end = "\n" if keep else ""
     ranked = global_rank(df, ROW_ORDER, within=["split"]).orderBy("split", "position").collect()
     assert [(r.split, r.text) for r in ranked] == [
@@ -151,3 +150,25 @@ def test_manifest_and_missing_splits(docs):
     assert again == {k: r.checksum for k, r in m.items()}
     with pytest.raises(ValueError, match="missing splits: test"):
         check_splits(docs.filter("split <> 'test'"), ["train", "test"])
+
+
+def test_csv_values_may_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,"one\nmore ""x"""\n2,two\n')
+    out = read_text_files(spark, str(tmp_path / "a.csv")).collect()
+    assert sorted((r.id, r.text) for r in out) == [("1", 'one\nmore "x"'), ("2", "two")]
+
+
+@pytest.mark.parametrize("name, split", [
+    ("validation.parquet", "validation"), ("dev_0.parquet", "validation"), ("test.parquet", "test"),
+    ("training-1.parquet", "train"), ("part-00000.parquet", "train"), ("tester.parquet", "train"),
+])
+def test_split_of_a_file_name(spark, docs, tmp_path, name, split):
+    docs.select("doc_id", "text").toPandas().to_parquet(tmp_path / name)
+    assert {r["split"] for r in read_corpus(spark, str(tmp_path)).collect()} == {split}
+
+
+def test_unclear_file_names_are_an_error(spark, docs, tmp_path):
+    for name in ("train.parquet", "part-0.parquet"):
+        docs.select("doc_id", "text").toPandas().to_parquet(tmp_path / name)
+    with pytest.raises(ValueError, match="tells no split"):
+        read_corpus(spark, str(tmp_path))

@@ -1,9 +1,11 @@
 import random
+from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import ordering, splits
+from lexmill.operators import ordering
 from lexmill.operators.ordering import global_rank, take_first
 from lexmill.operators.splits import (
     assign_shards,
@@ -102,9 +104,7 @@ def test_shard_sizes():
     assert sorted(sizes(100, 48), reverse=True) == [3] * 4 + [2] * 44
 
 
-@pytest.mark.parametrize("most", [0, 512])
-def test_shards_are_contiguous(docs, monkeypatch, most):
-    monkeypatch.setattr(splits, "MOST_BOUNDS", most)
+def test_shards_are_contiguous(docs):
     counts = {"train": 48, "test": 5}
     placed = assign_shards(docs(6), ["doc_id"], counts).collect()
     for split, n in counts.items():
@@ -127,15 +127,44 @@ def test_shards_need_a_unique_order(rows):
     with pytest.raises(ValueError, match="unique id"):
         assign_shards(df, ["id"], 3)
     with pytest.raises(ValueError, match="shard count"):
-        assign_shards(df, ["id"], {"test": 3})
+        assign_shards(df.limit(1), ["id"], {"test": 3})
 
 
-@pytest.mark.parametrize("small", [3, 10_000])
-@pytest.mark.parametrize("n", [0, 5, 50, 5000])
-def test_take_first(docs, monkeypatch, small, n):
-    monkeypatch.setattr(ordering, "_SMALL_LIMIT", small)
+@pytest.mark.parametrize("n", [0, 5, 50, 1003, 5000])
+def test_take_first(docs, n):
     out = take_first(docs(5), n, ["doc_id"]).collect()
     assert sorted(r.doc_id for r in out) == list(range(min(n, 1003)))
+    last = take_first(docs(5), n, ["-split", "-doc_id"]).collect()
+    order = sorted(((0, i) if i % 3 else (1, i) for i in range(1003)), key=lambda k: (k[0], -k[1]))
+    assert sorted(r.doc_id for r in last) == sorted(i for _, i in order[:n])
+
+
+@pytest.mark.parametrize("kind, make", [
+    ("int", lambda i: i), ("double", lambda i: float("nan") if i == 7 else i / 3), ("string", lambda i: f"k'{i:03d}"),
+    ("binary", lambda i: bytearray([i, 255 - i])), ("decimal(20,6)", lambda i: Decimal(i) / 8),
+    ("date", lambda i: date(2020, 1, 1) + timedelta(i)), ("boolean", lambda i: i % 2 == 0),
+])
+def test_cuts_by_any_key_with_nulls(rows, kind, make):
+    data = [(None if i % 4 == 0 else make(i), i) for i in range(60)]
+    df = rows(data, f"k {kind}, id int")
+    for order in (["k", "id"], ["-k", "-id"]):
+        want = [r.id for r in df.orderBy(*ordering.sort_columns(order)).collect()]
+        for n in (1, 14, 15, 16, 45, 46, 59, 60):
+            assert sorted(r.id for r in take_first(df, n, order).collect()) == sorted(want[:n])
+
+
+def test_cut_between_equal_keys_is_an_error(rows):
+    df = rows([(1,), (1,), (2,)], "id int")
+    with pytest.raises(ValueError, match="unique id"):
+        take_first(df, 1, ["id"])
+    assert take_first(df, 2, ["id"]).count() == 2
+
+
+def test_null_split_and_key(rows):
+    df = rows([(None, None, i) for i in range(9)], "split string, k int, id int")
+    out = assign_shards(df, ["k", "id"], 3).orderBy("id").collect()
+    assert [r.shard for r in out] == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+    assert [r.split for r in head_split(df, ["k", "id"], 50).orderBy("id").collect()] == ["validation"] * 4 + ["train"] * 5
 
 
 def test_concat_keeps_duplicates_and_matches_names(rows):
