@@ -36,6 +36,9 @@ HEADLINE = [
     "u5_assign_shards",
     "s5_write_shards",
     "e5_eval_report",
+    "e5_eval_report_arrays",
+    "t2_train_unigram",
+    "f4_build_vocabulary",
     "f1_mixed_token_corpus",
     "f2_mixed_text_corpus",
     "f3_export_corpus",

@@ -15,12 +15,14 @@ from checks.registry import (
     table,
 )
 from checks.sequences import blocks_sql
+from lexmill.operators.encode import tokenize
 from lexmill.operators.splits import split_holdout
 from lexmill.operators.vocab import load_vocab
 from lexmill.plans.jobs import (
     Source,
     batch_preview,
     build_vocabulary,
+    completions,
     evaluation_report,
     export_corpus,
     mixed_corpus,
@@ -232,3 +234,38 @@ def _(spark, folder):
         "split", F.when(F.col("seq_id") % 5 == 0, "validation").otherwise("test")
     )
     return evaluation_report(named).withColumn("perplexity", F.round("perplexity", 6))
+
+
+_TIDY = "t"
+for _old, _new in [(" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" '' ", "''"), (" n''t", "n''t"),
+                   (" ''m", "''m"), (" ''s", "''s"), (" ''ve", "''ve"), (" ''re", "''re")]:
+    _TIDY = f"replace({_TIDY}, '{_old}', '{_new}')"
+
+
+# The prompt is the first word; the model says it again, then the text with
+# spaces before its punctuation, a stop token, and more.
+@check(
+    "f8_completions",
+    f"""WITH d AS (SELECT doc_id, replace(text, '.', ' .') AS body, string_split(replace(text, chr(10), ' '), ' ')[1] AS prompt
+                  FROM documents),
+        r AS (SELECT doc_id, unnest([1, 2])::INTEGER AS sample_no, prompt,
+                     unnest([prompt || ' ' || body, prompt || ' ' || prompt]) AS t FROM d)
+        SELECT doc_id, sample_no, prompt || substr({_TIDY}, length(prompt) + 1) AS completion FROM r""",
+)
+def _(spark, folder):
+    vocab = prefix_vocab(spark, folder)
+    first = F.element_at(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), 1)
+    docs = documents(spark, folder).select("doc_id", F.replace("text", F.lit("."), F.lit(" .")).alias("body"), first.alias("prompt"))
+
+    def ids(text, name):
+        rows = tokenize(docs.select("doc_id", text.alias("text")), vocab, add_special_tokens=False)
+        return rows.withColumnRenamed("input_ids", name)
+
+    said = F.concat_ws(" ", "prompt", "body")
+    rows = (
+        docs.join(ids(F.col("prompt"), "prompt_ids"), "doc_id").join(ids(said, "one"), "doc_id")
+        .join(ids(F.concat_ws(" ", "prompt", "prompt"), "two"), "doc_id")
+    )
+    more = F.array(F.lit(2), F.lit(9), F.lit(2))
+    rows = rows.select("doc_id", "prompt", "prompt_ids", F.array(F.concat("one", more), F.concat("two", more)).alias("outputs"))
+    return completions(rows, vocab).select("doc_id", "sample_no", "completion")

@@ -49,6 +49,19 @@ def markup_text(text: Column) -> Column:
     return markup_newlines(F.array_join(raw, "\n\n"))
 
 
+def tidy_spaces(text: Column) -> Column:
+    """Decoded text without the spaces that decoding leaves before punctuation
+    and inside contractions."""
+    # fixed values: what is replaced, in this order
+    pairs = [
+        (" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"),
+        (" n't", "n't"), (" 'm", "'m"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re"),
+    ]
+    for old, new in pairs:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
 def si_format(num: Column, suffix: str = "B") -> Column:
     """Short size name: 50000 -> ``50K<suffix>``; steps of 1000 up to Z, then Y."""
     # fixed values: the units and their order

@@ -15,11 +15,11 @@ from lexmill.constants import (
     PACK_BATCH_ROWS,
     VOCAB_SIZE,
 )
-from lexmill.functions.text import si_format
+from lexmill.functions.text import si_format, tidy_spaces
 from lexmill.functions.tokens import append_eos
 from lexmill.operators.cleaning import article_text, normalize_text, strip_nonempty
-from lexmill.operators.encode import tokenize
-from lexmill.operators.evaluate import argmax, eval_report
+from lexmill.operators.encode import detokenize, tokenize
+from lexmill.operators.evaluate import argmax, clean_completions, eval_report, number_completions
 from lexmill.operators.ordering import column_names, sort_columns, take_first
 from lexmill.operators.sequences import (
     add_labels,
@@ -241,6 +241,26 @@ def batch_preview(
     return add_labels(pad_batches(first, rows, order_by), mask=True)
 
 
+def completions(
+    df: DataFrame, vocab: DataFrame, stop: str = "</s>", legacy: bool = False, tidy: bool = True
+) -> DataFrame:
+    """Finished texts of generated ids, one row per sample.
+
+    Takes ``prompt``, its ids ``prompt_ids`` and ``outputs``, an array of id arrays
+    that begin with the prompt; other columns are kept.  Each output is decoded,
+    its spaces tidied, cut at the stop token and given the original prompt;
+    ``sample_no`` counts the outputs of a prompt from 1.
+    """
+
+    def decoded(rows: DataFrame, ids: str, text: str) -> DataFrame:
+        out = detokenize(rows.withColumnRenamed(ids, "input_ids"), vocab)
+        return out.withColumn(text, tidy_spaces(F.col("text")) if tidy else F.col("text")).drop("text")
+
+    rows = number_completions(df, "outputs").withColumnRenamed("raw_text", "output")
+    rows = decoded(decoded(rows, "output", "raw_text"), "prompt_ids", "__echo")
+    return clean_completions(rows, stop, echo="__echo", legacy=legacy).drop("raw_text", "__echo")
+
+
 def evaluation_report(
     df: DataFrame,
     by: Sequence[str] = ("split",),
