@@ -235,6 +235,36 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: s
     return [b for b, _ in bags], np.array([y for _, y in bags], dtype=np.float64)
 
 
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str, text: str, label: str) -> Model | float:
+    """The model of the labelled sample; a number where all labels are that
+    number, and 0.5 where there are none."""
+    bags, known = _sample(docs, labels, id_col, text, label)
+    if not len(known):
+        return 0.5
+    return float(known[0]) if known.min() == known.max() else train(bags, known)
+
+
+def score_texts(model: Model | float, texts: list[bytes]) -> np.ndarray:
+    """Scores of some texts; 0 for one without words."""
+    sums, weights = np.zeros((len(texts), HIDDEN)), np.zeros(len(texts))
+    if not isinstance(model, Model):
+        return np.array([model if t.split() else 0.0 for t in texts])
+    for owners, pieces in _slices(texts):
+        x, counts = passage_features(pieces)
+        if not len(x):
+            continue
+        h, _, _, e = model.encode(x.astype(np.float64))
+        owner = np.repeat(owners, counts)
+        np.add.at(sums, owner, e[:, None] * h)
+        np.add.at(weights, owner, e)
+    some = weights > 0
+    return np.where(some, model.score(sums / np.where(some, weights, 1)[:, None]), 0.0)
+
+
+def _bytes(texts: pa.Array) -> list[bytes]:
+    return [(t.as_py() or "").encode() for t in texts]
+
+
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -250,31 +280,15 @@ def quality_scores(
     all labels are equal, all other texts score as that label; without labels
     they score 0.5.  Repeated rows score alike; extra columns are ignored.
     """
-    bags, known = _sample(docs, labels, id_col, text, label)
-    if not len(known) or known.min() == known.max():
-        level = float(known[0]) if len(known) else 0.5
-        some = F.length(F.regexp_replace(text_or_empty(text), r"[\x20\x09-\x0D]+", "")) > 0
-        return docs.select(F.col(id_col), F.when(some, F.lit(level)).otherwise(F.lit(0.0)).alias("score"))
-    model = train(bags, known)
+    model = fit(docs, labels, id_col=id_col, text=text, label=label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py().encode() for t in batch.column(1)]
-            sums, weights = np.zeros((len(texts), HIDDEN)), np.zeros(len(texts))
-            for owners, pieces in _slices(texts):
-                x, counts = passage_features(pieces)
-                if not len(x):
-                    continue
-                h, _, _, e = model.encode(x.astype(np.float64))
-                owner = np.repeat(owners, counts)
-                np.add.at(sums, owner, e[:, None] * h)
-                np.add.at(weights, owner, e)
-            some = weights > 0
-            scores = np.where(some, model.score(sums / np.where(some, weights, 1)[:, None]), 0.0)
+            scores = score_texts(model, _bytes(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
@@ -283,11 +297,16 @@ def learn_from(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.filter(fold(id_col, 3) != 1)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents with a score of at least 0.5, all columns kept.
+def accepted(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """The rows with a score of at least 0.5, all columns kept; no shuffle.
+
+    Rows are judged one by one, those with a null or repeated id like others."""
+    model = fit(docs, learn_from(labels, id_col), id_col=id_col, text=text, label=label)
 
-    Rows with a null id are judged like others."""
-    good = quality_scores(docs, learn_from(labels, id_col), id_col=id_col, **options).filter("score >= 0.5")
-    return docs.join(
-        good.select(F.col(id_col).alias("__good")).distinct(), F.col(id_col).eqNullSafe(F.col("__good")), "left_semi"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(model, _bytes(batch.column(text))) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import SPACES, ascii_lower, text_or_empty
+from lexmill.llm.common import ascii_lower, text_or_empty
 from lexmill.llm.components import connected_components, local_roots
 from lexmill.session import materialize
 
