@@ -94,8 +94,9 @@ def passage_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     distinct = np.bincount(place[sole], minlength=n)
     bins = np.searchsorted(_LENGTHS, length, side="right")
     lengths = np.bincount(place * (len(_LENGTHS) + 1) + bins, minlength=n * (len(_LENGTHS) + 1))
-    pair = (chars[:-1].astype(np.int64) * 31 + chars[1:]) % _BIGRAMS
-    pairs = np.bincount(byte_place[:-1] * _BIGRAMS + pair, minlength=n * _BIGRAMS)
+    joined = np.flatnonzero(within[1:])  # both bytes in one word
+    pair = (chars[joined].astype(np.int64) * 31 + chars[joined + 1]) % _BIGRAMS
+    pairs = np.bincount(byte_place[joined] * _BIGRAMS + pair, minlength=n * _BIGRAMS)
     shares = [
         per(first == _UPPER), per((upper > 0) & (lower == 0) & (length > 1)), per(np.isin(last, (_BANG, _SYMBOL, _PIPE))),
         per(last == _STOP), per(again), distinct, per((length == 1) & (first == _PIPE)), per(length <= 3), per(length >= 24),
