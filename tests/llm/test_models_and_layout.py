@@ -1,0 +1,317 @@
+"""Models against held-out labels, mixing and sharding against their laws, and the pipeline."""
+
+import random
+import zlib
+from collections import Counter, defaultdict
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lexmill.llm import langid, mixing, quality, queries, secret_scan, sharding, simhash
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, shard string, score string, label int, word string"
+
+
+def table(rows, data):
+    return rows([(i, t, lang, src, len(t or ""), "a", "b", "c", 7, "d") for i, t, lang, src in data], DOCS)
+
+
+SYLLABLES = {"en": "the and ing tion er ly st wh on".split(), "xx": "zu kei pf sch ung ber ä ö".split()}
+EDGES = [
+    (900, None, "en", "s1"), (901, "", None, None), (902, " \n\t", "en", None), (903, "12 345 --", "xx", "s0"),
+    (904, "word", None, "s2"), (904, "word", None, "s2"), (None, "the and the", "en", "s1"), (None, None, None, None),
+]
+
+
+def prose(rng, lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+def corpus(n=240, seed=1):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        lang = "xx" if i % 3 == 0 else "en"
+        text = prose(rng, lang, rng.randrange(5, 300))
+        if i % 4 == 1:
+            junk = rng.choice(["buy!! NOW!!", "a | b | c |", "same same same"])
+            text += "\n" + " ".join([junk] * 60)
+        out.append((i, text, lang, f"s{i % 5}" if i % 2 else "s0"))
+    out.append((800, prose(rng, "en", 40_000), "en", "s4"))
+    return out + EDGES
+
+
+def test_passages_are_whole_and_slices_agree(monkeypatch):
+    rng = random.Random(3)
+    texts = [prose(rng, "en", n).encode() for n in (0, 1, 63, 64, 65, 700)] + [b"", b" \n ", "ä | ü!! X".encode()]
+    x, counts = quality.passage_features(texts)
+    assert counts.tolist() == [-(-len(t.split()) // 64) for t in texts] and len(x) == counts.sum()
+    one_by_one = np.concatenate([quality.passage_features([t])[0] for t in texts])
+    assert np.allclose(x, one_by_one)
+    monkeypatch.setattr(quality, "SLICE_BYTES", 500)
+    found = [quality.passage_features(p)[0] for _, p in quality._slices(texts)]
+    assert np.allclose(np.concatenate(found), x)
+
+
+def test_quality_learns_from_documents(rows):
+    data = corpus()
+    labels = rows([(i, int(i % 4 != 1), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    labels = labels.union(rows([(5000, 1, 0), (3, None, 0), (4, 9, 0), (None, 1, 0)], labels.schema))
+    docs = table(rows, data)
+    assert {zlib.crc32(str(r["doc_id"]).encode()) % 3 for r in quality.learn_from(labels).collect()} <= {0, 2}
+    got = quality.quality_scores(docs, quality.learn_from(labels)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in data)
+    held = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 240 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    right = sum((r["score"] >= 0.5) == (r["doc_id"] % 4 != 1) for r in held)
+    assert right >= 0.95 * len(held) > 50
+    assert {r["score"] for r in got if r["doc_id"] in (900, 901, 902)} == {0.0}
+    assert len({r["score"] for r in got if r["doc_id"] == 904}) == 1
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns
+    scores = Counter(i for i, s in ((r["doc_id"], r["score"]) for r in got) if s >= 0.5)
+    assert Counter(r["doc_id"] for r in kept.collect()) == scores
+    only = quality.quality_scores(docs, labels.filter("quality = 1")).collect()
+    assert {r["score"] for r in only} == {0.0, 1.0}
+    none = quality.quality_scores(docs, labels.limit(0)).collect()
+    assert {r["score"] for r in none} == {0.0, 0.5}
+    assert quality.quality_scores(docs.limit(0), labels).count() == 0
+
+
+def brute_kneser_ney(texts, order=4):
+    """Interpolated probabilities by their definition, on strings."""
+    counts = {order: Counter()}
+    for t in texts:
+        padded = " " * (order - 1) + t + " "
+        counts[order].update(padded[i : i + order] for i in range(len(padded) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    letters = len(counts[1]) + 1
+
+    def p(run):
+        if not run:
+            return 1 / letters
+        table = counts[len(run)]
+        once, twice = (sum(c == n for c in table.values()) for n in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        follow = {g: c for g, c in table.items() if g[:-1] == run[:-1]}
+        if not follow:
+            return p(run[1:])
+        total = sum(follow.values())
+        return max(table.get(run, 0) - discount, 0) / total + discount * len(follow) / total * p(run[1:])
+
+    return p
+
+
+def test_language_model_is_kneser_ney():
+    texts = ["abra kadabra", "abba", "karaba ra"]
+    runs = Counter()
+    for t in texts:
+        keys = langid._joined([langid.units(t)])[0]
+        runs.update(keys.tolist())
+    keys = np.array(sorted(runs), dtype=np.uint64)
+    model = langid.KneserNey(keys, np.array([runs[int(k)] for k in keys]))
+    p = brute_kneser_ney(texts)
+    asked = ["abra", "kada", "zzzz", "   a", "ra z", "abbz", "xabr"]
+    packed = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(run)) for run in asked], dtype=np.uint64)
+    assert np.allclose(model.log_probabilities(packed), [np.log(p(run)) for run in asked])
+    some = [np.exp(model.log_probabilities(np.array([(ord("a") << 48) | (ord("b") << 32) | (ord("r") << 16) | ord(c)], np.uint64)))[0] for c in "abdkr z?"]
+    assert abs(sum(some) - 1) < 0.02  # over all letters and one unseen
+
+
+def test_language_counts_do_not_depend_on_slices(monkeypatch):
+    rng = random.Random(2)
+    texts = [prose(rng, lang, 200) for lang in ("en", "xx", "en")] + ["", "1 2", "é"]
+
+    def counted():
+        out = Counter()
+        for _, parts in langid._groups(langid.units(t) for t in texts):
+            out.update(langid._joined(parts)[0].tolist())
+        return out
+
+    whole = counted()
+    assert langid.units("Ab--C\n9 d").tobytes().decode("utf-16-le") == "ab c d"
+    assert not len(langid.units("12 -- \n")) and not len(langid.units("\U0001f600"))
+    assert len(langid.units("\U00010400"))  # a letter outside the first plane
+    assert sum(whole.values()) == sum(len(langid.units(t)) + 1 for t in texts if len(langid.units(t)))
+
+
+def test_languages_of_held_out_texts(rows):
+    data = corpus(seed=4)
+    docs = table(rows, data)
+    got = langid.identify_languages(docs, docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in data)
+    langs = {i: lang for i, _, lang, _ in data if i is not None and i < 240}
+    held = [r for r in got if r["doc_id"] in langs and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in held) >= 0.97 * len(held) > 30
+    assert all(0 <= r["score"] <= 1 for r in got)
+    blank = [r for r in got if r["doc_id"] in (900, 901, 902, 903)]
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in blank} == {("und", 0.0, True)}
+    assert langid.identify_languages(docs.limit(0), docs).count() == 0
+    none = langid.identify_languages(docs, docs.limit(0)).collect()
+    assert {r["lang_pred"] for r in none} == {"und"} and len(none) == len(data)
+
+
+def test_secrets_are_told_from_other_numbers(rows):
+    rng = random.Random(7)
+    token = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    data, truth = [], {}
+    for i in range(240):
+        kind = i % 4
+        value = [lambda: "AKIA" + token("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: token("0123456789abcdef", 40),
+                 lambda: token("0123456789", 16), lambda: "theandtion" + token("0123456789", 4)][kind]()
+        text = f'{prose(rng, "en", 9)} {[value, f"token = {chr(34)}{value}{chr(34)}", value, value][kind]} {prose(rng, "en", 5)}'
+        data.append((i, text, "en", f"src/{i % 3}"))
+        truth[i] = kind < 2
+    docs = table(rows, data + EDGES + [(950, None, None, None)])
+    found = secret_scan.audited(secret_scan.candidates(docs, id_col="doc_id", text="text", path="source"))
+    half = "floor({} / 4) % 2"
+    labelled, rest = found.filter(half.format("id") + " = 0"), docs.filter(half.format("doc_id") + " = 1 or doc_id > 800")
+    got = secret_scan.scan(rest, labelled).collect()
+    wanted = {i for i in truth if i // 4 % 2}
+    assert {r["doc_id"] for r in got} == wanted
+    assert sum(r["is_secret"] == truth[r["doc_id"]] for r in got) >= 0.95 * len(got)
+    for r in got:
+        assert r["value"] in data[r["doc_id"]][1].split()[r["word_no"]]
+    assert {r["score"] for r in secret_scan.scan(rest, labelled.limit(0)).collect()} == {0.5}
+    assert {r["is_secret"] for r in secret_scan.scan(rest, labelled.filter("label = 0")).collect()} == {False}
+    assert secret_scan.scan(docs.limit(0), labelled).count() == 0
+
+
+@pytest.mark.parametrize("weights, seats", [([5, 3, 1], 9), ([1, 1, 1], 4), ([7.5, 0, 2], 100), ([3], 5), ([0.1, 99, 3, 3], 1000), ([2, 2], 0)])
+def test_sainte_lague_takes_the_highest_quotients(weights, seats):
+    quotients = sorted(((-w / (2 * k + 1), i) for i, w in enumerate(weights) if w for k in range(seats)))[:seats]
+    want = Counter(i for _, i in quotients)
+    assert mixing.sainte_lague(weights, seats) == [want.get(i, 0) for i in range(len(weights))]
+
+
+def test_capped_targets_share_the_excess():
+    out = mixing.capped_targets([1, 10, 100], [3, 1, 1], 3)
+    assert out == [3.0, 30.0, 78.0]
+    assert mixing.capped_targets([5, 5], [1, 1], 3) == [5.0, 5.0]
+
+
+@pytest.mark.parametrize("blocks", [mixing.BLOCKS, 200])
+def test_mix_meets_targets(rows, blocks):
+    data = corpus(seed=6)
+    docs = table(rows, data).repartition(7)
+    got = mixing.mix_quotas(docs, blocks=blocks).collect()
+    assert Counter(got) == Counter(mixing.mix_quotas(table(rows, data).repartition(2), blocks=blocks).collect())
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in data)
+    total = sum(r["size"] for r in got)
+    assert total == sum(len((t or "").split()) for _, t, *_ in data)
+    by_source = defaultdict(list)
+    for r in got:
+        by_source[r["source"]].append(r)
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    block = max(1, total // blocks)
+    for found in by_source.values():
+        assert {r["source_size"] for r in found} == {sum(r["size"] for r in found)}
+        assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 2 * block
+    assert abs(sum(found[0]["target"] for found in by_source.values()) - total) < 1e-6 * total
+    assert mixing.mix_quotas(docs.limit(0)).count() == 0
+    empty = mixing.mix_quotas(docs.filter("doc_id in (900, 901)")).collect()
+    assert {(r["size"], r["target"], r["taken"]) for r in empty} == {(0, 0.0, 0)}
+
+
+def test_mixed_documents_are_whole(rows):
+    data = [(i, prose(random.Random(i), "en", 30 + i), "en", "a" if i < 60 else "b") for i in range(80)]
+    docs = table(rows, data)
+    quotas = {r["doc_id"]: r for r in mixing.mix_quotas(docs).collect()}
+    out = mixing.mix_documents(docs)
+    copies = Counter(r["doc_id"] for r in out.collect())
+    assert out.columns == docs.columns
+    for i, r in quotas.items():
+        assert copies[i] == int(r["taken"] / r["size"] + 0.5)
+
+
+def test_hilbert_curve_visits_neighbours():
+    points = np.array(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1)
+    index = sharding.hilbert_index(list(points), bits=3)
+    assert sorted(index) == list(range(512))
+    steps = np.abs(np.diff(points[:, np.argsort(index)], axis=1)).sum(axis=0)
+    assert (steps == 1).all()
+
+
+def test_shards_hold_equal_rows_and_near_metadata(rows):
+    data = corpus(seed=8) + [(1000 + i, "copied text", "en", f"s{i % 4}") for i in range(90)]
+    docs = table(rows, data)
+    got = sharding.hilbert_shards(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in data)
+    assert sorted(docs.columns) == sorted(c for c in sharding.hilbert_shards(docs).columns if c not in ("text_crc32", "hilbert", "slot"))
+    sizes = Counter(r["shard"] for r in got)
+    assert set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s, n in sizes.items():
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(n))
+    for r in got:
+        body = (r["text"] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(body) + 8, zlib.crc32(body))
+    order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    assert [r["hilbert"] for r in order] == sorted(r["hilbert"] for r in got)
+    places = [k for k, r in enumerate(order) if r["text"] == "copied text"]
+    assert places == list(range(places[0], places[0] + 90))
+    few = sharding.hilbert_shards(docs.limit(5), keep=False).collect()
+    assert len({r["shard"] for r in few}) == 5
+    assert sharding.hilbert_shards(docs.limit(0)).count() == 0
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
+def test_pipeline_stages_take_effect(spark):
+    """Each stage against what its own input asks for, in plain Python."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["good_quality", "near_duplicates", "decontaminated", "mix", "shard"]
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, seen, FOLDER).cache()
+        ids = Counter(r["doc_id"] for r in out.collect())
+        before = {r["doc_id"]: r for r in seen.collect()}
+        if name == "good_quality":
+            labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+            known = [i for i in before if labels.get(i) is not None]
+            assert sum((i in ids) == (labels[i] == 1) for i in known) >= 0.95 * len(known)
+        if name == "near_duplicates":
+            prints = {i: simhash.fingerprint((r["text"] or "").translate({c: c + 32 for c in range(65, 91)})) for i, r in before.items()}
+            root = {i: i for i in before}
+            for a in sorted(before):
+                for b in sorted(before):
+                    if (prints[a] ^ prints[b]).bit_count() <= 4:
+                        low, high = sorted((root[a], root[b]))
+                        root = {k: low if v == high else v for k, v in root.items()}
+            assert set(ids) == set(root.values()) and set(ids.values()) == {1}
+        if name == "decontaminated":
+            grams = lambda t: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+            items = [grams(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+            dirty = {i for i, r in before.items() if any(10 * len(g & grams(r["text"])) >= 8 * len(g) for g in items if g)}
+            assert set(ids) == set(before) - dirty and dirty
+        if name == "mix":
+            want = {r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in mixing.mix_quotas(seen).collect() if r["size"]}
+            assert ids == Counter({i: n for i, n in want.items() if n})
+        if name == "shard":
+            assert ids == Counter(r["doc_id"] for r in seen.collect()) and "shard" in out.columns
+        else:
+            assert out.columns == docs.columns
+        seen = out
+
+
+def test_every_operator_has_a_query():
+    numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
+    assert numbers == list(range(1, 11))
+    assert set(queries.ORACLES) == {"op6_mix_to_target_weights", "op9_benchmark_containment"}
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    database = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        database.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, FOLDER).toPandas(), database.sql(queries.ORACLES[name]).df()
+    order = sorted(got.columns)
+    assert order == sorted(want.columns)
+    assert sorted(got[order].itertuples(index=False, name=None)) == sorted(want[order].itertuples(index=False, name=None))
