@@ -22,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import ascii_lower, text_or_empty
@@ -376,12 +376,33 @@ def simhash_components(
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k: int = MOST_DIFFERENT) -> DataFrame:
-    """The row with the smallest id of each component; all columns are kept.
-
-    Of rows that share this id one is kept."""
-    kept = simhash_components(docs, k, id_col=id_col, text=text).filter(
-        F.col(id_col) == F.col("component_id")
-    ).select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-    return rows.withColumn("__row", F.row_number().over(one)).filter("__row = 1").select(*docs.columns)
+    """One row of each component of texts, that with the smallest id; all columns are kept.
+
+    A component is made of texts alone: rows that share an id are judged by
+    each of their texts, and a null id, the last of all, stays where no other
+    row has such a text.
+    """
+    rows = materialize(fingerprints(tagged(docs, id_col), "__row", text), "fingerprints")
+    distinct = materialize(rows.select("fp", F.col("fp").alias("id")).distinct(), "distinct")
+    found = connected_components(links(distinct, make_plan(distinct, k), k), "a", "b")
+    firsts = rows.groupBy("fp").agg(F.min(_place("id")).alias("place")).join(found, F.col("fp") == F.col("node"), "left")
+    return picked(docs, firsts.groupBy(F.coalesce("component", "fp")).agg(F.min("place").alias("place")), id_col)
+
+
+def tagged(docs: DataFrame, id_col: str) -> DataFrame:
+    """The rows with ``__row``: their id and a hash of all their columns."""
+    return docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash")))
+
+
+def _place(row: str) -> Column:
+    """What the rows of a component are ordered by: id, nulls last, then hash."""
+    return F.struct(F.col(f"{row}.id").isNull().alias("last"), F.col(f"{row}.id").alias("id"), F.col(f"{row}.hash").alias("hash"))
+
+
+def picked(docs: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id and hash are a ``place``; of equal rows one."""
+    wanted = places.select(F.col("place.id").alias("__id"), F.col("place.hash").alias("__hash"))
+    row = F.col("__row")
+    same = row["id"].eqNullSafe(F.col("__id")) & (row["hash"] == F.col("__hash"))
+    kept = tagged(docs, id_col).join(wanted, same, "left_semi").withColumns({"__id": row["id"], "__hash": row["hash"]})
+    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
