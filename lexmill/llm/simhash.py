@@ -385,7 +385,7 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k
     rows = materialize(fingerprints(tagged(docs, id_col), "__row", text), "fingerprints")
     distinct = materialize(rows.select("fp", F.col("fp").alias("id")).distinct(), "distinct")
     found = connected_components(links(distinct, make_plan(distinct, k), k), "a", "b")
-    firsts = rows.groupBy("fp").agg(F.min(_place("id")).alias("place")).join(found, F.col("fp") == F.col("node"), "left")
+    firsts = rows.groupBy("fp").agg(F.min(place("id")).alias("place")).join(found, F.col("fp") == F.col("node"), "left")
     return picked(docs, firsts.groupBy(F.coalesce("component", "fp")).agg(F.min("place").alias("place")), id_col)
 
 
@@ -394,7 +394,7 @@ def tagged(docs: DataFrame, id_col: str) -> DataFrame:
     return docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash")))
 
 
-def _place(row: str) -> Column:
+def place(row: str) -> Column:
     """What the rows of a component are ordered by: id, nulls last, then hash."""
     return F.struct(F.col(f"{row}.id").isNull().alias("last"), F.col(f"{row}.id").alias("id"), F.col(f"{row}.hash").alias("hash"))
 

@@ -1,6 +1,8 @@
 """What near-duplicate removal keeps."""
 
-from lexmill.llm import simhash
+import random
+
+from lexmill.llm import shingles, simhash
 
 
 def test_a_row_per_component_of_texts_is_kept(rows):
@@ -13,3 +15,39 @@ def test_a_row_per_component_of_texts_is_kept(rows):
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert sorted(got, key=lambda r: r[1]) == [(1, a), (5, b), (None, c), (7, d)]
     assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def planted(rng, n, m):
+    """A text of ``n`` words and a copy with ``m`` of them changed, with their similarity."""
+    a = [f"w{rng.randrange(3000)}" for _ in range(n)]
+    b = list(a)
+    for i in rng.sample(range(n), m):
+        b[i] = f"new{rng.randrange(10**9)}"
+    x, y = ({tuple(t[i : i + 5]) for i in range(max(1, n - 4))} for t in (a, b))
+    return " ".join(a), " ".join(b), len(x & y) / len(x | y)
+
+
+def test_recall_of_planted_pairs(rows):
+    """Every pair from 0.8 to 1 loses its copy, and none below."""
+    rng = random.Random(4)
+    pairs = [planted(rng, rng.randrange(60, 700), rng.randrange(0, 16)) for _ in range(500)]
+    data = [(2 * i + side, p[side]) for i, p in enumerate(pairs) for side in (0, 1)]
+    # a crowd around one text, whose members are linked to some of the others only
+    base = [f"c{i}" for i in range(300)]
+    crowd = [" ".join(f"x{k}_{i}" if i in (k * 7 % 300, k * 11 % 300, k * 13 % 300, k * 29 % 300) else w for i, w in enumerate(base)) for k in range(80)]
+    data += [(10_000 + k, t) for k, t in enumerate(crowd)]
+    docs = rows([*data, (20_000, None), (20_001, ""), (20_002, "one"), (20_003, "ONE")], "doc_id long, text string")
+    kept = {r["doc_id"] for r in shingles.keep_first(docs).collect()}
+    assert sum(p[2] >= 0.8 for p in pairs) > 150 and sum(p[2] < 0.8 for p in pairs) > 100
+    for i, p in enumerate(pairs):
+        assert 2 * i in kept and (2 * i + 1 in kept) == (p[2] < 0.8), p[2]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(296)} for t in crowd]
+    root = list(range(80))
+    for a in range(80):
+        for b in range(a):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert {i - 10_000 for i in kept if 10_000 <= i < 20_000} == set(root)
+    assert {i for i in kept if i >= 20_000} == {20_000, 20_002}
+    assert shingles.keep_first(docs.limit(0)).count() == 0
