@@ -4,7 +4,8 @@ In each pass every vector gets the signs of 64 random projections, one after
 the other, and the vectors are put in the order of these bits; near vectors
 share a long prefix and come to lie close together.  Each vector is compared
 with a bounded window of its neighbours, and the links of all passes are
-united.  Windows are cut from global positions, so partitions do not matter.
+united.  The number of passes follows from the number of vectors, and goes on
+while passes still join components.  Windows are cut from global positions, so partitions do not matter.
 
 Equal vectors are one from the start.  Within a component links are counted
 whole, not only those inside windows: vectors so close to the component's mean
@@ -29,8 +30,9 @@ from lexmill.operators.ordering import rank_keys
 from lexmill.session import materialize
 
 LEAST_COSINE = 0.9
-PASSES = 10
 WINDOW = 48
+PASSES_AT_ONCE = 8  # sorted and compared together
+RECALL = 0.998  # predicted for a pair at the least cosine
 BLOCK = 2048
 SLACK = 1e-9  # radians, far above rounding and far below any margin that matters
 
@@ -43,11 +45,22 @@ def _unit(arrays: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _projections(size: int, passes: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, size]).normal(size=(size, passes * 64))
+def _projections(size: int, passes: int, seed: int | list[int]) -> np.ndarray:
+    return np.random.default_rng([*np.atleast_1d(seed), size]).normal(size=(size, passes * 64))
 
 
-def signatures(vectors: DataFrame, passes: int = PASSES, seed: int = 42) -> DataFrame:
+def passes_needed(n: int, least: float = LEAST_COSINE, window: int = WINDOW, recall: float = RECALL) -> int:
+    """Passes after which a pair at cosine ``least`` among ``n`` spread vectors is found with ``recall``.
+
+    A pass finds a pair that shares the bits which tell windows apart, one for
+    each halving of ``n`` down to the window; each differs by the pair's angle.
+    """
+    bits = max(0.0, math.log2(max(n, 1) / window))
+    once = (1 - math.acos(least) / math.pi) ** bits
+    return 1 if once >= recall else math.ceil(math.log(1 - recall) / math.log(1 - once))
+
+
+def signatures(vectors: DataFrame, passes: int, seed: int | list[int] = 42) -> DataFrame:
     """``id``, ``size``, ``pass`` and ``bits`` (as a sortable long) of valid vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +88,7 @@ def signatures(vectors: DataFrame, passes: int = PASSES, seed: int = 42) -> Data
     return vectors.select("id", "size", "vec").mapInArrow(run, "id long, size int, pass int, bits long")
 
 
-def window_links(vectors: DataFrame, *, least: float, passes: int, window: int, seed: int) -> DataFrame:
+def window_links(vectors: DataFrame, *, least: float, passes: int, window: int, seed: int | list[int]) -> DataFrame:
     """Pairs ``a``, ``b`` that connect all vectors linked within a window."""
     ranked = rank_keys(signatures(vectors, passes, seed), ["size", "pass", "bits", "id"], [], "position")
     block = F.floor(F.col("position") / BLOCK)
@@ -109,6 +122,37 @@ def window_links(vectors: DataFrame, *, least: float, passes: int, window: int,
     return rows.groupBy("block").applyInArrow(compare, "a long, b long")
 
 
+def found_components(vectors: DataFrame, *, least: float, passes: int | None, window: int, seed: int) -> DataFrame:
+    """``node`` and ``component`` of all vectors in a link that the passes find.
+
+    Without ``passes`` there are as many as the largest group of equal length
+    needs, and then as many more as still join components: where vectors lie
+    denser than spread ones, windows cover less and passes go on.
+    """
+    if passes is not None:
+        links = window_links(vectors, least=least, passes=passes, window=window, seed=seed)
+        return materialize(connected_components(links, "a", "b"), "components")
+    sizes = vectors.groupBy("size").count().agg(F.max("count").alias("n")).first()  # one row per length
+    needed = passes_needed(sizes["n"] or 0, least, window)
+    found, done = None, 0
+    while True:
+        links = window_links(vectors, least=least, passes=PASSES_AT_ONCE, window=window, seed=[seed, done])
+        if found is not None:
+            of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"component_{end}"))
+            new = links.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(
+                F.coalesce("component_a", "a") != F.coalesce("component_b", "b")
+            )
+            new = materialize(new.select("a", "b"), "new-links")
+            if new.isEmpty():
+                if done + PASSES_AT_ONCE >= needed:
+                    return found
+                done += PASSES_AT_ONCE
+                continue
+            links = new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        found = materialize(connected_components(links, "a", "b"), "components")
+        done += PASSES_AT_ONCE
+
+
 def _counted(members: DataFrame, least: float) -> DataFrame:
     """``id`` and ``others``, the copies of other distinct vectors linked with it.
 
@@ -170,7 +214,7 @@ def embedding_links(
     id_col: str = "vec_id",
     vector: str = "embedding",
     least: float = LEAST_COSINE,
-    passes: int = PASSES,
+    passes: int | None = None,
     window: int = WINDOW,
     seed: int = 42,
 ) -> DataFrame:
@@ -194,8 +238,7 @@ def embedding_links(
         .withColumn("size", F.size("vec")),
         "vectors",
     )
-    links = window_links(distinct, least=least, passes=passes, window=window, seed=seed)
-    found = materialize(connected_components(links, "a", "b"), "components")
+    found = found_components(distinct, least=least, passes=passes, window=window, seed=seed)
     members = distinct.join(found, F.col("id") == F.col("node")).select("component", "id", "copies", "vec")
     counted = _counted(members, least)
     judged = (
