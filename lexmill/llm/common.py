@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,14 @@ def ascii_lower(text: Column) -> Column:
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string")) % parts
+
+
+def quoted(name: str) -> str:
+    """A column name as it may stand in ``F.col``, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(docs: DataFrame, new: Sequence[str]) -> list[Column]:
+    """The columns of a table except those that new ones replace (names without regard to case)."""
+    taken = {name.lower() for name in new}
+    return [F.col(quoted(c)) for c in docs.columns if c.lower() not in taken]
