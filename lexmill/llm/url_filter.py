@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,44 +128,45 @@ def host_ranks(pages: DataFrame, links: DataFrame, *, rounds: int = ROUNDS) -> D
     nothing moves any more.
     """
     links = materialize(links, "host-links")
-    seeds = materialize(_seeds(pages, links), "seeds")
     edges = materialize(_edges(links), "host-edges")
-    outs = materialize(edges.select("way", F.col("source").alias("host"), "salts").distinct(), "host-outs")
+    outs = edges.select("way", F.col("source").alias("host"), "salts").distinct()
     up, down = DAMPING
-    stays = lambda c: F.col(c) - F.expr(f"{c} * {up} div {down}")
-    seeds = materialize(
-        seeds.join(outs, ["way", "host"], "left").select(
-            "way", "host", "salts", "special", "plain", stays("special").alias("special_seed"), stays("plain").alias("plain_seed")
+    moving = lambda c: F.expr(f"{c} * {up} div {down}")
+    walks = ("special", "plain")
+    state = materialize(
+        _seeds(pages, links).join(outs, ["way", "host"], "left").select(
+            "way", "host", "salts", *walks, *[(F.col(c) - moving(c)).alias(f"{c}_seed") for c in walks], F.lit(True).alias("changed")
         ),
-        "seeded",
+        "seeds",
     )
-    ranks = seeds.select("way", "host", "special", "plain")
-    moving = not edges.isEmpty()
-    for _ in range(rounds if moving else 0):
-        moved = seeds.select("way", "host", "salts").join(ranks, ["way", "host"]).select(
-            "way", "host", "salts", *[F.expr(f"{c} * {up} div {down}").alias(c) for c in ("special", "plain")]
-        )
-        sent = moved.filter("salts is not null").select(
-            "way", F.col("host").alias("source"), "special", "plain", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    for _ in range(0 if edges.isEmpty() else rounds):
+        sent = state.filter("salts is not null").select(
+            "way", F.col("host").alias("source"), *[moving(c).alias(c) for c in walks],
+            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
         )
         # mass * n / total without a product that could overflow
-        part = lambda c: F.expr(f"({c} div total) * n + (({c} % total) * n) div total").alias(c)
-        arrived = sent.join(edges.drop("salts"), ["way", "source", "salt"]).select("way", F.col("target").alias("host"), part("special"), part("plain"))
-        kept = moved.filter("salts is null").select("way", "host", "special", "plain")
-        sums = arrived.unionByName(kept).groupBy("way", "host").agg(F.sum("special").alias("special_in"), F.sum("plain").alias("plain_in"))
-        after = materialize(
-            seeds.join(sums, ["way", "host"], "left").select(
-                "way", "host", *[(F.col(f"{c}_seed") + F.coalesce(f"{c}_in", F.lit(0))).alias(c) for c in ("special", "plain")]
+        part = lambda c: F.expr(f"({c} div total) * n + (({c} % total) * n) div total")
+        arrived = sent.join(edges.drop("salts"), ["way", "source", "salt"]).select(
+            "way", F.col("target").alias("host"), *[part(c).alias(f"{c}_in") for c in walks]
+        )
+        sums = arrived.groupBy("way", "host").agg(*[F.sum(f"{c}_in").alias(f"{c}_in") for c in walks])
+        met = state.join(sums, ["way", "host"], "left")
+        after = {
+            c: F.col(f"{c}_seed") + F.coalesce(f"{c}_in", F.lit(0)) + F.when(F.col("salts").isNull(), moving(c)).otherwise(0)
+            for c in walks
+        }
+        state = materialize(
+            met.select(
+                "way", "host", "salts", *[after[c].alias(c) for c in walks], *[f"{c}_seed" for c in walks],
+                reduce(Column.__or__, [after[c] != F.col(c) for c in walks]).alias("changed"),
             ),
             "ranks",
         )
-        same = ranks.join(after, ["way", "host", "special", "plain"], "left_anti").isEmpty()
-        ranks = after
-        if same:
+        if state.filter("changed").isEmpty():
             break
     share = F.when(F.col("plain") > 0, F.col("special") / F.col("plain")).otherwise(0.0)
     of = lambda way, name: F.max(F.when(F.col("way") == way, share)).alias(name)
-    return ranks.groupBy("host").agg(of(0, "trust"), of(1, "distrust"))
+    return state.groupBy("host").agg(of(0, "trust"), of(1, "distrust"))
 
 
 def filter_urls(
@@ -196,7 +198,7 @@ def filter_urls(
     else:
         # a host may hold a third of all pages, so its pages are spread
         salted = rows.select(F.struct("*").alias("row"), F.pmod(F.xxhash64(quoted(id_col), quoted(url)), F.lit(SPREAD)).alias("salt"))
-        copies = blocked.select("bad_host", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).cast("long").alias("bad_salt"))
+        copies = blocked.select("bad_host", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).alias("bad_salt"))
         met = salted.join(copies, (F.col("row.host") == F.col("bad_host")) & (F.col("salt") == F.col("bad_salt")), "left")
     return met.select(
         *[F.col(f"row.{quoted(c)}") for c in rows.columns if c != "verdict"],
