@@ -10,11 +10,14 @@ from lexmill.operators.evaluate import (
     argmax_predictions,
     clean_completions,
     eval_report,
+    eval_report_levels,
+    eval_sums,
     number_completions,
     perplexity,
     sample_count,
     token_accuracy,
 )
+from lexmill.session import materialize
 
 # Predictions made from word ids: the next id, or the unknown id where a hash
 # is below 0.3; every tenth label is ignored; losses are multiples of 1/256, so
@@ -170,6 +173,30 @@ def _(spark, folder):
     return _report(predictions(spark, folder), max_samples=20)
 
 
+@check(
+    "e5_eval_report_levels",
+    f"""WITH {PREDICTIONS_SQL},
+        t AS (SELECT *, CASE WHEN seq_id % 5 = 0 THEN 'validation' ELSE 'test' END AS split,
+                     lead(label) OVER w AS target, row_number() OVER w AS k FROM preds
+              WINDOW w AS (PARTITION BY lang, seq_id ORDER BY pos)),
+        s AS (SELECT *, target IS NOT NULL AND target <> -100 AS scored FROM t)
+        SELECT ['split,lang', 'split', 'lang', ''][grouping(split, lang) + 1] AS level, split, lang,
+               sum((k = 1)::INT)::BIGINT AS eval_samples,
+               count(*) FILTER (scored) AS n_scored,
+               sum((pred = target)::INT) FILTER (scored)::BIGINT AS n_hits,
+               sum((pred = target)::INT) FILTER (scored)::DOUBLE / count(*) FILTER (scored) AS eval_accuracy,
+               avg(nll) FILTER (label <> -100) AS eval_loss,
+               round(exp(avg(nll) FILTER (label <> -100)), 6) AS perplexity
+        FROM s GROUP BY GROUPING SETS ((split, lang), (split), ())""",
+)
+def _(spark, folder):
+    """One table of sums, stored, and three levels from it."""
+    split = F.when(F.col("seq_id") % 5 == 0, "validation").otherwise("test")
+    sums = materialize(eval_sums(predictions(spark, folder).withColumn("split", split), ["split", "lang"]), "sums")
+    report = eval_report_levels(sums, [["split", "lang"], ["split"], []])
+    return report.withColumn("perplexity", F.round("perplexity", 6))
+
+
 @check("e5_eval_report_arrays", _report_sql("preds"))
 def _(spark, folder):
     rows = predictions(spark, folder).groupBy("seq_id", "lang").agg(

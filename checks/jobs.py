@@ -15,8 +15,12 @@ from checks.registry import (
     table,
 )
 from checks.sequences import blocks_sql
+from checks.vocab import characters_kept, required_only_sql
+from lexmill.constants import FIRST_LEARNED_ID
+from lexmill.operators.cleaning import normalize_text
 from lexmill.operators.encode import tokenize
 from lexmill.operators.splits import split_holdout
+from lexmill.operators.unigram import word_counts
 from lexmill.operators.vocab import load_vocab
 from lexmill.plans.jobs import (
     Source,
@@ -29,7 +33,7 @@ from lexmill.plans.jobs import (
     packed_training_set,
     write_mixed_corpus,
 )
-from lexmill.sources.corpus import read_corpus
+from lexmill.sources.corpus import export_text, read_corpus, read_split, read_text_lines
 
 _SPLIT = split_sql("doc_id")
 _SHARD_SQL = """
@@ -117,11 +121,34 @@ def _(spark, folder):
         dataset=table(spark, folder, "conversations"),
         order_by=["conv_id", "turn"],
         vocab_size=600,
-        seed_size=20_000,
     )
     return load_vocab(spark, path)
 
 
+def _characters_of(texts):
+    return FIRST_LEARNED_ID + characters_kept(word_counts(texts))
+
+
+@check("f4_from_corpus", required_only_sql(f"SELECT text FROM documents WHERE {_SPLIT} = 'train'"))
+def _(spark, folder):
+    """The train split of a stored corpus; every word has one segmentation, so SQL can tell the scores."""
+    path = fresh_folder(spark, "corpus")
+    split_holdout(documents(spark, folder), ["doc_id"]).write.partitionBy("split").parquet(path)
+    size = _characters_of(normalize_text(read_split(spark, path, "train")))
+    stored = build_vocabulary(spark, fresh_folder(spark, "vocab"), corpus_path=path, vocab_size=size, longest=1)
+    return load_vocab(spark, stored).withColumn("score", F.round("score", 6))
+
+
+@check("f4_from_text", required_only_sql("SELECT text FROM documents"))
+def _(spark, folder):
+    """An exported text, whose lines are taken as they are."""
+    path = fresh_folder(spark, "export")
+    export_text(normalize_text(documents(spark, folder)), path)
+    size = _characters_of(read_text_lines(spark, path))
+    stored = build_vocabulary(spark, fresh_folder(spark, "vocab"), text_path=path, vocab_size=size, longest=1)
+    return load_vocab(spark, stored).withColumn("score", F.round("score", 6))
+
+
 @check(
     "f5_packed_training_set",
     f"""WITH {PREFIX_VOCAB_SQL},

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from lexmill.constants import FIRST_LEARNED_ID
 from lexmill.operators.ordering import rank_keys
 from lexmill.operators.vocab import VOCAB_SCHEMA, reserved_pieces
-from lexmill.session import scratch_root
+from lexmill.session import materialize, scratch_root
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-STAND_IN_SIZE = 500
-
 
 def check(name: str, sql: str | None = None):
     """Register a query ``(spark, folder) -> DataFrame`` and its SQL twin."""
@@ -121,37 +119,35 @@ chunks AS (
 )"""
 
 
-# ---- a prefix vocabulary: every character, and frequent words after a space.
+# ---- a prefix vocabulary: every character, and every word after a space.
 # A word's best segmentation is then its longest known prefix and single
 # characters, which SQL can spell out.
 
 
 def prefix_vocab(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
-    chars = (
-        docs.select(F.explode(F.split("text", "")).alias("piece"))
-        .filter("piece not in ('', '\n', ' ')")
-        .distinct()
-        .orderBy("piece")
-        .collect()
-    )
+    chars = docs.select(F.explode(F.split("text", "")).alias("piece")).filter("piece not in ('', '\n', ' ')").groupBy("piece").count()
+    line = F.split("line", " ")
     words = (
         docs.select(F.explode(F.split("text", "\n")).alias("line"))
-        .select(F.explode(F.slice(F.split("line", " "), F.lit(2), F.size(F.split("line", " ")))).alias("w"))
-        .filter("w <> ''")
-        .groupBy("w")
-        .count()
-        .orderBy(F.desc("count"), "w")
-        .limit(STAND_IN_SIZE)
-        .collect()
+        .select(F.explode(F.slice(line, F.lit(2), F.size(line))).alias("w"))
+        .filter("w <> ''").groupBy(F.concat(F.lit("▁"), "w").alias("piece")).count()
+    )
+    space = spark.range(1).select(F.lit("▁").alias("piece"), F.lit(0).cast("bigint").alias("count"))
+    # characters by code point, the space, words by frequency
+    pieces = (
+        chars.select(F.lit(0).alias("part"), "piece", F.lit(0).cast("bigint").alias("count"))
+        .unionByName(space.withColumn("part", F.lit(1))).unionByName(words.withColumn("part", F.lit(2)))
+    )
+    ranked = rank_keys(pieces, ["part", "-count", "piece"], [], "place")
+    learned = ranked.select(
+        (F.col("place") + FIRST_LEARNED_ID).cast("int").alias("id"), "piece",
+        F.when(F.col("part") == 2, -1.0).otherwise(-10.0).alias("score"), F.lit("normal").alias("kind"),
     )
-    pieces = [(r["piece"], -10.0) for r in chars] + [("▁", -10.0)]
-    pieces += [("▁" + r["w"], -1.0) for r in words]
-    rows = [(FIRST_LEARNED_ID + i, p, s, "normal") for i, (p, s) in enumerate(pieces)]
-    return reserved_pieces(spark).union(spark.createDataFrame(rows, VOCAB_SCHEMA))
+    return materialize(reserved_pieces(spark).unionByName(learned), "prefix-vocabulary")
 
 
-PREFIX_VOCAB_SQL = f"""
+PREFIX_VOCAB_SQL = """
 lines AS (
   SELECT doc_id, ls, unnest(ls) AS line, unnest(range(len(ls))) AS line_no
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
@@ -168,8 +164,7 @@ known_chars AS (
 space_piece AS (SELECT 8 + count(*) AS id FROM known_chars),
 known_words AS (
   SELECT w, (SELECT id FROM space_piece) + row_number() OVER (ORDER BY n DESC, w) AS id FROM (
-    SELECT w, count(*) AS n FROM line_words WHERE word_no > 0 AND w <> '' GROUP BY w
-    ORDER BY n DESC, w LIMIT {STAND_IN_SIZE})
+    SELECT w, count(*) AS n FROM line_words WHERE word_no > 0 AND w <> '' GROUP BY w)
 ),
 distinct_words AS (SELECT DISTINCT w FROM line_words WHERE word_no > 0),
 prefixes AS (

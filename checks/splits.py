@@ -10,10 +10,12 @@ from lexmill.operators.ordering import global_rank
 from lexmill.operators.splits import (
     assign_shards,
     concat_corpora,
+    epoch_place,
     head_split,
     shuffle,
     split_holdout,
 )
+from lexmill.session import materialize
 
 _SPLIT = split_sql("doc_id")
 
@@ -46,6 +48,32 @@ def _(spark, folder):
     return shuffle(docs, ["doc_id"], position="position").select("doc_id", "split", "position")
 
 
+def _epoch_sql() -> str:
+    """Six steps over pairs of numbers, walked on from places beyond the last."""
+
+    def network(source: str) -> str:
+        out = f"SELECT doc_id, epoch, n, wide, high, place // wide AS l, place % wide AS r FROM {source}"
+        for step in range(6):
+            half, moved, size = ("l", "r", "wide") if step % 2 else ("r", "l", "high")
+            h = f"('0x' || substr(md5('42:' || epoch || ':{step}:' || {half}), 1, 8))::BIGINT"
+            out = f"SELECT doc_id, epoch, n, wide, high, {half}, ({moved} + {h}) % {size} AS {moved} FROM ({out})"
+        return f"SELECT doc_id, epoch, n, wide, high, l * wide + r AS place FROM ({out})"
+
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position, count(*) OVER () AS n FROM documents),
+        sized AS (SELECT *, (floor(sqrt(n - 1)) + 1)::BIGINT AS wide FROM d),
+        asked AS (SELECT doc_id, unnest([0, 1, 7])::BIGINT AS epoch, n, wide, ((n + wide - 1) // wide)::BIGINT AS high, position AS place FROM sized),
+        walk AS ({network("asked")} UNION ALL {network("(SELECT * FROM walk WHERE place >= n)")})
+        SELECT doc_id, epoch::INTEGER AS epoch, place FROM walk WHERE place < n"""
+
+
+@check("u2_epoch_permutation", _epoch_sql())
+def _(spark, folder):
+    """Orders of three epochs from one ranking."""
+    docs = materialize(global_rank(documents(spark, folder).select("doc_id"), ["doc_id"]), "positions")
+    epochs = docs.select("*", F.explode(F.array(*map(F.lit, (0, 1, 7)))).alias("epoch"))
+    return epochs.select("doc_id", "epoch", epoch_place(F.col("position"), docs.count(), F.col("epoch")).alias("place"))
+
+
 @check(
     "u2_shuffle_in_order",
     f"SELECT doc_id, {_SPLIT} AS split, md5('42:' || doc_id) AS shuffle_key, true AS in_order FROM documents",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks.registry import (
@@ -17,17 +19,32 @@ from checks.registry import (
     word_docs,
     word_vocab,
 )
+from lexmill.constants import CHARACTER_COVERAGE, FIRST_LEARNED_ID
 from lexmill.functions.tokens import append_eos, ends_with_eos, join_pair, join_pieces
 from lexmill.operators.cleaning import normalize_text
 from lexmill.operators.encode import detokenize, special_parts, tokenize
-from lexmill.operators.unigram import seed_pieces, substring_counts, train_unigram, word_counts
+from lexmill.operators.ordering import rank_keys, take_first
+from lexmill.operators.unigram import (
+    Model,
+    em_round,
+    initial_model,
+    repeats,
+    seed_pieces,
+    substring_counts,
+    train_unigram,
+    vocabulary_layout,
+    word_counts,
+)
 from lexmill.operators.vocab import (
+    add_tokens,
     char_inventory,
     ids_to_tokens,
+    reserved_pieces,
     tokens_to_ids,
     training_sample,
     vocab_table,
 )
+from lexmill.session import materialize
 
 
 @check(
@@ -46,7 +63,7 @@ def _(spark, folder):
 @check("t2_train_unigram")
 def _(spark, folder):
     texts = normalize_text(documents(spark, folder))
-    return train_unigram(texts, vocab_size=1000, seed_size=30_000)
+    return train_unigram(texts, vocab_size=1000)
 
 
 # Runs of one kind of character, with a space before them or alone: in these
@@ -89,6 +106,124 @@ def _(spark, folder):
     return seed_pieces(_training_words(spark, folder), 5000)
 
 
+_MAXIMAL_SQL = """
+extended AS (SELECT substr(piece, 1, length(piece) - 1) AS piece, max(n) AS most FROM pieces WHERE length(piece) > 2 GROUP BY 1),
+maximal AS (SELECT p.piece, p.n FROM pieces p LEFT JOIN extended e ON p.piece = e.piece WHERE e.most IS NULL OR p.n > e.most)"""
+
+
+@check("t2_maximal_repeats", f"WITH {_RUNS_SQL}, {_MAXIMAL_SQL} SELECT piece, n FROM maximal")
+def _(spark, folder):
+    return repeats(_training_words(spark, folder))
+
+
+@check(
+    "t2_seed_pieces_maximal",
+    f"""WITH {_RUNS_SQL}, {_MAXIMAL_SQL} SELECT piece, (n * length(piece))::DOUBLE AS worth FROM maximal
+        ORDER BY worth DESC, piece LIMIT 5000""",
+)
+def _(spark, folder):
+    return seed_pieces(_training_words(spark, folder), 5000, maximal=True)
+
+
+def _required(words, coverage=1.0):
+    """The characters of the words with their counts, most frequent first."""
+    rows = char_inventory(words.withColumnRenamed("word", "text"), coverage, weight="n").toArrow().to_pylist()
+    return {r["ch"]: r["n"] for r in sorted(rows, key=lambda r: (-r["n"], r["ch"])) if r["kept"]}
+
+
+_CHARS_SQL = "chars AS (SELECT ch, sum(n)::BIGINT AS n FROM (SELECT unnest(string_split(word, '')) AS ch, n FROM words) WHERE ch <> '' GROUP BY ch)"
+_DIGAMMA = "ln({0} + 6) - 0.5 / ({0} + 6) - 1 / ({0} + 6) ** 2 * (1.0::DOUBLE / 12 - 1 / ({0} + 6) ** 2 * (1.0::DOUBLE / 120 - 1 / ({0} + 6) ** 2 / 252)) - (" + " + ".join(f"1 / ({{0}} + {i})" for i in range(6)) + ")"
+
+
+@check(
+    "t2_em_round_exact",
+    f"""WITH RECURSIVE {_RUNS_SQL}, {_CHARS_SQL},
+        worths AS (SELECT ch AS piece, n::DOUBLE AS worth FROM chars
+                   UNION ALL (SELECT piece, (n * length(piece))::DOUBLE FROM pieces ORDER BY 2 DESC, piece LIMIT 2000)),
+        model AS (SELECT piece, ln(worth) - ln(sum(worth) OVER ()) AS score FROM worths),
+        edges AS (
+          SELECT word, n, start, k, piece, exp(score) AS p
+          FROM (SELECT word, n, start, unnest(range(1, least(16, length(word) - start + 1) + 1)) AS k
+                FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS start FROM words)) e
+          JOIN model ON piece = substr(word, start, k)),
+        into_node AS (SELECT word, start + k - 1 AS node, list({{'k': k, 'p': p}}) AS l FROM edges GROUP BY ALL),
+        from_node AS (SELECT word, start, list({{'k': k, 'p': p}}) AS l FROM edges GROUP BY ALL),
+        ways AS (SELECT word, i.l AS i, f.l AS f FROM
+                 (SELECT word, list(l ORDER BY node) AS l FROM into_node GROUP BY word) i
+                 JOIN (SELECT word, list(l ORDER BY start DESC) AS l FROM from_node GROUP BY word) f USING (word)),
+        -- the sums into each node from the front and from the back, one node a step
+        sums AS (
+          SELECT word, i, f, 0 AS node, [1.0::DOUBLE] AS a, [1.0::DOUBLE] AS b FROM ways
+          UNION ALL
+          SELECT word, i, f, node + 1,
+                 list_append(a, list_sum(list_transform(i[node + 1], lambda x: a[node + 2 - x.k] * x.p))),
+                 list_append(b, list_sum(list_transform(f[node + 1], lambda x: b[node + 2 - x.k] * x.p)))
+          FROM sums WHERE node < len(i)),
+        expected AS (
+          SELECT piece, sum(round(a[start] * p * b[len(i) - start - k + 2] / a[len(a)] * n * 1048576)) / 1048576 AS c
+          FROM edges JOIN (SELECT * FROM sums WHERE node = len(i)) USING (word) GROUP BY piece),
+        kept AS (SELECT piece, c, sum(c) OVER () AS total FROM expected WHERE c >= 0.5)
+        SELECT piece, round({_DIGAMMA.format('c')} - ({_DIGAMMA.format('total')}), 4) AS score FROM kept""",
+)
+def _(spark, folder):
+    """Every segmentation of every word, summed up exactly."""
+    words = materialize(_training_words(spark, folder), "words")
+    model = em_round(words, initial_model(_required(words), seed_pieces(words, 2000).toArrow()))
+    table = pa.table({"piece": model.pieces, "score": model.scores})
+    return spark.createDataFrame(table).select("piece", F.round("score", 4).alias("score"))
+
+
+_RESERVED_SQL = "SELECT unnest(range(8))::INTEGER AS id, unnest(['<pad>', '<s>', '</s>', '<unk>', '[SEP]', '[CLS]', '[MASK]', '<n>']) AS piece, 0.0::DOUBLE AS score, unnest(['control', 'control', 'control', 'unknown', 'control', 'control', 'control', 'user']) AS kind"
+
+
+def required_only_sql(source: str) -> str:
+    """The vocabulary of characters alone over a table of texts: one segmentation each."""
+    return f"""WITH documents_ AS ({source}),
+        c AS (SELECT ch, count(*) AS n FROM (
+                SELECT unnest(string_split(replace(replace(text, chr(10), ''), ' ', '▁'), '')) AS ch FROM documents_) WHERE ch <> '' GROUP BY ch),
+        o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n DESC, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM c),
+        k AS (SELECT ch, n::DOUBLE AS n, (sum(n) OVER ())::DOUBLE AS total FROM o WHERE before < total * 0.9995::DOUBLE)
+        {_RESERVED_SQL}
+        UNION ALL
+        SELECT (7 + row_number() OVER (ORDER BY n DESC, ch))::INTEGER, ch, round({_DIGAMMA.format('n')} - ({_DIGAMMA.format('total')}), 6), 'normal' FROM k"""
+
+
+def characters_kept(words) -> int:
+    return len(_required(words, CHARACTER_COVERAGE))
+
+
+@check("t2_required_only", required_only_sql("SELECT text FROM documents"))
+def _(spark, folder):
+    texts = normalize_text(documents(spark, folder))
+    size = FIRST_LEARNED_ID + characters_kept(word_counts(texts))
+    return train_unigram(texts, size, longest=1).withColumn("score", F.round("score", 6))
+
+
+@check(
+    "t2_vocabulary_layout",
+    f"""WITH {_RUNS_SQL}, {_CHARS_SQL},
+        scored AS (SELECT ch AS piece, round(ln(n), 6) AS score FROM chars WHERE n >= 1000
+                   UNION ALL (SELECT piece, round(ln(n), 6) FROM pieces ORDER BY n DESC, piece LIMIT 3000)),
+        required AS (
+          SELECT ch AS piece, coalesce(s.score, (SELECT min(score) FROM scored) - 0.0001::DOUBLE * (row_number() OVER (ORDER BY n DESC, ch) - 1)) AS score
+          FROM chars c LEFT JOIN scored s ON c.ch = s.piece),
+        others AS (SELECT piece, score FROM scored WHERE piece NOT IN (SELECT piece FROM required)
+                   ORDER BY score DESC, piece LIMIT (SELECT 1992 - count(*) FROM required))
+        {_RESERVED_SQL}
+        UNION ALL
+        SELECT (7 + row_number() OVER (ORDER BY score DESC, piece))::INTEGER, piece, score, 'normal'
+        FROM (SELECT * FROM required UNION ALL SELECT * FROM others)""",
+)
+def _(spark, folder):
+    """Characters that the model keeps, characters that it lost, and the best of its pieces."""
+    words = materialize(_training_words(spark, folder), "words")
+    required = _required(words)
+    found = take_first(materialize(repeats(words, maximal=False), "pieces"), 3000, ["-n", "piece"]).toArrow().to_pylist()
+    scored = {c: n for c, n in required.items() if n >= 1000} | {r["piece"]: r["n"] for r in found}
+    model = Model(list(scored), np.round(np.log(np.array(list(scored.values()), dtype=float)), 6))
+    return vocabulary_layout(spark, model, required, 2000)
+
+
 @check(
     "t3_training_sample",
     """SELECT conv_id, turn, text FROM conversations
@@ -176,6 +311,62 @@ def _(spark, folder):
     return ids.select("doc_id", joined("input_ids").alias("ids"))
 
 
+_DIGRAM = "[bcdfghjklmnpqrstvwxz][aeiou]"
+_UNSPACED = "replace(replace(text, ' ', ''), chr(10), '')"
+
+
+@check(
+    "t7_tokenize_unspaced",
+    f"""WITH u AS (SELECT doc_id, {_UNSPACED} AS text FROM documents),
+        cut AS (SELECT doc_id, unnest(t) AS piece, unnest(range(len(t))) AS at
+                FROM (SELECT doc_id, regexp_extract_all(text, '(?s){_DIGRAM}|.') AS t FROM u)),
+        known AS (
+          SELECT piece, 7 + row_number() OVER (ORDER BY part, piece) AS id FROM (
+            SELECT DISTINCT 0 AS part, unnest(string_split(text, '')) AS piece FROM u
+            UNION SELECT 1, unnest(regexp_extract_all(text, '{_DIGRAM}')) FROM u) WHERE piece <> ''),
+        enc AS (SELECT doc_id, list(id ORDER BY at) AS ids FROM cut JOIN known USING (piece) GROUP BY doc_id)
+        SELECT doc_id, array_to_string(list_append(coalesce(ids, []), 2), ' ') AS ids FROM documents LEFT JOIN enc USING (doc_id)""",
+)
+def _(spark, folder):
+    """Whole texts without a blank: letters, and pairs of letters that never overlap."""
+    text = F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    docs = materialize(documents(spark, folder).select("doc_id", text.alias("text")), "unspaced")
+    letters = docs.select(F.lit(0).alias("part"), F.explode(F.split("text", "")).alias("piece"))
+    pairs = docs.select(F.lit(1).alias("part"), F.explode(F.regexp_extract_all("text", F.lit(_DIGRAM), F.lit(0))).alias("piece"))
+    ranked = rank_keys(letters.unionByName(pairs).filter("piece <> ''").distinct(), ["part", "piece"], [], "place")
+    learned = ranked.select(
+        (F.col("place") + FIRST_LEARNED_ID).cast("int").alias("id"), "piece",
+        F.when(F.col("part") == 1, -1.0).otherwise(-10.0).alias("score"), F.lit("normal").alias("kind"),
+    )
+    vocab = materialize(reserved_pieces(spark).unionByName(learned), "pair-vocabulary")
+    return tokenize(docs, vocab).select("doc_id", joined("input_ids").alias("ids"))
+
+
+_FREQUENT = """SELECT w FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents)
+               WHERE regexp_full_match(w, '[a-z]{4,}') GROUP BY w ORDER BY count(*) DESC, w LIMIT 500"""
+
+
+@check(
+    "t8_added_tokens",
+    f"""WITH tokens AS ({_FREQUENT}),
+        pattern AS (SELECT string_agg(w, '|' ORDER BY length(w) DESC, w) AS p FROM tokens)
+        SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, p)) AS token FROM documents, pattern) GROUP BY token""",
+)
+def _(spark, folder):
+    """500 added tokens, many of which begin alike or lie in one another, found in whole texts."""
+    docs = documents(spark, folder)
+    words = docs.select(F.explode(F.split("text", "[ \\t\\n\\f\\r]+")).alias("w")).filter(F.col("w").rlike("^[a-z]{4,}$"))
+    tokens = [r["w"] for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(500).collect()]
+    plain = prefix_vocab(spark, folder)
+    vocab = add_tokens(plain, tokens)
+    ids = tokenize(docs.select("doc_id", "text"), vocab).select("doc_id", F.explode("input_ids").alias("id"))
+    names = vocab.filter("kind = 'added'").select("id", F.col("piece").alias("token"))
+    return ids.join(F.broadcast(names), "id").groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs")
+    )
+
+
 @check(
     "t8_special_parts",
     """WITH b AS (

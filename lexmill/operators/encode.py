@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import reduce
 from itertools import chain
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from lexmill.constants import (
     NEWLINE_ID,
@@ -23,8 +25,8 @@ from lexmill.constants import (
 )
 from lexmill.functions.normalize import normalize
 from lexmill.functions.tokens import append_eos, join_pieces
-from lexmill.operators.lattice import Lattice, PieceIndex
-from lexmill.operators.vocab import ids_to_tokens, small_vocab
+from lexmill.operators.lattice import Lattice, PieceIndex, best_of_long, leftmost_longest, merged
+from lexmill.operators.vocab import VocabArrays, ids_to_tokens, small_vocab
 
 # Characters the compatibility rule turns into a space, drops,
 # or leaves as they are (the full-width tilde).
@@ -45,6 +47,8 @@ _CACHED_WORDS = 1_000_000
 _CACHED_LENGTH = 40
 # Characters of one lattice, which takes about 250 bytes for each.
 SLICE_CHARS = 1_000_000
+# A longer word is segmented in windows of so many characters.
+LONG_CHARS = 1 << 18
 
 
 def compatibility_form(text: str) -> str:
@@ -90,6 +94,41 @@ def special_parts(text: Column, special: Sequence[str] = SPECIAL_PIECES) -> Colu
     )
 
 
+def token_parts(text: Column, tokens: Sequence[str]) -> Column:
+    """:func:`special_parts` for any number of tokens, which may overlap or begin alike.
+
+    Tokens are found by one walk through a prefix table of all of them, leftmost
+    first and the longest of those; texts between are normalised one by one.
+    """
+    shared = tuple(dict.fromkeys(tokens))
+
+    @F.arrow_udf(ArrayType(StringType()))
+    def cut(texts: pa.Array) -> pa.Array:
+        name = hashlib.md5("\0".join(shared).encode()).hexdigest()
+        if name not in _token_indexes:
+            _token_indexes.clear()
+            _token_indexes[name] = PieceIndex(shared)
+        rows = texts.to_pylist()
+        known = [t for t in rows if t is not None]
+        spans = iter(leftmost_longest(_token_indexes[name], known)) if any(known) else iter([[] for _ in known])
+        out = []
+        for row in rows:
+            if row is None:
+                out.append(None)
+                continue
+            bounds = [0, *chain.from_iterable(next(spans)), len(row)]
+            # text and token in turn, from a text on
+            out.append([row[a:b] for a, b in zip(bounds, bounds[1:])])
+        return pa.array(out, pa.list_(pa.string()))
+
+    parts = F.transform(cut(text), lambda p, i: F.when(i % 2 == 1, p).otherwise(normalize(p)))
+    return F.filter(parts, lambda p: p != "")
+
+
+# The tokens' prefix table, kept by each Python worker.
+_token_indexes: dict[str, PieceIndex] = {}
+
+
 def slices(words: list[str]) -> Iterator[list[str]]:
     """The words in runs of about ``SLICE_CHARS`` characters, so that a lattice
     stays small where words are whole lines, as in unspaced text."""
@@ -117,13 +156,25 @@ class Encoder:
         self.scores = np.array([scores[i] for i in learned], dtype=np.float64)
         self.unknown = self.scores.min(initial=0.0) - _UNKNOWN_PENALTY
         self.index = PieceIndex(self.pieces)
-        self.special = {p: i for i, p, k in zip(ids, pieces, kinds) if p in SPECIAL_PIECES}
+        self.special = {p: i for i, p, k in zip(ids, pieces, kinds) if p in SPECIAL_PIECES or k == "added"}
         self.splits_spaces = SPACE_MARK in self.pieces
         self.words: dict[str, list[int]] = {}
 
-    def segment(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, in slices of bounded text."""
-        return [ids for part in slices(words) for ids in self._segment(part)]
+    def segment(self, words: list[str]) -> list[Sequence[int]]:
+        """Ids of each word, in slices of bounded text; an endless word in windows."""
+        short = [w for w in words if len(w) <= LONG_CHARS]
+        done = (ids for part in slices(short) for ids in self._segment(part))
+        return [next(done) if len(w) <= LONG_CHARS else self._segment_long(w) for w in words]
+
+    def _segment_long(self, word: str) -> array:
+        """Ids of one endless word; unknown runs stay one id across windows."""
+        ids, open_run = array("i"), False
+        for piece in best_of_long(self.index, word, self.scores, self.unknown, LONG_CHARS):
+            strange = piece < 0
+            again = strange & np.append(open_run, strange[:-1])
+            open_run = bool(strange[-1])
+            ids.frombytes(self.ids[piece[~again]].tobytes())
+        return ids
 
     def _segment(self, words: list[str]) -> list[list[int]]:
         """Ids of each word; a run of unknown characters is one unknown id."""
@@ -135,34 +186,83 @@ class Encoder:
         cuts = np.searchsorted(word, np.arange(1, len(words)))
         return [part.tolist() for part in np.split(ids, cuts)]
 
-    def encode(self, rows: list[list[str]]) -> list[list[int]]:
+    def split(self, parts: list[str] | None) -> list[str | list[list[str]]]:
+        """A row's special tokens, and the words of each line of its other parts."""
+        row: list[str | list[list[str]]] = []
+        for part in parts or ():
+            if part is None:
+                continue
+            if part in self.special:
+                row.append(part)
+                continue
+            lines = []
+            for line in compatibility_form(part).split(NEWLINE_PIECE):
+                if not self.splits_spaces:
+                    inner = [line.replace(" ", SPACE_MARK)]
+                else:
+                    inner = line.replace(" ", " " + SPACE_MARK).split(" ")
+                lines.append(inner if inner[0] else inner[1:])
+            row.append(lines)
+        return row
+
+    def _stream(self, row) -> list[int | str]:
+        """A row as ids that stand fast and words that are still to be segmented."""
+        out: list[int | str] = []
+        for part in row:
+            if isinstance(part, str):
+                out.append(self.special[part])
+                continue
+            for number, words in enumerate(part):
+                if number:
+                    out.append(NEWLINE_ID)
+                out.extend(words)
+        return out
+
+    def _ids_of(self, pieces: Sequence[int]) -> list[int]:
+        """Ids of a word's pieces; a run of unknown characters is one unknown id."""
+        return [int(self.ids[p]) for i, p in enumerate(pieces) if p >= 0 or not i or pieces[i - 1] >= 0]
+
+    def sample(self, parts: list[str] | None, alpha: float, seed: int) -> array:
+        """Ids of one row, each word segmented by chance: with a probability that is
+        proportional to its own to the power of ``alpha``."""
+        chance, out = np.random.default_rng(seed), array("i")
+        stream = self._stream(self.split(parts))
+        words = [w for w in stream if isinstance(w, str)]
+        drawn = []
+        for some in slices(words):
+            lattice = Lattice(self.index, some)
+            word, piece = lattice.sample(alpha * lattice.weights(self.scores, self.unknown), chance.random(lattice.nodes))
+            drawn += [part.tolist() for part in np.split(piece, np.searchsorted(word, np.arange(1, len(some))))]
+        found = iter(drawn)
+        for item in stream:
+            out.extend(self._ids_of(next(found)) if isinstance(item, str) else [item])
+        return out
+
+    def nbest(self, parts: list[str] | None, k: int) -> list[tuple[float, list[int]]]:
+        """The ``k`` best segmentations of one row, (score, ids), best first."""
+        best: list[tuple[float, list[int]]] = [(0.0, [])]
+        stream = self._stream(self.split(parts))
+        words = list(dict.fromkeys(w for w in stream if isinstance(w, str)))
+        ways = {}
+        for some in slices(words):
+            lattice = Lattice(self.index, some)
+            ways.update(zip(some, lattice.nbest(lattice.weights(self.scores, self.unknown), k)))
+        for item in stream:
+            right = [(score, self._ids_of(path)) for score, path in ways[item]] if isinstance(item, str) else [(0.0, [item])]
+            best = merged(best, right, k)
+        return best
+
+    def encode(self, rows: list[list[str]]) -> list[array]:
         """Ids of each row of parts."""
-        split_rows, needed = [], set()
-        for parts in rows:
-            row = []
-            for part in parts or ():
-                if part is None:
-                    continue
-                if part in self.special:
-                    row.append(part)
-                    continue
-                words = []
-                for line in compatibility_form(part).split(NEWLINE_PIECE):
-                    if not self.splits_spaces:
-                        inner = [line.replace(" ", SPACE_MARK)]
-                    else:
-                        inner = line.replace(" ", " " + SPACE_MARK).split(" ")
-                    words.append(inner if inner[0] else inner[1:])
-                    needed.update(words[-1])
-                row.append(words)
-            split_rows.append(row)
+        split_rows = [self.split(parts) for parts in rows]
+        needed = {w for row in split_rows for part in row if not isinstance(part, str) for words in part for w in words}
         fresh = [w for w in needed if w not in self.words]
         if fresh:
             self.words.update(zip(fresh, self.segment(fresh)))
         look = self.words.__getitem__
         out = []
         for row in split_rows:
-            ids: list[int] = []
+            ids = array("i")
             for part in row:
                 if isinstance(part, str):
                     ids.append(self.special[part])
@@ -192,27 +292,11 @@ def _encoder(fingerprint: str, columns: list) -> Encoder:
     return _encoders[fingerprint]
 
 
-def encode_parts(parts: Column, vocab: DataFrame) -> Column:
-    """Ids of an array of special tokens and normalised texts.
-
-    The vocabulary is broadcast once, after a check of its size.
-    """
+def _sendable(vocab: DataFrame) -> VocabArrays:
     small = small_vocab(vocab)
     if small is None:
         raise ValueError("the vocabulary has too many pieces to be sent to every task")
-    columns = [a.to_pylist() for a in (small.ids, small.pieces, small.scores, small.kinds)]
-    fingerprint = hashlib.md5(repr(columns).encode()).hexdigest()
-    shipped = vocab.sparkSession.sparkContext.broadcast(columns)
-
-    @F.arrow_udf("array<int>")
-    def encode(rows: pa.Array) -> pa.Array:
-        ids = _encoder(fingerprint, shipped.value).encode(rows.to_pylist())
-        lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(lengths.sum()))
-        offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-
-    return encode(parts)
+    return small
 
 
 def tokenize(
@@ -220,16 +304,73 @@ def tokenize(
 ) -> DataFrame:
     """Replace ``text`` by ``input_ids``; row-local.
 
-    Special tokens in the text become their ids, the rest is normalised and
-    segmented.  An end-of-sequence id closes the row unless
+    Special and added tokens in the text become their ids, the rest is
+    normalised and segmented.  An end-of-sequence id closes the row unless
     ``add_special_tokens`` is off.
     """
-    ids = df.withColumn("input_ids", encode_parts(special_parts(F.col(text)), vocab)).drop(text)
+    parts, encoder = _encoding(vocab, text)
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def encode(rows: pa.Array) -> pa.Array:
+        ids = encoder().encode(rows.to_pylist())
+        lengths = np.fromiter(map(len, ids), dtype=np.int32, count=len(ids))
+        flat = np.frombuffer(b"".join(ids), dtype=np.int32)
+        offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+    ids = df.withColumn("input_ids", encode(parts)).drop(text)
     if add_special_tokens:
         ids = ids.withColumn("input_ids", append_eos(F.col("input_ids")))
     return ids
 
 
+def _encoding(vocab: DataFrame, text: str):
+    """Parts of ``text``, and a function that gives a task its encoder."""
+    small = _sendable(vocab)
+    columns = [a.to_pylist() for a in (small.ids, small.pieces, small.scores, small.kinds)]
+    fingerprint = hashlib.md5(repr(columns).encode()).hexdigest()
+    shipped = vocab.sparkSession.sparkContext.broadcast(columns)
+    added = [p for p, k in zip(columns[1], columns[3]) if k == "added"]
+    parts = token_parts(F.col(text), [*SPECIAL_PIECES, *added]) if added else special_parts(F.col(text))
+    return parts, lambda: _encoder(fingerprint, shipped.value)
+
+
+def tokenize_sampled(
+    df: DataFrame, vocab: DataFrame, key: Sequence[str], alpha: float = 0.1, seed: int = 42, text: str = "text"
+) -> DataFrame:
+    """Replace ``text`` by ``input_ids`` of a segmentation drawn by chance; row-local.
+
+    A segmentation comes with a probability proportional to its own to the power
+    of ``alpha``: 0 draws all alike, large values the best one.  What a row gets
+    follows from ``key``, which should identify it, and ``seed``; another epoch
+    takes another seed.
+    """
+    parts, encoder = _encoding(vocab, text)
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def draw(rows: pa.Array, seeds: pa.Array) -> pa.Array:
+        own = encoder()
+        ids = [own.sample(row, alpha, s) for row, s in zip(rows.to_pylist(), seeds.to_pylist())]
+        return pa.array([i.tolist() for i in ids], pa.list_(pa.int32()))
+
+    own_seed = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(2**62))
+    return df.withColumn("input_ids", draw(parts, own_seed)).drop(text)
+
+
+def tokenize_nbest(df: DataFrame, vocab: DataFrame, k: int, text: str = "text") -> DataFrame:
+    """Replace ``text`` by ``ways``, the ``k`` best segmentations as (score, input_ids),
+    best first; fewer where a text has not so many.  Row-local."""
+    parts, encoder = _encoding(vocab, text)
+
+    @F.arrow_udf(ArrayType(StructType().add("score", DoubleType()).add("input_ids", ArrayType(IntegerType()))))
+    def best(rows: pa.Array) -> pa.Array:
+        own = encoder()
+        ways = [[{"score": score, "input_ids": ids} for score, ids in own.nbest(row, k)] for row in rows.to_pylist()]
+        return pa.array(ways, pa.list_(pa.struct([("score", pa.float64()), ("input_ids", pa.list_(pa.int32()))])))
+
+    return df.withColumn("ways", best(parts)).drop(text)
+
+
 def detokenize(df: DataFrame, vocab: DataFrame) -> DataFrame:
     """Replace ``input_ids`` by ``text``."""
     pieces = ids_to_tokens(df, vocab)

@@ -109,13 +109,14 @@ def first_sequences(df: DataFrame, n: int, by: Sequence[str]) -> DataFrame:
     return left.join(kept, reduce(Column.__and__, same), "left_semi")
 
 
-def eval_report(
+def eval_sums(
     df: DataFrame,
     by: Sequence[str] = ("split",),
     count_padding: bool = False,
     max_samples: int | None = None,
 ) -> DataFrame:
-    """Accuracy, loss, perplexity and sample count per group in one aggregation.
+    """What a report is made of, per group: sequences, positions scored and hit,
+    losses and their sum.  Rows of several tables or runs can be put together.
 
     Takes a long prediction table ``(seq_id, pos, label, pred, nll)``, or one row
     per sequence with arrays ``labels``, ``preds`` and ``nll``, which needs no
@@ -133,19 +134,60 @@ def eval_report(
         scored = score_sequences(df, count_padding).withColumn("__losses", losses)
         samples, hits, total = F.count(F.lit(1)), F.sum("n_hits"), F.sum("n_scored")
         lost = F.sum(F.aggregate("__losses", F.lit(0.0), lambda a, x: a + x))
-        loss = F.try_divide(lost, F.sum(F.size("__losses")).cast("double"))
+        n_losses = F.sum(F.size("__losses"))
     else:
         scored = score_positions(df, count_padding, by)
+        counted = F.when(F.col("label") != LABEL_IGNORE, F.col("nll"))
         samples, hits, total = F.sum(F.col("is_first").cast("bigint")), F.sum("hit"), F.count("hit")
-        loss = F.avg(F.when(F.col("label") != LABEL_IGNORE, F.col("nll")))
+        lost, n_losses = F.sum(counted), F.count(counted)
     return scored.groupBy(*by).agg(
-        samples.alias("eval_samples"),
+        samples.alias("eval_samples"), total.alias("n_scored"), hits.alias("n_hits"), lost.alias("loss_sum"), n_losses.alias("n_losses")
+    )
+
+
+def _measures() -> list[Column]:
+    """The columns of a report, from sums that are still to be added up."""
+    hits, total = F.sum("n_hits"), F.sum("n_scored")
+    loss = F.try_divide(F.sum("loss_sum"), F.sum("n_losses").cast("double"))
+    return [
+        F.sum("eval_samples").alias("eval_samples"),
         total.alias("n_scored"),
         hits.alias("n_hits"),
         F.try_divide(hits.cast("double"), total.cast("double")).alias("eval_accuracy"),
         loss.alias("eval_loss"),
         perplexity(loss).alias("perplexity"),
+    ]
+
+
+def eval_report(
+    df: DataFrame,
+    by: Sequence[str] = ("split",),
+    count_padding: bool = False,
+    max_samples: int | None = None,
+) -> DataFrame:
+    """Accuracy, loss, perplexity and sample count per group, from :func:`eval_sums`."""
+    return eval_sums(df, by, count_padding, max_samples).groupBy(*by).agg(*_measures())
+
+
+def eval_report_levels(sums: DataFrame, levels: Sequence[Sequence[str]]) -> DataFrame:
+    """Reports on several levels from stored sums, in one pass over them.
+
+    A level is a list of columns; the empty one is the report over all.
+    ``level`` names the columns of a row's level, joined by commas; the columns
+    of other levels are null there.  The sums are few, so predictions are
+    neither read nor scored again for another level.
+    """
+    levels = [list(level) for level in levels]
+    by = list(dict.fromkeys(c for level in levels for c in level))
+    if not by:
+        return sums.agg(*_measures()).select(F.lit("").alias("level"), "*")
+    # bit i of grouping_id, from the last column on, tells that the column is summed over
+    ids = {sum(1 << (len(by) - 1 - i) for i, c in enumerate(by) if c not in level): ",".join(level) for level in levels}
+    names = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    rows = sums.groupingSets([[F.col(c) for c in level] for level in levels], *by).agg(
+        F.grouping_id().cast("int").alias("__id"), *_measures()
     )
+    return rows.select(F.try_element_at(names, F.col("__id")).alias("level"), *by, *[c for c in rows.columns if c not in by and c != "__id"])
 
 
 def number_completions(df: DataFrame, completions: str = "completions") -> DataFrame:

@@ -6,7 +6,9 @@ all words at once, position by position.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from array import array
+from collections.abc import Generator, Iterator, Sequence
 
 import numpy as np
 
@@ -23,6 +25,7 @@ class PieceIndex:
     def __init__(self, pieces: Sequence[str]):
         chars = code_points(pieces)
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        self.longest = int(lengths.max(initial=1))
         first = np.cumsum(lengths) - lengths
         state = np.zeros(len(pieces), dtype=np.int64)
         states, keys = 1, []
@@ -64,6 +67,38 @@ class PieceIndex:
         return tuple(np.concatenate(part) for part in zip(*found))
 
 
+def merged(left: list[tuple[float, list]], right: list[tuple[float, list]], k: int) -> list[tuple[float, list]]:
+    """The ``k`` best sums of one way from each side, without making all of them."""
+    heap = [(-(left[0][0] + right[0][0]), 0, 0)] if left and right else []
+    seen, out = {(0, 0)}, []
+    while heap and len(out) < k:
+        minus, i, j = heapq.heappop(heap)
+        out.append((-minus, left[i][1] + right[j][1]))
+        for a, b in ((i + 1, j), (i, j + 1)):
+            if a < len(left) and b < len(right) and (a, b) not in seen:
+                seen.add((a, b))
+                heapq.heappush(heap, (-(left[a][0] + right[b][0]), a, b))
+    return out
+
+
+def leftmost_longest(index: PieceIndex, texts: Sequence[str]) -> list[list[tuple[int, int]]]:
+    """(start, end) of the pieces found in each text, from left to right without
+    overlap; of those that start at the same place the longest."""
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(lengths)
+    start, length, _ = index.matches(code_points(texts), np.repeat(ends, lengths))
+    order = np.lexsort((-length, start))
+    start, length = start[order], length[order]
+    found: list[list[tuple[int, int]]] = [[] for _ in texts]
+    text = np.searchsorted(ends, start, side="right")
+    begins, free = (ends - lengths).tolist(), 0
+    for which, at, size in zip(text.tolist(), start.tolist(), length.tolist()):
+        if at >= free:
+            found[which].append((at - begins[which], at - begins[which] + size))
+            free = at + size
+    return found
+
+
 class Lattice:
     """All segmentations of a batch of non-empty words.
 
@@ -141,14 +176,72 @@ class Lattice:
         totals = np.bincount(self.span_word, weights=score[self.last], minlength=self.words)
         return self.word[edges], self.piece[edges], self.source[edges], totals
 
-    def expected(self, weight: np.ndarray) -> np.ndarray:
-        """Probability of each edge over all segmentations of its word."""
+    def _forward(self, weight: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum over all ways from a span's first node to each node."""
         forward = np.full(self.nodes, -np.inf)
         for low, high, group, node in _stages(self._local_target, self.target, self.steps):
             before = np.where(
                 self._local_source[low:high] == 0, 0.0, forward[self.source[low:high]]
             )
             forward[node] = _log_sums(before + weight[low:high], group)
+        return forward
+
+    def sample(self, weight: np.ndarray, chance: np.ndarray):
+        """One segmentation of each word, by its probability: (word, piece) in text order.
+
+        ``chance`` has a uniform number for each node.  Spans are walked from
+        their last node back; an edge into a node is taken by its share of the
+        ways that lead there.
+        """
+        forward = self._forward(weight)
+        before = np.where(self._local_source == 0, 0.0, forward[self.source])
+        share = np.exp(before + weight - forward[self.target])
+        # edges into a node lie together; sums of their shares, one node after the other
+        first = np.append(True, self.target[1:] != self.target[:-1]) if len(share) else np.zeros(0, dtype=bool)
+        number = np.cumsum(first) - 1
+        sums = np.cumsum(share)
+        inside = sums - (sums - share)[first][number]
+        last = np.append(np.flatnonzero(first)[1:], len(share)) - 1 if len(share) else first
+        rank = np.zeros(self.nodes, dtype=np.int64)
+        rank[self.target] = number
+        ladder = number + np.minimum(inside / np.maximum(inside[last][number], 1e-300), 1.0)
+        taken, spans, node = [], np.arange(len(self.first)), self.last
+        while len(spans):
+            edge = np.searchsorted(ladder, rank[node] + chance[node], side="right")
+            edge = np.minimum(edge, last[rank[node]])
+            taken.append(edge)
+            node = self.source[edge]
+            open_ = node != self.first[spans]
+            spans, node = spans[open_], node[open_]
+        edges = np.concatenate(taken) if taken else np.zeros(0, dtype=np.int64)
+        edges = edges[np.argsort(self.source[edges])]
+        return self.word[edges], self.piece[edges]
+
+    def nbest(self, weight: np.ndarray, k: int) -> list[list[tuple[float, list[int]]]]:
+        """The ``k`` best segmentations of each word, as (score, pieces), best first.
+
+        Every node keeps the ``k`` best ways to it; spans are put together pair
+        by pair.  Of equal scores the one with the longer last piece comes first.
+        """
+        ways: dict[int, list[tuple[float, list[int]]]] = {}
+        sources, targets, pieces, weights = self.source.tolist(), self.target.tolist(), self.piece.tolist(), weight.tolist()
+        starts = set(self.first.tolist())
+        at = 0
+        while at < len(targets):
+            node, found = targets[at], []
+            while at < len(targets) and targets[at] == node:
+                before = [(0.0, [])] if sources[at] in starts and self._local_source[at] == 0 else ways[sources[at]]
+                found += [(score + weights[at], [*path, pieces[at]]) for score, path in before]
+                at += 1
+            ways[node] = sorted(found, key=lambda way: -way[0])[:k]
+        out: list[list[tuple[float, list[int]]]] = [[(0.0, [])] for _ in range(self.words)]
+        for word, node in zip(self.span_word.tolist(), self.last.tolist()):
+            out[word] = merged(out[word], ways[node], k)
+        return out
+
+    def expected(self, weight: np.ndarray) -> np.ndarray:
+        """Probability of each edge over all segmentations of its word."""
+        forward = self._forward(weight)
         total = forward[self.last][self.span]
 
         order = np.argsort(self._local_source * self.nodes + self.source)
@@ -164,6 +257,106 @@ class Lattice:
         return np.exp(before + weight + after - total)
 
 
+def best_of_long(
+    index: PieceIndex, word: str, scores: np.ndarray, unknown: float, window: int
+) -> Iterator[np.ndarray]:
+    """The pieces of the best segmentation of one endless word, a run at a time.
+
+    The same pieces as :meth:`Lattice.best` gives.  A window is solved up to its
+    last node that no edge jumps over.  Where a window has no such node, scores
+    of the last nodes are carried into the next one, and what lies before the
+    node that all open paths share is given out; a stretch without such a node
+    is remembered by two bytes a character.
+    """
+    weight = np.append(scores, unknown)
+    at = 0
+    while at < len(word):
+        _, _, _, fixed = _edges(index, word, at, min(len(word), at + window))
+        if len(fixed):
+            lattice = Lattice(index, [word[at : at + int(fixed[-1])]])
+            yield lattice.best(lattice.weights(scores, unknown))[1]
+            at += int(fixed[-1])
+        else:
+            at = yield from _carried(index, word, at, weight, window)
+
+
+def _edges(index: PieceIndex, word: str, at: int, stop: int):
+    """(start, length, piece) of the edges that start from ``at`` to before ``stop``, by
+    start, and the nodes behind ``at`` up to ``stop`` that no edge jumps over."""
+    chars = code_points([word[at : stop + index.longest]])
+    start, length, piece = index.matches(chars, np.full(len(chars), len(chars)))
+    own = start < stop - at
+    start, length, piece = start[own], length[own], piece[own]
+    single = np.zeros(stop - at, dtype=bool)
+    single[start[length == 1]] = True
+    unknown = np.flatnonzero(~single)
+    start = np.concatenate([start, unknown])
+    length = np.concatenate([length, np.ones(len(unknown), dtype=np.int64)])
+    piece = np.concatenate([piece, np.full(len(unknown), -1)])
+    size = stop - at + index.longest + 1
+    over = np.cumsum(np.bincount(start + 1, minlength=size) - np.bincount(start + length, minlength=size))
+    order = np.argsort(start, kind="stable")
+    return start[order], length[order], piece[order], np.flatnonzero(over[1 : stop - at + 1] == 0) + 1
+
+
+def _carried(
+    index: PieceIndex, word: str, base: int, weight: np.ndarray, window: int
+) -> Generator[np.ndarray, None, int]:
+    """Pieces from ``base`` to the next node that no edge jumps over, which is returned."""
+    back = array("H" if index.longest < 1 << 16 else "L")  # length of the best edge into each node behind base
+    at, open_score, open_step = base, [0.0], [0]
+    while True:
+        stop = min(len(word), at + window)
+        start, length, piece, fixed = _edges(index, word, at, stop)
+        end = int(fixed[0]) if len(fixed) else stop - at
+        room = stop - at + index.longest + 1
+        score = open_score + [-np.inf] * (room - len(open_score))
+        step = open_step + [0] * (room - len(open_step))
+        # edges come by start, so of equal scores the longest piece is there first
+        for s, n, w in zip(start.tolist(), length.tolist(), weight[piece].tolist()):
+            value = score[s] + w
+            if value > score[s + n]:
+                score[s + n], step[s + n] = value, n
+        back.extend(step[1 : end + 1])
+        at += end
+        if len(fixed):
+            yield from _path(index, word, base, at, back, window)
+            return at
+        open_score, open_step = score[end : end + index.longest + 1], step[end : end + index.longest + 1]
+        # a path goes on from one of the last nodes; back to where they all meet
+        nodes = set(range(max(base, at - index.longest + 1), at + 1))
+        last = max(nodes)
+        while len(nodes) > 1 and last > base:
+            if last in nodes:
+                nodes.remove(last)
+                nodes.add(last - back[last - base - 1])
+            last -= 1
+        if len(nodes) == 1 and (shared := nodes.pop()) > base:
+            yield from _path(index, word, base, shared, back, window)
+            del back[: shared - base]
+            base = shared
+
+
+def _path(index: PieceIndex, word: str, base: int, end: int, back: array, window: int) -> Iterator[np.ndarray]:
+    """The pieces on the best path from ``base`` to ``end``."""
+    taken, node = array("q"), end
+    while node > base:
+        node -= back[node - base - 1]
+        taken.append(node)
+    starts = np.frombuffer(taken, dtype=np.int64)[::-1]
+    lengths = np.diff(np.append(starts, end))
+    for low in range(0, len(starts), window):
+        some, sizes = starts[low : low + window], lengths[low : low + window]
+        for first in range(int(some[0]), int(some[-1]) + 1, window):
+            inside = (some >= first) & (some < first + window)
+            start, length, piece, _ = _edges(index, word, first, min(len(word), first + window))
+            width = index.longest + 1
+            keys = start * width + length
+            order = np.argsort(keys)
+            wanted = (some[inside] - first) * width + sizes[inside]
+            yield piece[order][np.searchsorted(keys[order], wanted)]
+
+
 def _stages(local: np.ndarray, node: np.ndarray, steps: int):
     """Edge ranges by position in the word, each with its groups of equal node."""
     cuts = np.searchsorted(local, np.arange(steps + 2))

@@ -9,6 +9,7 @@ to the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -22,6 +23,9 @@ _PARTITION_SHIFT = 33
 
 # At most this many partition starts are broadcast.
 _BROADCAST_ROWS = 1_000_000
+# Keys of a selection's sample, and the rows that are left for its last step.
+_SAMPLE_ROWS = 10_000
+_SORTED_ROWS = 100_000
 
 
 def column_names(order_by: Sequence[str]) -> list[str]:
@@ -122,20 +126,67 @@ def _same(columns: Sequence[str]) -> Column:
 
 
 class RankedKeys:
-    """Positions of the key columns alone, for cutting a table at a few ranks.
-
-    A cut needs only the keys found there: the rows themselves are then placed
-    by comparing their keys, with no shuffle and no second copy of the payload.
+    """Keys at given ranks, found without sorting the table, for cutting it at a few places.
+
+    A sample of the keys gives two bounds around a rank, and one scan counts the
+    rows below and between them exactly; the same is done again inside the
+    bounds until few rows are left, whose order tells the key.  The rows
+    themselves are placed by comparing their keys, with no shuffle and no second
+    copy of the payload.  The table is scanned for its keys a few times, so it
+    should be stored if it takes long to make.
     """
 
     def __init__(self, df: DataFrame, order_by: Sequence[str]):
         self.order_by = list(order_by)
-        keys = df.select(*map(_quoted, column_names(order_by)))
-        self._types = [field.dataType for field in keys.schema]
-        self._ranked = rank_keys(keys, order_by, [], "__position")
+        self._names = column_names(order_by)
+        self._keys = df.select(*map(_quoted, self._names))
+        self._types = [field.dataType for field in self._keys.schema]
+        self._total: int | None = None
 
     def count(self) -> int:
-        return self._ranked.count()
+        if self._total is None:
+            self._total = self._keys.count()
+        return self._total
+
+    def _compare(self, values: tuple, equal: bool) -> Column:
+        """Whether a row lies behind the key ``values``, or at it too if ``equal``."""
+        out = F.lit(equal)
+        for name, kind, value in reversed(list(zip(self.order_by, self._types, values))):
+            down, column = name.startswith("-"), F.col(_quoted(name.removeprefix("-")))
+            bound = F.lit(value).cast(kind)
+            if value is None:
+                past = F.lit(False) if down else column.isNotNull()
+            elif down:
+                past = column.isNull() | (column < bound)
+            else:
+                past = column.isNotNull() & (column > bound)
+            out = past | (column.eqNullSafe(bound) & out)
+        return F.coalesce(out, F.lit(False))
+
+    def _keys_at(self, rank: int) -> list[tuple]:
+        """The keys at ``rank - 1`` and ``rank``, as far as there are such rows."""
+        rows, size, first, last = self._keys, self.count(), None, None
+        at = rank - 1  # the wanted place among the rows between the bounds
+        while size > _SORTED_ROWS:
+            sample = self._sample(rows)
+            middle, room = at / size * len(sample), 3 * math.sqrt(len(sample)) + 3
+            low, high = int(middle - room), int(middle + room) + 1
+            bounds = (sample[low] if low >= 0 else None, sample[high] if high < len(sample) else None)
+            start = F.lit(True) if bounds[0] is None else self._compare(bounds[0], True)
+            behind = F.lit(False) if bounds[1] is None else self._compare(bounds[1], False)
+            below, inside = rows.agg(
+                F.count_if(~start).alias("below"), F.count_if(start & ~behind).alias("inside")
+            ).first()
+            if not below <= at or not at + 1 < below + inside or inside > 0.9 * size:
+                break  # an unlucky sample, or a key that most rows share
+            rows, size, at = rows.filter(start & ~behind), inside, at - below
+        found = rows.orderBy(*sort_columns(self.order_by)).offset(at).limit(2).collect()
+        return [tuple(r) for r in found]
+
+    def _sample(self, rows: DataFrame) -> list[tuple]:
+        chance = F.xxhash64(*map(_quoted, self._names), F.monotonically_increasing_id())
+        some = rows.withColumn("__chance", chance).orderBy("__chance").limit(_SAMPLE_ROWS).drop("__chance")
+        return [tuple(r) for r in some.orderBy(*sort_columns(self.order_by)).collect()]
 
     def from_rank(self, rank: int) -> Column:
         """Whether a row lies at ``rank`` or after; false for all beyond the end.
@@ -144,26 +195,15 @@ class RankedKeys:
         """
         if rank <= 0:
             return F.lit(True)
-        found = {r[-1]: tuple(r)[:-1] for r in self._ranked.filter(F.col("__position").isin(rank - 1, rank)).collect()}
-        if rank not in found:
+        if rank >= self.count():
             return F.lit(False)
-        if found[rank] == found[rank - 1]:
+        before, here = self._keys_at(rank)
+        if before == here:
             raise ValueError(
-                f"order columns {self.order_by} do not identify rows near {found[rank]}; "
+                f"order columns {self.order_by} do not identify rows near {here}; "
                 "add a unique id as the last one"
             )
-        out = F.lit(True)
-        for name, kind, value in reversed(list(zip(self.order_by, self._types, found[rank]))):
-            down, column = name.startswith("-"), F.col(_quoted(name.removeprefix("-")))
-            bound = F.lit(value).cast(kind)
-            if value is None:
-                past = F.lit(False) if down else column.isNotNull()
-            elif down:
-                past = column.isNull() | (column < bound)
-            else:
-                past = column.isNotNull() & (column > bound)
-            out = past | (column.eqNullSafe(bound) & out)
-        return F.coalesce(out, F.lit(False))
+        return self._compare(here, True)
 
 
 def take_first(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 from lexmill.constants import DEFAULT_SEED, DEFAULT_SHARDS
 from lexmill.operators.ordering import RankedKeys, column_names, global_rank, join_keys, rank_keys
+from lexmill.session import materialize
+
+# More splits than this are joined to their keys instead of sent to all tasks.
+MOST_SENT_SPLITS = 100_000
+# Steps of the network that permutes positions, and how often a place beyond
+# the last is walked on.
+_FEISTEL_ROUNDS = 6
+_MOST_WALKS = 64
 
 
 def concat_corpora(corpora: Sequence[DataFrame]) -> DataFrame:
@@ -46,6 +54,44 @@ def shuffle(
     return keyed.repartitionById(tasks, place).sortWithinPartitions(*within, *order)
 
 
+def epoch_place(position: Column, rows: int, epoch: int | Column, seed: int = DEFAULT_SEED) -> Column:
+    """The place in an epoch of the row at ``position`` of ``rows``; each epoch has its own order.
+
+    A keyed Feistel network over pairs of about ``sqrt(rows)`` numbers permutes a
+    range just above ``rows``; a place beyond the last is walked on until it is
+    one of them.  So the order of any epoch is arithmetic on stored positions,
+    without another sort or shuffle.  Null positions have a null place.
+    """
+    if rows < 1:
+        return F.lit(None).cast("bigint")
+    wide = math.isqrt(rows - 1) + 1
+    high = -(-rows // wide)
+
+    def keyed(step: int, half: Column) -> Column:
+        era = F.lit(epoch) if isinstance(epoch, int) else epoch
+        text = F.concat_ws(":", F.lit(str(seed)), era.cast("string"), F.lit(str(step)), half.cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+    def network(place: Column) -> Column:
+        state = F.struct(F.floor(place / wide).cast("bigint").alias("l"), (place % wide).alias("r"))
+        for step in range(_FEISTEL_ROUNDS):
+            # a step is an argument of the next one, so that it is worked out once
+            state = F.transform(F.array(state), lambda s: _feistel_step(s, step, high, wide, keyed))[0]
+        return state["l"] * wide + state["r"]
+
+    start = network(position.cast("bigint"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(_MOST_WALKS)), start, lambda place, _: F.when(place < rows, place).otherwise(network(place))
+    )
+
+
+def _feistel_step(state: Column, step: int, high: int, wide: int, keyed) -> Column:
+    """One half of a pair moved by a hash of the other."""
+    if step % 2:
+        return F.struct(state["l"].alias("l"), ((state["r"] + keyed(step, state["l"])) % wide).alias("r"))
+    return F.struct(((state["l"] + keyed(step, state["r"])) % high).alias("l"), state["r"].alias("r"))
+
+
 def hash_fraction(key: Sequence[str], seed: int = DEFAULT_SEED) -> Column:
     """Uniform number in [0, 1) from the first 32 bits of the shuffle key."""
     head = F.conv(F.substring(shuffle_key(key, seed), 1, 8), 16, 10).cast("bigint")
@@ -135,6 +181,10 @@ def place_rows(
     ranked = rank_keys(df.select(*keys), order_by, within, "__position", unique=True)
     sizes = ranked.groupBy(*[F.col(c).alias("__group") for c in within]).agg(F.count(F.lit(1)).alias("__rows"))
     if split:
+        # a hot split must not gather its keys in one task
+        sizes = materialize(sizes, "split-sizes")
+        if sizes.count() <= MOST_SENT_SPLITS:
+            sizes = F.broadcast(sizes)
         sized = ranked.join(sizes, F.col(split).eqNullSafe(F.col("__group")))
     else:
         sized = ranked.withColumn("__rows", F.lit(sizes.first()["__rows"]))

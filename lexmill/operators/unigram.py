@@ -79,41 +79,147 @@ def word_counts(df: DataFrame) -> DataFrame:
 
 
 def substring_counts(words: DataFrame, longest: int = MAX_PIECE_LENGTH) -> DataFrame:
-    """Counts of all substrings of two to ``longest`` characters seen at least twice.
+    """Counts of all substrings of two to ``longest`` characters seen at least twice."""
+    return repeats(words, longest, maximal=False)
 
-    Words are first cut into windows of ``longest`` characters, one from each
-    start, and equal windows are counted together; substrings are the windows'
-    beginnings.  So a word may be as long as a line.
+
+def windows(words: DataFrame, longest: int = MAX_PIECE_LENGTH) -> DataFrame:
+    """The first ``longest`` characters of all suffixes of the words, with counts.
+
+    One row per suffix leaves a task, whatever its length; suffixes of a single
+    character hold no piece.
     """
     chars = F.split("word", "")
     starts = F.sequence(F.lit(1), F.length("word") - 1)
-    windows = F.transform(starts, lambda at: F.array_join(F.slice(chars, at, longest), ""))
-    counted = (
-        words.filter(F.length("word") > 1)
-        .select(F.explode(windows).alias("window"), "n")
-        .groupBy("window")
-        .agg(F.sum("n").alias("n"))
-    )
-    lengths = F.sequence(F.lit(2), F.length("window"))
+    cut = F.transform(starts, lambda at: F.array_join(F.slice(chars, at, longest), ""))
     return (
-        counted.select(F.explode(F.transform(lengths, lambda k: F.substring("window", F.lit(1), k))).alias("piece"), "n")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= 2)
+        words.filter(F.length("word") > 1).select(F.explode(cut).alias("window"), "n")
+        .groupBy("window").agg(F.sum("n").alias("n"))
     )
 
 
-def seed_pieces(words: DataFrame, n: int, longest: int = MAX_PIECE_LENGTH) -> DataFrame:
+def repeats(words: DataFrame, longest: int = MAX_PIECE_LENGTH, maximal: bool = True) -> DataFrame:
+    """Substrings of two to ``longest`` characters seen at least twice, from a suffix order.
+
+    ``piece`` and ``n``.  With ``maximal`` only those that no single character
+    behind them leaves as frequent (the inner nodes of the suffix tree); of a
+    substring of ``longest`` characters nothing behind it counts.
+
+    The suffixes are range-partitioned and sorted, and a walk along each
+    partition closes a node wherever the common prefix with the next suffix is
+    shorter.  A node never leaves its task, unless its suffixes reach over a
+    border of partitions: of these, prefixes of a partition's first and last
+    suffix, the parts are added up.
+    """
+    ordered = windows(words, longest).repartitionByRange("window").sortWithinPartitions("window")
+
+    def walk(batches):
+        nodes = _SuffixWalk(longest, maximal)
+        for batch in batches:
+            if batch.num_rows:
+                yield nodes.feed(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield nodes.finish()
+
+    found = materialize(ordered.mapInArrow(walk, "piece string, n long, inner long, part boolean"), "repeats")
+    whole = found.filter("not part and n >= 2").select("piece", "n")
+    border = found.filter("part").groupBy("piece").agg(F.sum("n").cast("long").alias("n"), F.max("inner").alias("inner"))
+    longer = border.filter(F.length("piece") > 2).groupBy(F.expr("left(piece, length(piece) - 1)").alias("piece")).agg(F.max("n").alias("next"))
+    kept = border.join(longer, "piece", "left").filter("n >= 2")
+    if maximal:
+        kept = kept.filter(F.greatest("inner", F.coalesce("next", F.lit(0))) < F.col("n"))
+    return whole.unionByName(kept.select("piece", "n"))
+
+
+class _SuffixWalk:
+    """The nodes of one partition of sorted suffixes: depth, count and greatest child."""
+
+    def __init__(self, longest: int, every_node_only: bool):
+        self.longest, self.nodes_only = longest, every_node_only
+        self.first: str | None = None
+        self.last, self.open = "", []
+        self.rows: tuple[list, ...] = ([], [], [], [])
+
+    def feed(self, suffixes: list[str], counts: list[int]) -> pa.RecordBatch:
+        if self.first is None:
+            self.first = suffixes[0]
+        shared = _common_prefixes([self.last, *suffixes], self.longest)
+        for suffix, n, depth in zip(suffixes, counts, shared):
+            self._close(depth)
+            self.last = suffix
+            self.open.append([len(suffix), n, 0])
+        return self._flush()
+
+    def finish(self) -> pa.RecordBatch:
+        self._close(0, border=True)
+        return self._flush()
+
+    def _close(self, depth: int, border: bool = False) -> None:
+        """Give out the nodes of the last suffix that lie deeper than ``depth``."""
+        if not self.open:
+            return
+        reach = len(_common(self.first, self.last))
+        while self.open and self.open[-1][0] > depth:
+            deep, n, best = self.open.pop()
+            above = max(depth, self.open[-1][0] if self.open else 0)
+            if above and (not self.open or self.open[-1][0] < above):
+                self.open.append([above, 0, 0])
+            if above:
+                parent = self.open[-1]
+                parent[1] += n
+                parent[2] = max(parent[2], n)
+            edge = deep if border else min(deep, reach)  # prefixes that may reach over the partition's border
+            for size in range(max(above + 1, 2), edge + 1):
+                inner = best if size == deep else n if size == reach and not border else 0
+                self._add(self.last[:size], n, inner, True)
+            for size in range(max(above + 1, edge + 1, 2, deep if self.nodes_only else 0), deep + 1):
+                self._add(self.last[:size], n, best, False)
+
+    def _add(self, *row) -> None:
+        for column, value in zip(self.rows, row):
+            column.append(value)
+
+    def _flush(self) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        out = [pa.array(column, kind) for column, kind in zip(self.rows, kinds)]
+        self.rows = ([], [], [], [])
+        return pa.RecordBatch.from_arrays(out, names=["piece", "n", "inner", "part"])
+
+
+def _common(a: str, b: str) -> str:
+    size = min(len(a), len(b))
+    while a[:size] != b[:size]:
+        size -= 1
+    return a[:size]
+
+
+def _common_prefixes(texts: list[str], longest: int) -> list[int]:
+    """How many characters each text but the first shares with the one before."""
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    width = max(longest, int(sizes.max()))
+    chars = np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
+    same = np.logical_and.accumulate(chars[1:] == chars[:-1], axis=1).sum(axis=1)
+    return np.minimum(same, np.minimum(sizes[1:], sizes[:-1])).tolist()
+
+
+def seed_pieces(words: DataFrame, n: int, longest: int = MAX_PIECE_LENGTH, maximal: bool = False) -> DataFrame:
     """The ``n`` substrings that cover most text, ``piece`` and ``worth``.
 
-    The least worth that is kept is looked up by rank, so no task gets the
-    candidates of all others.
+    With ``maximal`` only substrings that are not as frequent with a character
+    more, as the public trainer takes them.  The least worth that is kept is
+    looked up by rank, so no task gets the candidates of all others.
     """
     worth = F.col("n") * F.length("piece")
-    counts = substring_counts(words, longest).select("piece", worth.cast("double").alias("worth"))
+    counts = repeats(words, longest, maximal).select("piece", worth.cast("double").alias("worth"))
     return take_first(materialize(counts, "substrings"), n, ["-worth", "piece"])
 
 
+def initial_model(required: dict[str, int], seeds: pa.Table) -> Model:
+    """The required characters, then the seeds by worth, with the logarithm of their shares."""
+    seeds = seeds.sort_by([("worth", "descending"), ("piece", "ascending")])
+    worths = np.array([*map(float, required.values()), *seeds["worth"].to_pylist()])
+    return Model([*required, *seeds["piece"].to_pylist()], np.log(worths) - np.log(worths.sum()))
+
+
 def train_unigram(
     df: DataFrame,
     vocab_size: int = VOCAB_SIZE,
@@ -146,11 +252,8 @@ def train_unigram(
         words = counted.select(F.explode(cut).alias("word"), "n").filter(F.col("word") != "")
         words = materialize(words, "training-words")
 
-    seeds = seed_pieces(words, max(seed_size - len(required), 0), longest).toArrow()
-    seeds = seeds.sort_by([("worth", "descending"), ("piece", "ascending")])
-    pieces = [*required, *seeds["piece"].to_pylist()]
-    worths = np.array([*map(float, required.values()), *seeds["worth"].to_pylist()])
-    model = Model(pieces, np.log(worths) - np.log(worths.sum()))
+    seeds = seed_pieces(words, max(seed_size - len(required), 0), longest, maximal=True).toArrow()
+    model = initial_model(required, seeds)
 
     target = int(vocab_size * OVERSIZE)
     occurrences = int(words.agg(F.sum("n")).first()[0] or 0)
@@ -163,7 +266,7 @@ def train_unigram(
         if len(smaller.pieces) == len(model.pieces):
             break
         model = smaller
-    return _finish(spark, model, required, vocab_size)
+    return vocabulary_layout(spark, model, required, vocab_size)
 
 
 # The piece index of one round, kept by each Python worker for all its tasks.
@@ -314,8 +417,12 @@ def _sum_per_piece(words: DataFrame, model: Model, count) -> dict[str, np.ndarra
     return out
 
 
-def _finish(spark: SparkSession, model: Model, required: dict[str, int], vocab_size: int) -> DataFrame:
-    """Required characters first in line, then the best pieces, in score order."""
+def vocabulary_layout(spark: SparkSession, model: Model, required: dict[str, int], vocab_size: int) -> DataFrame:
+    """A vocabulary of ``vocab_size``: the reserved entries, then learned pieces by score.
+
+    The required characters have a place each, and the best pieces the rest.  A
+    character that the model lost scores just below its worst piece.
+    """
     room = vocab_size - FIRST_LEARNED_ID
     scored = dict(zip(model.pieces, model.scores.tolist()))
     floor = min(scored.values(), default=0.0)

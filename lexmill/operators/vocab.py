@@ -72,6 +72,22 @@ def reserved_pieces(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, p, 0.0, k) for i, p, k in RESERVED], VOCAB_SCHEMA)
 
 
+def add_tokens(vocab: DataFrame, tokens: Sequence[str]) -> DataFrame:
+    """The vocabulary with ``tokens`` of kind ``added`` behind its last id.
+
+    Tokens that are there already, empty ones and repeats are left out.  Like
+    special tokens they are found in a text before it is normalised.
+    """
+    spark = vocab.sparkSession
+    wanted = list(dict.fromkeys(t for t in tokens if t))
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(wanted)], "at int, piece string")
+    new = [r["piece"] for r in asked.join(vocab.select("piece"), "piece", "left_anti").orderBy("at").collect()]
+    first = (vocab.agg(F.max("id")).first()[0] or -1) + 1
+    return vocab.select("id", "piece", "score", "kind").union(
+        spark.createDataFrame([(first + i, t, 0.0, "added") for i, t in enumerate(new)], VOCAB_SCHEMA)
+    )
+
+
 def surface(piece: Column) -> Column:
     """A piece as shown to users: the newline piece is a line feed."""
     return F.when(piece == NEWLINE_PIECE, "\n").otherwise(piece)

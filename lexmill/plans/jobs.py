@@ -203,12 +203,14 @@ def packed_training_set(
 
     Without a validation split the first ``validation_percent`` of the training
     rows become one; other splits are packed as they are.  The limits cut the
-    training and validation blocks.
+    training and validation blocks.  Rows with a null split are an error.
     """
     text = F.col(resolve_text_column(df))
     if "split" not in df.columns:
         df = df.withColumn("split", F.lit("train"))
     docs = df.select("split", *order_by, text.alias("text"))
+    if not docs.filter("split is null").isEmpty():
+        raise ValueError("some rows have a null split; name one or drop them")
     if docs.filter("split = 'validation'").isEmpty():
         train = head_split(docs.filter("split = 'train'"), order_by, validation_percent)
         docs = train.select(docs.columns).unionByName(docs.filter("split <> 'train'"))

@@ -6,13 +6,14 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.constants import DEFAULT_SHARDS, SPLIT_NAMES
 from lexmill.operators.ordering import sort_columns
 from lexmill.operators.splits import file_places, place_rows
 from lexmill.session import materialize
+from lexmill.sources.blocks import read_csv_blocks
 
 ROW_ORDER = ["source_file", "block_start", "line_no"]
 
@@ -59,7 +60,9 @@ def read_text_files(
     however the files are split into tasks.  Text files yield ``text``, with
     the line break kept by default; the last line gains one if it had none.
     Only a line feed ends a line; ``strip_carriage_returns`` drops one carriage
-    return before it.  Quoted csv values may hold line breaks.
+    return before it.  Quoted csv values may hold line breaks; csv files are
+    read in blocks all the same, unless options ask for another way to escape
+    quotes, for other headers or for types, for which one task reads a file.
     """
     files = {"train": train_file, "validation": validation_file}
     files = {split: path for split, path in files.items() if path is not None}
@@ -71,6 +74,8 @@ def read_text_files(
     kind = _extension(next(iter(files.values())))
 
     def load(path: str) -> DataFrame:
+        if kind == "csv" and not ({"multiLine", "inferSchema", "schema", "header"} & set(options)) and options.get("escape", '"') == options.get("quote", '"'):
+            return read_csv_blocks(spark, path, **options).withColumnRenamed("row", "line_no")
         if kind == "csv":
             return spark.read.options(**{"header": True, "escape": '"', "multiLine": True, **options}).csv(path)
         if kind == "json":
@@ -84,16 +89,15 @@ def read_text_files(
             df = df.withColumn("text", F.regexp_replace("text", "\\r$", ""))
         if kind == "txt" and keep_linebreaks:
             df = df.withColumn("text", F.concat("text", F.lit("\n")))
-        parts.append(
-            df.withColumns(
+        if not set(ROW_ORDER) <= set(df.columns):
+            df = df.withColumns(
                 {
-                    "split": F.lit(split),
                     "source_file": F.col("_metadata.file_path"),
                     "block_start": F.col("_metadata.file_block_start"),
                     "line_no": F.monotonically_increasing_id(),
                 }
             )
-        )
+        parts.append(df.withColumn("split", F.lit(split)))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -154,16 +158,81 @@ def export_text(df: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
     df.select("text").write.text(path)
 
 
-def corpus_manifest(df: DataFrame) -> DataFrame:
-    """Rows, text bytes and an order-free checksum of each split."""
-    head = F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("bigint")
-    return df.groupBy("split").agg(
+def _lane(digest: Column, start: int) -> Column:
+    """Sum of 60 bits of all rows' digests, modulo 2**60: rows that are equal do not cancel."""
+    head = F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(20,0)")
+    return F.pmod(F.sum(head), F.lit(2**60).cast("decimal(20,0)")).cast("bigint")
+
+
+def corpus_manifest(df: DataFrame, by: Sequence[str] = ("split",), content: Column | None = None) -> DataFrame:
+    """Rows, bytes and a checksum of each group that no order of rows changes.
+
+    ``content`` is what of a row counts, the text unless given.  The checksum
+    has two lanes, sums over all rows of two parts of an md5, so it tells tables
+    apart that hold the same rows in other numbers.  Null content counts as empty.
+    """
+    body = F.coalesce(F.col("text") if content is None else content, F.lit(""))
+    digest = F.md5(body)
+    return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("n_bytes"),
-        F.bit_xor(head).alias("checksum"),
+        F.coalesce(F.sum(F.octet_length(body)), F.lit(0)).cast("bigint").alias("n_bytes"),
+        _lane(digest, 1).alias("checksum"),
+        _lane(digest, 16).alias("checksum_2"),
+    )
+
+
+def compare_manifests(recorded: DataFrame, found: DataFrame, by: Sequence[str] = ("split",)) -> DataFrame:
+    """The groups of both manifests with a ``status``: same, changed, missing or new.
+
+    The numbers are those that were found; of a missing group those recorded.
+    """
+    numbers = ["n_rows", "n_bytes", "checksum", "checksum_2"]
+    left, right = recorded.alias("r"), found.alias("f")
+    same_group = reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by])
+    same = reduce(Column.__and__, [F.col(f"r.{c}") == F.col(f"f.{c}") for c in numbers])
+    status = (
+        F.when(F.col("f.n_rows").isNull(), "missing").when(F.col("r.n_rows").isNull(), "new").when(same, "same").otherwise("changed")
+    )
+    return left.join(right, same_group, "full").select(
+        *[F.coalesce(f"f.{c}", f"r.{c}").alias(c) for c in [*by, *numbers]], status.alias("status")
     )
 
 
+_MANIFEST = "_manifest"  # readers of the corpus skip names with an underscore
+_FILE = ["split", "file"]
+
+
+def _file_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a stored corpus by split and file; all columns of a row count."""
+    corpus = read_corpus(spark, path)
+    values = [F.col("`" + c.replace("`", "``") + "`") for c in corpus.columns if c != "split"]
+    content = F.col("text") if "text" in corpus.columns else F.to_json(F.struct(*values))
+    named = corpus.withColumns({"file": F.col("_metadata.file_name"), "__content": content})
+    return corpus_manifest(named, _FILE, F.col("__content"))
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """Record sizes and checksums of every file of a stored corpus beside it."""
+    _file_manifest(spark, path).coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{_MANIFEST}")
+
+
+def verify_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a stored corpus against what was recorded, see :func:`compare_manifests`."""
+    recorded = spark.read.parquet(f"{path.rstrip('/')}/{_MANIFEST}")
+    return compare_manifests(recorded, _file_manifest(spark, path), _FILE)
+
+
+def read_verified(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """A stored corpus, or one split, after a check of its files; an error if one differs."""
+    wrong = verify_manifest(spark, path).filter("status <> 'same'")
+    if split is not None:
+        wrong = wrong.filter(F.col("split") == split)
+    first = wrong.orderBy("split", "file").first()
+    if first is not None:
+        raise ValueError(f"{first['file']} of split {first['split']} is {first['status']}")
+    return read_corpus(spark, path) if split is None else read_split(spark, path, split)
+
+
 def check_splits(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Fail if a required split has no rows; return the manifest otherwise."""
     manifest = materialize(corpus_manifest(df), "manifest")

@@ -8,7 +8,14 @@ from lexmill.operators.encode import compatibility_form, compatibility_text
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("  山～川＋４５６\n  海\n b", "山〜川+456<n> 海<n> b"),
+        # one rule each
+        ("９／８", "9/8"),
+        ("左～右", "左〜右"),
+        ("x\ny", "x<n>y"),
+        ("x\n y", "x<n> y"),
+        ("x\n 海", "x<n>海"),
+        ("\n空\n", "空"),
+        # fixed values: examples of the public normaliser
         ("ＡＢＣ　ｄｅｆ スーーパ――a b", "ABC defスーパーa b"),
         ("あ い う", "あいう"),
         ("ﾊﾝｶｸｶﾅ", "ハンカクカナ"),

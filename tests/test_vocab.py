@@ -22,13 +22,6 @@ from lexmill.operators.vocab import (
     vocab_table,
 )
 
-SENTENCES = [
-    "おはよう",
-    "東京の朝は早い。電車がもう走る",
-    "XyzXXyZ",
-    "  空白が外にある   ",
-    "<s>[CLS]今日は雨ですか？[SEP][MASK]は晴れです。[SEP]</s>",
-]
 WORDS = "the of and nation order region 猫である 名前は まだ無い こんにちは 東京 大阪 123 4567 x".split()
 
 
@@ -116,17 +109,34 @@ def test_encoding_round_trip(corpus, vocab):
         assert text == want[doc].replace("<n>", "\n") + "</s>"
 
 
-def test_special_tokens_in_text(spark, vocab):
-    df = spark.createDataFrame(list(enumerate(SENTENCES)), "doc_id int, text string")
-    ids = {r.doc_id: r.input_ids for r in tokenize(df, vocab).collect()}
-    last = ids[4]
-    assert last[:2] == [1, 5] and last[-2:] == [4, 2] and last.count(2) == 1
-    assert 6 in last and last.count(4) == 2
-    assert ids[0][-1] == 2 and 1 not in ids[0]
+SPECIAL_CASES = [
+    ("[MASK]", ["[MASK]"]),  # alone
+    ("<s><s></s>", ["<s>", "<s>", "</s>"]),  # side by side
+    ("[CLS]nation", ["[CLS]", "nation"]),  # at the start
+    ("nation[SEP]", ["nation", "[SEP]"]),  # at the end
+    ("the <pad> of", ["the", "<pad>", "of"]),  # blanks beside one are outer blanks of a part
+    ("\t the\u3000<unk>\n", ["the", "<unk>", ""]),
+    ("[sep] <S> [mask", ["[sep] <S> [mask"]),  # other case and cut-off names are text
+    ("１２<s>Ａ", ["12", "<s>", "A"]),  # parts are normalised one by one
+    ("the of", ["the of"]),
+    ("", [""]),
+]
+
+
+@pytest.mark.parametrize("text, expected", SPECIAL_CASES)
+def test_special_tokens_are_parts_of_their_own(rows, text, expected):
+    parts = rows([(text,)], "text string").select(special_parts(F.col("text"))).first()[0]
+    assert [p for p in parts if p] == [p for p in expected if p]
+
+
+def test_special_tokens_have_their_ids_and_rows_end(spark, vocab):
+    known = {name: i for i, name, kind in RESERVED if kind != "user"}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SPECIAL_CASES)], "doc_id int, text string")
     plain = {r.doc_id: r.input_ids for r in tokenize(df, vocab, add_special_tokens=False).collect()}
-    assert [*plain[0], 2] == ids[0] and plain[4] == last
-    parts = df.filter("doc_id = 4").select(special_parts(F.col("text"))).first()[0]
-    assert parts == ["<s>", "[CLS]", "今日は雨ですか?", "[SEP]", "[MASK]", "は晴れです。", "[SEP]", "</s>"]
+    ended = {r.doc_id: r.input_ids for r in tokenize(df, vocab).collect()}
+    for i, (_, parts) in enumerate(SPECIAL_CASES):
+        assert [t for t in plain[i] if t in known.values() and t != 3] == [known[p] for p in parts if p in known and p != "<unk>"]
+        assert ended[i] == (plain[i] if plain[i][-1:] == [2] else [*plain[i], 2])
 
 
 def test_unknown_runs_and_newlines(spark):
