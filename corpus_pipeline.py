@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontaminate, mixing, quality, sharding, shingles
+from lexmill.llm import decontaminate, mixing, quality, sharding, simhash
 from lexmill.session import materialize, ship_package
 
 
@@ -23,9 +23,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of texts that share at least 0.8 of their five-word shingles."""
+    """Keeps the smallest id of each group of texts whose four-word fingerprints are linked over 4 or fewer bits."""
     ship_package(spark)
-    return shingles.keep_first(docs)
+    return simhash.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
