@@ -50,3 +50,11 @@ def others(docs: DataFrame, new: Sequence[str]) -> list[Column]:
     """The columns of a table except those that new ones replace (names without regard to case)."""
     taken = {name.lower() for name in new}
     return [F.col(quoted(c)) for c in docs.columns if c.lower() not in taken]
+
+
+def row_key(docs: DataFrame, id_col: str) -> Column:
+    """What tells rows of a table apart: id and a hash of all columns, of any type."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    # maps have no hash of their own
+    values = [F.to_json(F.struct(F.col(quoted(c)).alias("v"))) if "map<" in kinds[c] else F.col(quoted(c)) for c in docs.columns]
+    return F.struct(F.col(quoted(id_col)).alias("id"), F.xxhash64(*values).alias("hash"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import text_or_empty, words
+from lexmill.llm.common import quoted, row_key, text_or_empty, words
 from lexmill.session import materialize
 
 SHINGLE = 5
@@ -87,9 +87,8 @@ def sketches(shingles: DataFrame) -> DataFrame:
     return (
         shingles.withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= minima)
-        .select("length", "hash", _least(F.col("n")).alias("least"))
-        .groupBy("length", "hash")
-        .agg(F.min("least").alias("least"))
+        .select("length", "hash")
+        .distinct()
     )
 
 
@@ -116,15 +115,14 @@ def contained_items(
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     candidates = spark.createDataFrame([], f"id {id_type}")
-    small = sketch.count() <= BROADCAST_ROWS
+    small, few = sketch.count() <= BROADCAST_ROWS, shingles.count() <= BROADCAST_ROWS
     for length in lengths:
-        own = sketch.filter(F.col("length") == length).select("hash", "least")
-        long_enough = rows.filter(F.size("words") >= length).withColumn("room", F.size("words") - (length - 1))
+        own = sketch.filter(F.col("length") == length).select("hash")
+        # a row may be too short for an item that its id holds in several rows, so its length rules nothing out
         hits = (
-            _shingle_rows(long_enough, length, "id", "room")
-            .select("id", "room", F.xxhash64(*_columns(length)).alias("hash"))
-            .join(F.broadcast(own) if small else own, "hash")
-            .filter("room >= least")
+            _shingle_rows(rows.filter(F.size("words") >= length), length, "id")
+            .select("id", F.xxhash64(*_columns(length)).alias("hash"))
+            .join(F.broadcast(own) if small else own, "hash", "left_semi")
             .select("id")
         )
         candidates = candidates.unionByName(hits)
@@ -139,7 +137,7 @@ def contained_items(
             .select("id", F.xxhash64(*names).alias("hash"), F.concat_ws(" ", *names).alias("shingle"))
             .join(
                 F.broadcast(wanted.filter(F.col("length") == length))
-                if small and shingles.count() <= BROADCAST_ROWS
+                if few
                 else wanted.filter(F.col("length") == length),
                 ["hash", "shingle"],
             )
@@ -160,7 +158,15 @@ def contained_items(
     )
 
 
-def without_benchmark(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Documents that hold no item; all columns are kept, and rows with a null id."""
-    held = contained_items(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("__held")).distinct()
-    return docs.join(held, F.col(id_col) == F.col("__held"), "left_anti")
+def without_benchmark(
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """Documents that hold no item; all columns are kept, whatever their names and types.
+
+    Each row is judged by its own text, also where rows share an id or have none.
+    """
+    key = row_key(docs, id_col)
+    keyed = docs.select(key.alias("row_key"), F.col(quoted(text)).alias("body"))
+    held = contained_items(keyed, items, id_col="row_key", text="body", **options).select("row_key").distinct()
+    whole = docs.select(F.struct("*").alias("row"), key.alias("own"))
+    return whole.join(held, F.col("own") == F.col("row_key"), "left_anti").select("row.*")

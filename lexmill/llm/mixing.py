@@ -22,7 +22,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import word_count
+from lexmill.llm.common import row_key, word_count
 
 BLOCKS = 1 << 20  # blocks in the whole mix: no source is off by more than about a millionth
 SHARDS = 16  # hash ranges of each source with a quota of their own
@@ -99,6 +99,11 @@ def mix_quotas(
     order of their sizes; an empty table gives an empty result.  Extra columns
     are ignored.
     """
+    return _quotas(docs, F.lit(None).cast("string"), id_col, text, source, seed, blocks, weight_of).drop("tag")
+
+
+def _quotas(docs: DataFrame, tag: Column, id_col: str, text: str, source: str, seed: int, blocks: int, weight_of) -> DataFrame:
+    """:func:`mix_quotas` with a ``tag`` that is carried along; it parts rows of one id and size."""
     spark = docs.sparkSession
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = docs.select(
@@ -108,6 +113,7 @@ def mix_quotas(
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("src_key"),
         word_count(text).alias("size"),
         key.alias("ord"),
+        tag.alias("tag"),
     ).withColumn("range", F.conv(F.substring("ord", 1, 4), 16, 10).cast("int"))
     per_range = RANGES // SHARDS
     rows = rows.withColumn("shard", (F.col("range") / per_range).cast("int"))
@@ -133,7 +139,7 @@ def mix_quotas(
     plan_schema = "src_key string, shard int, source_size long, target double, n long, passes long, rest long, first long"
     quota = spark.createDataFrame(plan, plan_schema)
 
-    within = Window.partitionBy("src_key", "range").orderBy("ord", "id", "size")
+    within = Window.partitionBy("src_key", "range").orderBy("ord", "id", "size", "tag")
     running = within.rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("src_key", "shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -162,6 +168,7 @@ def mix_quotas(
         "source_size",
         "target",
         F.when(F.col("size") > 0, taken).otherwise(F.lit(0)).cast("long").alias("taken"),
+        "tag",
     )
 
 
@@ -170,20 +177,32 @@ def _overlap(start: Column, end: Column) -> Column:
     return F.greatest(both, F.lit(0).cast("long"))
 
 
-def mix_documents(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def mix_documents(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    seed: int = 42,
+    blocks: int = BLOCKS,
+    weight_of: Callable[[int], int] = cycling_weights,
+) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as the mix takes it.
 
     A document is kept whole: it comes ``taken / size`` times, rounded half up,
     so one that the mix takes less than half of is left out.  Texts without
-    words are left out.  Ids must identify rows, as in a corpus they do; rows
-    of one id would share their copies.  All columns are kept.
+    words are left out.  Rows that share an id are taken each by its own text;
+    rows that are equal in all columns share their copies.  All columns are
+    kept, whatever their names and types.
     """
-    wanted = mix_quotas(docs, id_col=id_col, **options).filter("taken > 0")
-    copies = wanted.groupBy(F.col(id_col).alias("__id")).agg(
-        F.floor((2 * F.sum("taken") + F.sum("size")) / (2 * F.sum("size"))).cast("int").alias("__copies")
-    )
-    return (
-        docs.join(copies.filter("__copies > 0"), F.col(id_col).eqNullSafe(F.col("__id")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*docs.columns)
-    )
+    tag = row_key(docs, id_col)
+    wanted = _quotas(docs, tag, id_col, text, source, seed, blocks, weight_of).filter("size > 0")
+    copies = wanted.groupBy("tag").agg(
+        F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")
+    ).select("tag", F.floor((2 * F.col("taken") * F.col("rows") + F.col("size")) / (2 * F.col("size"))).alias("copies"), "rows")
+    whole = docs.select(F.struct("*").alias("row"), tag.alias("own"))
+    # equal rows are one row here, which comes as often as all of them
+    once = whole.join(copies.filter("copies > 0 and rows = 1"), F.col("own") == F.col("tag"))
+    equal = whole.join(copies.filter("copies > 0 and rows > 1"), F.col("own") == F.col("tag")).dropDuplicates(["own"])
+    met = once.unionByName(equal)
+    return met.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

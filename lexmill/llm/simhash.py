@@ -22,10 +22,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ascii_lower, text_or_empty
+from lexmill.llm.common import ascii_lower, quoted, row_key, text_or_empty
 from lexmill.llm.components import connected_components, local_roots
 from lexmill.session import materialize
 
@@ -380,29 +380,19 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", k
 
     A component is made of texts alone: rows that share an id are judged by
     each of their texts, and a null id, the last of all, stays where no other
-    row has such a text.
+    row has such a text.  Null texts count as empty, texts of any length are
+    read whole, of equal rows one stays, and columns may have any names and
+    types.  An empty table gives an empty one.
     """
-    rows = materialize(fingerprints(tagged(docs, id_col), "__row", text), "fingerprints")
+    keyed = docs.select(row_key(docs, id_col).alias("row_key"), F.col(quoted(text)).alias("body"))
+    rows = materialize(fingerprints(keyed, "row_key", "body"), "fingerprints")
     distinct = materialize(rows.select("fp", F.col("fp").alias("id")).distinct(), "distinct")
     found = connected_components(links(distinct, make_plan(distinct, k), k), "a", "b")
-    firsts = rows.groupBy("fp").agg(F.min(place("id")).alias("place")).join(found, F.col("fp") == F.col("node"), "left")
-    return picked(docs, firsts.groupBy(F.coalesce("component", "fp")).agg(F.min("place").alias("place")), id_col)
-
-
-def tagged(docs: DataFrame, id_col: str) -> DataFrame:
-    """The rows with ``__row``: their id and a hash of all their columns."""
-    return docs.withColumn("__row", F.struct(F.col(id_col).alias("id"), F.xxhash64(*docs.columns).alias("hash")))
-
-
-def place(row: str) -> Column:
-    """What the rows of a component are ordered by: id, nulls last, then hash."""
-    return F.struct(F.col(f"{row}.id").isNull().alias("last"), F.col(f"{row}.id").alias("id"), F.col(f"{row}.hash").alias("hash"))
-
-
-def picked(docs: DataFrame, places: DataFrame, id_col: str) -> DataFrame:
-    """The rows whose id and hash are a ``place``; of equal rows one."""
-    wanted = places.select(F.col("place.id").alias("__id"), F.col("place.hash").alias("__hash"))
-    row = F.col("__row")
-    same = row["id"].eqNullSafe(F.col("__id")) & (row["hash"] == F.col("__hash"))
-    kept = tagged(docs, id_col).join(wanted, same, "left_semi").withColumns({"__id": row["id"], "__hash": row["hash"]})
-    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    # by id, nulls last, then by hash
+    place = F.struct(F.col("id.id").isNull().alias("last"), F.col("id.id").alias("id"), F.col("id.hash").alias("hash"))
+    firsts = rows.groupBy("fp").agg(F.min(place).alias("place")).join(found, F.col("fp") == F.col("node"), "left")
+    picked = firsts.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("place").alias("place"))
+    wanted = picked.select(F.struct(F.col("place.id").alias("id"), F.col("place.hash").alias("hash")).alias("wanted"))
+    whole = docs.select(F.struct("*").alias("row"), row_key(docs, id_col).alias("row_key"))
+    kept = whole.join(wanted, F.col("row_key") == F.col("wanted"), "left_semi")
+    return kept.dropDuplicates(["row_key"]).select("row.*")

@@ -154,6 +154,34 @@ def test_languages_of_held_out_texts(rows):
     assert {r["lang_pred"] for r in none} == {"und"} and len(none) == len(data)
 
 
+def test_slices_of_models_give_the_same(rows):
+    """Also where a third unit has more runs than a slice; equal and repeated rows come back."""
+    docs = table(rows, corpus(seed=4) + [(5, "the and ing", "en", "s1")] * 3)
+    labelled = docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    columns = ("doc_id", "lang_pred", "score", "cross_entropy", "rejected")
+    got = []
+    for most in (None, 900, 60):
+        found = langid.identify_languages(docs, labelled, slice_runs=most)
+        got.append(Counter((r[0], r[1], round(r[2], 9), None if r[3] is None else round(r[3], 9), r[4]) for r in found.select(*columns).collect()))
+    assert got[0] == got[1] == got[2] and sum(got[0].values()) == docs.count()
+    slicing = langid.Models(labelled.select("lang", "text").filter("lang is not null and text is not null"), 60).slicing
+    assert slicing.slices > 10 and slicing.parts.max() > 1
+
+
+@pytest.mark.parametrize("strange", [1, 25, 500])
+def test_gibberish_is_rejected_whatever_its_share(rows, strange):
+    rng = random.Random(9)
+    real = corpus(500, seed=8)[:500]
+    odd = [(10_000 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxzaeiou") for _ in range(rng.randrange(3, 9))) for _ in range(40)), None, "s") for i in range(strange)]
+    docs = table(rows, [r for r in real if r[1]] + odd)
+    found = langid.identify_languages(docs, docs.filter("lang is not null and doc_id % 2 = 0")).collect()
+    lost = [r for r in found if r["doc_id"] is not None and r["doc_id"] >= 10_000]
+    assert len(lost) == strange and sum(r["rejected"] for r in lost) >= 0.9 * strange
+    known = {i for i, t, *_ in real if i is not None and i < 500 and t and len(t) > 20}
+    kept = [r for r in found if r["doc_id"] in known]
+    assert sum(r["rejected"] for r in kept) <= 0.02 * len(kept)
+
+
 def test_secrets_are_told_from_other_numbers(rows):
     rng = random.Random(7)
     token = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
