@@ -89,7 +89,7 @@ def _(spark, folder):
 
 @check(
     "s4_lasting_line_keys",
-    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS at FROM documents)
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents)
         SELECT lang, count(*) AS n_lines, sum(length(w))::BIGINT AS n_chars, count(DISTINCT doc_id) AS n_docs
         FROM l JOIN documents USING (doc_id) GROUP BY lang""",
 )

@@ -318,13 +318,13 @@ _UNSPACED = "replace(replace(text, ' ', ''), chr(10), '')"
 @check(
     "t7_tokenize_unspaced",
     f"""WITH u AS (SELECT doc_id, {_UNSPACED} AS text FROM documents),
-        cut AS (SELECT doc_id, unnest(t) AS piece, unnest(range(len(t))) AS at
+        cut AS (SELECT doc_id, unnest(t) AS piece, unnest(range(len(t))) AS pos
                 FROM (SELECT doc_id, regexp_extract_all(text, '(?s){_DIGRAM}|.') AS t FROM u)),
         known AS (
           SELECT piece, 7 + row_number() OVER (ORDER BY part, piece) AS id FROM (
             SELECT DISTINCT 0 AS part, unnest(string_split(text, '')) AS piece FROM u
             UNION SELECT 1, unnest(regexp_extract_all(text, '{_DIGRAM}')) FROM u) WHERE piece <> ''),
-        enc AS (SELECT doc_id, list(id ORDER BY at) AS ids FROM cut JOIN known USING (piece) GROUP BY doc_id)
+        enc AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM cut JOIN known USING (piece) GROUP BY doc_id)
         SELECT doc_id, array_to_string(list_append(coalesce(ids, []), 2), ' ') AS ids FROM documents LEFT JOIN enc USING (doc_id)""",
 )
 def _(spark, folder):
