@@ -232,6 +232,8 @@ class KneserNey:
             hit = at >= 0
             out[open_[hit]] += table.logp[at[hit]]
             open_, run = open_[~hit], run[~hit]
+            if not len(table.contexts):
+                continue  # a slice without a run of this order
             context = _find(table.contexts, run >> np.uint64(16))
             out[open_] += np.where(context >= 0, table.back[np.maximum(context, 0)], 0.0)
         out[open_] += self.floor
