@@ -27,6 +27,7 @@ from lexmill.plans.jobs import (
     batch_preview,
     build_vocabulary,
     completions,
+    decode_stored,
     evaluation_report,
     export_corpus,
     mixed_corpus,
@@ -113,6 +114,18 @@ def _(spark, folder):
     return spark.read.text(out).withColumnRenamed("value", "text")
 
 
+@check(
+    "s2_decode_stored_split",
+    f"SELECT doc_id, text || '</s>' AS text FROM documents WHERE {_SPLIT} = 'validation' ORDER BY doc_id LIMIT 20",
+)
+def _(spark, folder):
+    """The first rows of a split of stored ids as texts."""
+    path, vocab = fresh_folder(spark, "ids"), prefix_vocab(spark, folder)
+    docs = split_holdout(documents(spark, folder).select("doc_id", "text"), ["doc_id"])
+    tokenize(docs, vocab).write.partitionBy("split").parquet(path)
+    return decode_stored(spark, path, vocab, "validation", 20, ["doc_id"]).select("doc_id", "text")
+
+
 @check("f4_build_vocabulary")
 def _(spark, folder):
     path = build_vocabulary(

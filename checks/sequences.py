@@ -116,6 +116,19 @@ def _(spark, folder):
     return _padded(add_labels(batches))
 
 
+@check(
+    "q4_pad_batches_within",
+    f"""WITH {WORD_IDS_SQL},
+        r AS (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 8 AS batch_id FROM eos),
+        w AS (SELECT *, max(len(ids)) OVER (PARTITION BY lang, batch_id) AS width FROM r)
+        SELECT lang, doc_id, batch_id, array_to_string(list_resize(ids, width, 0), ' ') AS ids FROM w""",
+)
+def _(spark, folder):
+    """Batches of each language on its own."""
+    batches = pad_batches(eos_ids(spark, folder), 8, ["doc_id"], within=["lang"])
+    return batches.select("lang", "doc_id", "batch_id", joined("input_ids").alias("ids"))
+
+
 @check(
     "q5_mask_labels",
     _padded_sql("longest", "0", "list_transform(padded, lambda x: CASE WHEN x = 0 THEN -100 ELSE x END)"),

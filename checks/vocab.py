@@ -22,7 +22,7 @@ from checks.registry import (
 from lexmill.constants import CHARACTER_COVERAGE, FIRST_LEARNED_ID
 from lexmill.functions.tokens import append_eos, ends_with_eos, join_pair, join_pieces
 from lexmill.operators.cleaning import normalize_text
-from lexmill.operators.encode import detokenize, special_parts, tokenize
+from lexmill.operators.encode import detokenize, special_parts, tokenize, tokenize_nbest, tokenize_sampled
 from lexmill.operators.ordering import rank_keys, take_first
 from lexmill.operators.unigram import (
     Model,
@@ -329,6 +329,10 @@ _UNSPACED = "replace(replace(text, ' ', ''), chr(10), '')"
 )
 def _(spark, folder):
     """Whole texts without a blank: letters, and pairs of letters that never overlap."""
+    return tokenize(*_unspaced(spark, folder)).select("doc_id", joined("input_ids").alias("ids"))
+
+
+def _unspaced(spark, folder):
     text = F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
     docs = materialize(documents(spark, folder).select("doc_id", text.alias("text")), "unspaced")
     letters = docs.select(F.lit(0).alias("part"), F.explode(F.split("text", "")).alias("piece"))
@@ -338,8 +342,42 @@ def _(spark, folder):
         (F.col("place") + FIRST_LEARNED_ID).cast("int").alias("id"), "piece",
         F.when(F.col("part") == 1, -1.0).otherwise(-10.0).alias("score"), F.lit("normal").alias("kind"),
     )
-    vocab = materialize(reserved_pieces(spark).unionByName(learned), "pair-vocabulary")
-    return tokenize(docs, vocab).select("doc_id", joined("input_ids").alias("ids"))
+    return docs, materialize(reserved_pieces(spark).unionByName(learned), "pair-vocabulary")
+
+
+# Splitting one pair costs 19, so the best way is followed by as many equal ones as there are pairs.
+@check(
+    "t7_tokenize_nbest",
+    f"""WITH u AS (SELECT doc_id, {_UNSPACED} AS text FROM documents),
+        c AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '{_DIGRAM}')) AS pairs FROM u),
+        r AS (SELECT *, unnest([1, 2, 3])::INTEGER AS place FROM c)
+        SELECT doc_id, place, round(-10.0::DOUBLE * n + 19 * pairs - CASE WHEN place > 1 THEN 19 ELSE 0 END, 6) AS score,
+               (n - pairs + CASE WHEN place > 1 THEN 1 ELSE 0 END)::INTEGER AS n_ids
+        FROM r WHERE place = 1 OR place <= pairs + 1""",
+)
+def _(spark, folder):
+    """The three best ways through whole texts."""
+    ways = tokenize_nbest(*_unspaced(spark, folder), 3).select("doc_id", F.posexplode("ways").alias("place", "way"))
+    return ways.select("doc_id", (F.col("place") + 1).alias("place"), F.round("way.score", 6).alias("score"), F.size("way.input_ids").alias("n_ids"))
+
+
+@check(
+    "t7_tokenize_sampled",
+    "SELECT lang, count(*) AS n_docs, count(*) AS n_same_text, count(*) FILTER (strlen(text) > 100) AS n_more_ids FROM documents GROUP BY lang",
+)
+def _(spark, folder):
+    """Segmentations drawn by chance spell the same texts, with more ids than the best."""
+    docs, vocab = documents(spark, folder), prefix_vocab(spark, folder)
+    best = tokenize(docs, vocab, add_special_tokens=False).select("doc_id", "lang", F.col("input_ids").alias("best"))
+    drawn = tokenize_sampled(docs.select("doc_id", "text"), vocab, ["doc_id"], alpha=0.0)
+    both = materialize(best.join(drawn, "doc_id"), "drawn")
+    one = detokenize(both.select("doc_id", "input_ids"), vocab).withColumnRenamed("text", "one")
+    two = detokenize(both.select("doc_id", F.col("best").alias("input_ids")), vocab).withColumnRenamed("text", "two")
+    long = both.join(docs.select("doc_id", F.octet_length("text").alias("n")), "doc_id").join(one, "doc_id").join(two, "doc_id")
+    return long.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("one") == F.col("two")).alias("n_same_text"),
+        F.count_if((F.col("n") > 100) & (F.size("input_ids") > F.size("best"))).alias("n_more_ids"),
+    )
 
 
 _FREQUENT = """SELECT w FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents)

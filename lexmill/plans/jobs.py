@@ -243,6 +243,23 @@ def batch_preview(
     return add_labels(pad_batches(first, rows, order_by), mask=True)
 
 
+def decode_stored(
+    spark: SparkSession,
+    path: str,
+    vocab: DataFrame,
+    split: str = "train",
+    rows: int | None = None,
+    order_by: Sequence[str] = (),
+) -> DataFrame:
+    """The texts of a stored token corpus's split, all or the first ``rows`` in order."""
+    stored = read_split(spark, path, split)
+    if rows is not None:
+        if not order_by:
+            raise ValueError("the first rows need an order")
+        stored = take_first(stored, rows, order_by)
+    return detokenize(stored, vocab)
+
+
 def completions(
     df: DataFrame, vocab: DataFrame, stop: str = "</s>", legacy: bool = False, tidy: bool = True
 ) -> DataFrame:
