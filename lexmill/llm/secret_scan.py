@@ -1,7 +1,8 @@
 """Secret scan: a wide net for candidates, then a random forest that throws out
 the false ones.
 
-A candidate is a run of twelve or more token characters with a digit in it.
+A candidate is a run of twelve or more token characters with a digit in it, or
+whatever is assigned to a name, of any length from four and any make-up.
 The forest sees its length and make-up, how likely its character transitions
 are in ordinary words, how much of it dictionary words cover, its path, and the
 words around it; it is trained from labelled findings.  Dictionary and
@@ -25,6 +26,11 @@ TREES, DEPTH, SEED = 40, 8, 42
 DICTIONARY_SOURCES = 3  # a dictionary word occurs in at least so many sources
 DICTIONARY_WORD = 4  # letters at least
 _TOKEN = "[A-Za-z0-9+/_\\-]{12,}={0,2}"
+# A name, then = or : and perhaps a quote: in one word with the value, or before it.
+_INSIDE = "[A-Za-z_][A-Za-z0-9_.\\-]*[\"'`\\])]*(?:[=:]+>?)[\"'`(]*([^\"'`\\s]{4,})"
+_NAME_BEFORE = "[A-Za-z][\"'`\\])]*[=:]+>?[\"'`(]*$"
+_SIGN = "^[=:]+>?$"
+_OUTSIDE = "^[\"'`(\\[{<]+|[\"'`)\\]}>;,]+$"
 _RARE = -7.0  # log probability of a transition that no word has
 
 FEATURES = [
@@ -48,14 +54,22 @@ def candidates(docs: DataFrame, *, id_col: str, text: str | Column, path: str |
         F.concat(F.array(F.lit(""), F.lit("")), "w").alias("prev2"),
         F.slice("w", 2, F.size("w")).alias("after"), F.sequence(F.lit(0), F.size("w") - 1).alias("word_no"),
     )
-    near = (
-        rows.select("id", "path", F.inline(zipped))
-        .filter(F.length("word") >= 12)
-        .filter(F.col("word").rlike(_TOKEN) & F.col("word").rlike("[0-9]"))
-    )
-    found = near.withColumn("value", F.explode(F.regexp_extract_all("word", F.lit(f"({_TOKEN})"), F.lit(1)))).filter(
-        F.col("value").rlike("[0-9]")
+    word, prev = F.col("word"), F.col("prev")
+    token = (F.length(word) >= 12) & word.rlike(_TOKEN) & word.rlike("[0-9]")
+    named = prev.rlike(_NAME_BEFORE) | (prev.rlike(_SIGN) & F.col("prev2").rlike("[A-Za-z]"))
+    inner = F.contains(word, F.lit("=")) | F.contains(word, F.lit(":"))
+    near = rows.select("id", "path", F.inline(zipped)).filter(token | named | inner)
+    tokens = F.when(token, F.filter(F.regexp_extract_all(word, F.lit(f"({_TOKEN})"), F.lit(1)), lambda v: v.rlike("[0-9]")))
+    inside = F.when(inner, F.regexp_replace(F.regexp_extract(word, _INSIDE, 1), _OUTSIDE, ""))
+    behind = F.when(named, F.regexp_replace(word, _OUTSIDE, ""))
+    none = F.array().cast("array<string>")
+    # a value is not the sign itself, an address, or what a token already is
+    assigned = F.filter(
+        F.array(inside, behind),
+        lambda v: v.isNotNull() & (F.length(v) >= 4) & ~F.startswith(v, F.lit("//")) & v.rlike("[A-Za-z0-9]"),
     )
+    values = F.array_union(F.coalesce(tokens, none), assigned)
+    found = near.withColumn("value", F.explode(values))
     key = F.expr("substring_index(word, value, 1)")
     lead = F.when(key.rlike("[A-Za-z]"), key).when(F.col("prev").rlike("[A-Za-z]"), F.col("prev")).otherwise(F.col("prev2"))
     joint = F.concat_ws(" ", F.when(key.rlike("[A-Za-z]"), F.lit("")).otherwise(F.col("prev")), key)
