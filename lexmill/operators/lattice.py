@@ -305,6 +305,7 @@ def _carried(
     """Pieces from ``base`` to the next node that no edge jumps over, which is returned."""
     back = array("H" if index.longest < 1 << 16 else "L")  # length of the best edge into each node behind base
     at, open_score, open_step = base, [0.0], [0]
+    patience = window  # characters that are undecided before the way back is walked again
     while True:
         stop = min(len(word), at + window)
         start, length, piece, fixed = _edges(index, word, at, stop)
@@ -323,6 +324,8 @@ def _carried(
             yield from _path(index, word, base, at, back, window)
             return at
         open_score, open_step = score[end : end + index.longest + 1], step[end : end + index.longest + 1]
+        if at - base < patience:
+            continue
         # a path goes on from one of the last nodes; back to where they all meet
         nodes = set(range(max(base, at - index.longest + 1), at + 1))
         last = max(nodes)
@@ -335,6 +338,7 @@ def _carried(
             yield from _path(index, word, base, shared, back, window)
             del back[: shared - base]
             base = shared
+        patience = max(window, 2 * (at - base))
 
 
 def _path(index: PieceIndex, word: str, base: int, end: int, back: array, window: int) -> Iterator[np.ndarray]:
