@@ -136,16 +136,18 @@ def _(spark, folder):
     f"SELECT doc_id, text, {_SPLIT} AS split FROM documents",
 )
 def _(spark, folder):
-    """Files named by their split, as other tools write them."""
-    path = fresh_folder(spark, "named")
+    """Files named by their split, as other tools write them; several of a split."""
+    path, part = fresh_folder(spark, "named"), fresh_folder(spark, "part")
+    _split_docs(spark, folder).write.partitionBy("split").parquet(part)
     files = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for split, name in {"train": "train-1.parquet", "validation": "dev_0.parquet", "test": "test.parquet"}.items():
-        part = fresh_folder(spark, "part")
-        _split_docs(spark, folder).filter(F.col("split") == split).drop("split").coalesce(1).write.parquet(part)
-        system = files.Path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        system.mkdirs(files.Path(path))
-        source = next(s.getPath() for s in system.listStatus(files.Path(part)) if s.getPath().getName().endswith(".parquet"))
-        system.rename(source, files.Path(f"{path}/{name}"))
+    system = files.Path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(files.Path(path))
+    for split, name in {"train": "train-{}.parquet", "validation": "dev_{}.parquet", "test": "test.{}.parquet"}.items():
+        written = files.Path(f"{part}/split={split}")
+        found = system.listStatus(written) if system.exists(written) else []
+        sources = sorted(s.getPath().toString() for s in found if s.getPath().getName().endswith(".parquet"))
+        for number, source in enumerate(sources):
+            system.rename(files.Path(source), files.Path(f"{path}/{name.format(number)}"))
     return read_corpus(spark, path).select("doc_id", "text", "split")
 
 
