@@ -184,6 +184,28 @@ def test_line_dedup_equals_brute_force(rows):
     assert lines.dedup_lines(table(rows, [])).count() == 0
 
 
+def test_line_groups_compare_few_pairs_of_near_copies(rows, monkeypatch):
+    """The pairs that are compared follow the lines of a group and not their square."""
+    words = [f"word{i}" for i in range(60)]
+    texts = [(i, " ".join([*words[:50], words[50] + "x" * (i % 7), *words[51:], "y" * (i // 7 + 1)])) for i in range(40)]
+    texts.append((99, "nothing like the others"))
+    stored = lines.line_rows(table(rows, texts), "doc_id", "text").select(F.xxhash64("norm").alias("h"), "norm").cache()
+    hs = {r["norm"]: r["h"] for r in stored.collect()}
+    every = [(a, b) for a in hs.values() for b in hs.values() if a < b]
+    compared = []
+    plain = lines._verified
+
+    def counted(of, pairs):
+        compared.append(pairs.count())
+        return plain(of, pairs)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    groups = lines.line_groups(stored, rows(every, "a long, b long")).collect()
+    near = {h for norm, h in hs.items() if norm != "nothing like the others"}
+    assert {r["node"] for r in groups} == near and {r["component"] for r in groups} == {min(near)}
+    assert sum(compared) < len(every) / 4
+
+
 def test_containment_equals_brute_force(rows):
     rng = random.Random(8)
     items = [(i, sentence(rng, n)) for i, n in enumerate([3, 1, 5, 6, 14, 30, 59, 200])]
