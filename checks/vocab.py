@@ -335,8 +335,9 @@ def _(spark, folder):
 def _unspaced(spark, folder):
     text = F.replace(F.replace("text", F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
     docs = materialize(documents(spark, folder).select("doc_id", text.alias("text")), "unspaced")
-    letters = docs.select(F.lit(0).alias("part"), F.explode(F.split("text", "")).alias("piece"))
-    pairs = docs.select(F.lit(1).alias("part"), F.explode(F.regexp_extract_all("text", F.lit(_DIGRAM), F.lit(0))).alias("piece"))
+    letters = docs.select(F.lit(0).alias("part"), F.explode(F.array_distinct(F.split("text", ""))).alias("piece"))
+    found = F.regexp_extract_all("text", F.lit(_DIGRAM), F.lit(0))
+    pairs = docs.select(F.lit(1).alias("part"), F.explode(F.array_distinct(found)).alias("piece"))
     ranked = rank_keys(letters.unionByName(pairs).filter("piece <> ''").distinct(), ["part", "piece"], [], "place")
     learned = ranked.select(
         (F.col("place") + FIRST_LEARNED_ID).cast("int").alias("id"), "piece",

@@ -45,6 +45,7 @@ _UNKNOWN_PENALTY = 10.0
 _BLANKS = {c: " " for low, high in _TO_SPACE for c in range(low, high + 1)} | {
     c: None for low, high in _DROPPED for c in range(low, high + 1)
 }
+_BLANK = re.compile(f"[{re.escape(''.join(map(chr, _BLANKS)))}]")
 _SPACES = re.compile(" {2,}")
 _CACHED_WORDS = 1_000_000
 _CACHED_LENGTH = 40
@@ -59,8 +60,9 @@ CHUNK_TEXT = 16 << 20
 def compatibility_form(text: str) -> str:
     """NFKC plus the blank rules the vocabulary expects; spaces squeezed."""
     if not text.isascii():
-        kept = text.split(_UNTOUCHED)
-        text = _UNTOUCHED.join(unicodedata.normalize("NFKC", t.translate(_BLANKS)) for t in kept)
+        if _BLANK.search(text):
+            text = text.translate(_BLANKS)
+        text = _UNTOUCHED.join(unicodedata.normalize("NFKC", t) for t in text.split(_UNTOUCHED))
     elif not text.isprintable():
         text = text.translate(_BLANKS)
     if "  " in text:
@@ -266,11 +268,11 @@ class Encoder:
             lattice = Lattice(self.index, some)
             scores, pieces, bounds = lattice.nbest_paths(lattice.weights(self.scores, self.unknown), k)
             # a run of unknown characters is one unknown id
-            again = np.zeros(len(pieces), dtype=bool)
-            again[1:] = (pieces[1:] < 0) & (pieces[:-1] < 0)
+            strange = pieces < 0
+            again = strange & np.append(False, strange[:-1])[: len(strange)]
             again[bounds[:-1][bounds[:-1] < len(pieces)]] = False
-            ends = np.append(0, np.cumsum(~again))[bounds].tolist()
             ids, at = self.ids[pieces[~again]], 0
+            ends = (bounds - np.append(0, np.cumsum(again))[bounds]).tolist()
             for word, own in zip(some, scores):
                 ways[word] = own, [ids[ends[i] : ends[i + 1]] for i in range(at, at + len(own))]
                 at += len(own)
@@ -372,8 +374,13 @@ def _encoded(
     run: Callable[[Encoder, pa.Array, pa.Array], pa.Array],
     more: Column,
     limit: int,
+    once: bool = False,
 ) -> DataFrame:
-    """Replace ``text`` by ``target``: what ``run`` makes of the parts of the texts and of ``more``."""
+    """Replace ``text`` by ``target``: what ``run`` makes of the parts of the texts and of ``more``.
+
+    ``once`` keeps filters on ``target`` behind it, such as the one that Spark puts
+    before an explode: pushed below, they would make ``run`` go through all texts twice.
+    """
     small = small_vocab(vocab, limit)
     if small is None:
         return _encoded_by_chunk(df, vocab, text, target, kind, run, more)
@@ -386,7 +393,8 @@ def _encoded(
     def encode(rows: pa.Array, others: pa.Array) -> pa.Array:
         return run(_encoder(fingerprint, shipped.value), rows, others)
 
-    return df.withColumn(target, encode(_parts(text, added), more)).drop(text)
+    made = (encode.asNondeterministic() if once else encode)(_parts(text, added), more)
+    return df.withColumn(target, made).drop(text)
 
 
 def _parts(text: str, added: Sequence[str]) -> Column:
@@ -536,7 +544,7 @@ def tokenize_nbest(
         return pa.concat_arrays(made) if made else pa.array([], _WAYS)
 
     kind = ArrayType(StructType().add("score", DoubleType()).add("input_ids", ArrayType(IntegerType())))
-    return _encoded(df, vocab, text, "ways", kind, best, F.lit(0), limit)
+    return _encoded(df, vocab, text, "ways", kind, best, F.lit(0), limit, once=True)
 
 
 _WAYS = pa.list_(pa.struct([("score", pa.float64()), ("input_ids", pa.list_(pa.int32()))]))
