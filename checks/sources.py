@@ -21,6 +21,7 @@ from lexmill.sources.corpus import (
     write_manifest,
     write_shards,
 )
+from lexmill.sources.lines import join_lines
 
 _SPLIT = split_sql("doc_id")
 _LINE = "replace(text, chr(10), '<n>')"
@@ -100,9 +101,10 @@ def _(spark, folder):
     words.select(F.concat_ws(" ", "doc_id", "lang", F.replace("w", F.lit("\n"), F.lit("\u2028")))).write.text(path)
     keys = ["source_file", "line"]
     one = read_keyed_lines(spark, path).select(*keys, F.length(F.substring_index("text", " ", -1)).alias("n"))
-    two = read_keyed_lines(spark, path).select(*keys, F.split("text", " ").alias("parts"))
-    return one.join(two, keys).groupBy(F.col("parts")[1].alias("lang")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum("n").cast("bigint").alias("n_chars"), F.count_distinct(F.col("parts")[0]).alias("n_docs")
+    parts = F.split("text", " ")
+    two = read_keyed_lines(spark, path).select(*keys, parts[0].alias("doc"), parts[1].alias("lang"))
+    return join_lines(one, two).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("n").cast("bigint").alias("n_chars"), F.count_distinct("doc").alias("n_docs")
     )
 
 
