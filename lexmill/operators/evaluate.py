@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.constants import LABEL_IGNORE
 from lexmill.operators.ordering import rank_keys
+from lexmill.operators.runs import position_runs, score_runs
 
 
 def argmax(scores: Column) -> Column:
@@ -118,7 +119,8 @@ def eval_sums(
     """What a report is made of, per group: sequences, positions scored and hit,
     losses and their sum.  Rows of several tables or runs can be put together.
 
-    Takes a long prediction table ``(seq_id, pos, label, pred, nll)``, or one row
+    Takes a long prediction table ``(seq_id, pos, label, pred, nll)``, of which runs
+    of positions are shuffled, see :mod:`lexmill.operators.runs`, or one row
     per sequence with arrays ``labels``, ``preds`` and ``nll``, which needs no
     shuffle of tokens.  The ``by`` columns are constant within a sequence, and
     groups may number their sequences alike.  Losses of ignored labels do not
@@ -136,10 +138,13 @@ def eval_sums(
         lost = F.sum(F.aggregate("__losses", F.lit(0.0), lambda a, x: a + x))
         n_losses = F.sum(F.size("__losses"))
     else:
-        scored = score_positions(df, count_padding, by)
-        counted = F.when(F.col("label") != LABEL_IGNORE, F.col("nll"))
-        samples, hits, total = F.sum(F.col("is_first").cast("bigint")), F.sum("hit"), F.count("hit")
-        lost, n_losses = F.sum(counted), F.count(counted)
+        counted = df.withColumn("nll", F.when(F.col("label") != LABEL_IGNORE, F.col("nll")).cast("double"))
+        runs = position_runs(counted, by, ["label", "pred"], ["nll"])
+        scored = score_runs(runs, by, None if count_padding else LABEL_IGNORE)
+        samples, total = F.sum(F.col("is_first").cast("bigint")), F.coalesce(F.sum("n_scored"), F.lit(0).cast("bigint"))
+        hits = F.when(F.sum("n_scored") > 0, F.sum("n_hits"))
+        lost = F.sum("nll").cast(df.agg(F.sum("nll")).schema[0].dataType)
+        n_losses = F.coalesce(F.sum("__n_nll"), F.lit(0).cast("bigint"))
     return scored.groupBy(*by).agg(
         samples.alias("eval_samples"), total.alias("n_scored"), hits.alias("n_hits"), lost.alias("loss_sum"), n_losses.alias("n_losses")
     )
